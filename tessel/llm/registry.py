@@ -1,9 +1,15 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
+from tessel.llm.piece_encoding import op4_piece_encoding
 from tessel.llm.token_counts import op1_token_counts
+from tessel.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_piece_encoding": op4_piece_encoding,
+    "op7_warc": op7_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
