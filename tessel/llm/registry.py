@@ -1,13 +1,19 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
+from tessel.llm.language_id import op8_language_id
+from tessel.llm.line_quality import op2_line_quality
 from tessel.llm.piece_encoding import op4_piece_encoding
 from tessel.llm.token_counts import op1_token_counts
+from tessel.llm.toxicity import op3_toxicity
 from tessel.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_quality": op2_line_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_piece_encoding": op4_piece_encoding,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
