@@ -1,8 +1,10 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
+from tessel.llm.decontamination import op6_decontamination
 from tessel.llm.language_id import op8_language_id
 from tessel.llm.line_quality import op2_line_quality
 from tessel.llm.piece_encoding import op4_piece_encoding
+from tessel.llm.sharding import OP5_SQL, op5_sharding
 from tessel.llm.token_counts import op1_token_counts
 from tessel.llm.toxicity import op3_toxicity
 from tessel.llm.warc import OP7_SQL, op7_warc
@@ -12,10 +14,13 @@ QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op3_toxicity": op3_toxicity,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_sharding": OP5_SQL,
     "op7_warc": OP7_SQL,
 }
