@@ -17,6 +17,7 @@ columns of `docs` are ignored, so their names can't clash.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from tessel.llm.common import small_batches, table
 
 #: Documents whose pre-tokens choose the broadcast table, and the most entries it may have.
-SAMPLE_DOCS = 2000
-HOT_PRETOKENS = 1 << 17
+SAMPLE_DOCS = 4000
+HOT_PRETOKENS = 1 << 18
 
 #: Characters for which lower() and the letter class below equal the tokenizer's own rules.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -110,22 +111,23 @@ def hot_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, most:
 
 
 def pretoken_frequencies(docs: DataFrame, path: str, hot: dict[str, int]) -> DataFrame:
-    """(doc_id, digest, n_bytes, rows, known, part, pretoken, freq).
+    """(doc_id, n_bytes, crc, base, pretoken, n).
 
-    One row per document with `rows` 1, and in `known` the tokens of its pre-tokens in `hot`; one
-    row per other pre-token of the document with its frequency. `digest` tells texts apart under
-    one doc_id; `part` is the key by which rows are dealt out.
+    One row per document with `base` true and in `n` the tokens of its pre-tokens in `hot`; one row
+    per other pre-token of the document with its frequency. `n_bytes` and `crc` tell texts apart
+    under one doc_id. A document row's pretoken is a space and a number: no pre-token holds a space,
+    so it meets nothing in a join, and the numbers deal such rows out.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def split(batches):
         pre, known = _pretokens(path), shared.value
         for batch in batches:
-            ids, digests = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()
-            src, size, one, done, word, freq = [], [], [], [], [], []
+            ids = batch.column("doc_id").to_pylist()
+            src, size, crc, base, word, freq = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 text = text or ""
+                data = text.encode()
                 tokens, rare = 0, []
                 for k, n in pre.count(text).items():
                     p = known.get(k)
@@ -133,31 +135,26 @@ def pretoken_frequencies(docs: DataFrame, path: str, hot: dict[str, int]) -> Dat
                         rare.append((k, n))
                     else:
                         tokens += p * n
-                m = len(rare) + 1
-                src += [i] * m
-                size += [len(text.encode())] * m
-                one += [1] + [0] * len(rare)
-                done += [tokens] + [0] * len(rare)
-                word.append(None)
-                freq.append(0)
+                m, mark = len(rare) + 1, zlib.crc32(data)
+                src += [ids[i]] * m
+                size += [len(data)] * m
+                crc += [mark] * m
+                base += [True] + [False] * len(rare)
+                word.append(f" {mark % 4096}")
                 word += [k for k, _ in rare]
+                freq.append(tokens)
                 freq += [n for _, n in rare]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in src], pa.int64()), pa.array([digests[i] for i in src], pa.int64()), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(done, pa.int64()), pa.array(word, pa.string()), pa.array(freq, pa.int64())],
-                ["doc_id", "digest", "n_bytes", "rows", "known", "pretoken", "freq"],
+                [pa.array(src, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(base, pa.bool_()), pa.array(word, pa.string()), pa.array(freq, pa.int64())],
+                ["doc_id", "n_bytes", "crc", "base", "pretoken", "n"],
             )
 
-    return (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-        .mapInArrow(split, "doc_id long, digest long, n_bytes long, rows long, known long, pretoken string, freq long")
-        .withColumn("part", F.coalesce(F.xxhash64("pretoken"), F.xxhash64("doc_id", "digest")))
-    )
+    return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, n_bytes long, crc long, base boolean, pretoken string, n long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, sample_docs: int = SAMPLE_DOCS, hot_pretokens: int = HOT_PRETOKENS) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
     freqs = pretoken_frequencies(docs, path, hot_pieces(docs, path, sample_docs, hot_pretokens))
 
@@ -166,10 +163,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, sample_docs
         pre = _pretokens(path)
         return words.map(pre.pieces)
 
-    vocabulary = freqs.where("pretoken is not null").select("part", "pretoken").distinct().withColumn("pieces", n_pieces("pretoken"))
-    # Document rows have no pre-token; `part` deals them out evenly and they meet no piece count.
-    joined = freqs.join(vocabulary.toDF("v_part", "v_pretoken", "pieces"), (F.col("part") == F.col("v_part")) & (F.col("pretoken") == F.col("v_pretoken")), "left")
-    per_text = joined.groupBy("doc_id", "digest", "n_bytes").agg(F.sum("rows").alias("copies"), F.sum(F.col("known") + F.coalesce(F.col("freq") * F.col("pieces"), F.lit(0))).alias("tokens"))
+    vocabulary = freqs.where("not base").select(F.col("pretoken").alias("v_pretoken")).distinct().withColumn("pieces", n_pieces("v_pretoken"))
+    joined = freqs.join(vocabulary, F.col("pretoken") == F.col("v_pretoken"), "left")
+    per_text = joined.groupBy("doc_id", "n_bytes", "crc").agg(F.count_if("base").alias("copies"), F.sum(F.col("n") * F.coalesce(F.col("pieces"), F.lit(1))).alias("tokens"))
     # Equal rows were summed together; they share the sum.
     return per_text.select("doc_id", "n_bytes", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 
