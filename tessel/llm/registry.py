@@ -1,6 +1,7 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
 from tessel.llm.decontamination import op6_decontamination
+from tessel.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from tessel.llm.language_id import op8_language_id
 from tessel.llm.line_quality import op2_line_quality
 from tessel.llm.piece_encoding import op4_piece_encoding
@@ -18,9 +19,11 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_sharding": OP5_SQL,
     "op7_warc": OP7_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
