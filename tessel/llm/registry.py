@@ -4,6 +4,7 @@ from tessel.llm.decontamination import op6_decontamination
 from tessel.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from tessel.llm.language_id import op8_language_id
 from tessel.llm.line_quality import op2_line_quality
+from tessel.llm.nearest import op9_nearest
 from tessel.llm.piece_encoding import op4_piece_encoding
 from tessel.llm.sharding import OP5_SQL, op5_sharding
 from tessel.llm.token_counts import op1_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
+    "op9_nearest": op9_nearest,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
