@@ -186,7 +186,7 @@ def predict(docs: DataFrame, net: ByteNet | None, carry: tuple[str, ...] = ("doc
                 at = end
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, lang_column, score_column])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(apply, schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def score(docs: DataFrame, field: LineField | None, carry: tuple[str, ...] = ("d
                     out[lo:hi] = model.scores(texts[lo:hi])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out)], [*keep, score_column])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, docs.select(*keep).schema.add(score_column, "double"))
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(apply, docs.select(*keep).schema.add(score_column, "double"))
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, carry: tupl
 
     for name, kind in ((ids_column, "binary"), (spans_column, "binary"), (decoded_column, "string")):
         schema = schema.add(name, kind)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(encode, schema)
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(encode, schema)
 
 
 def digest(ids: bytes) -> str:

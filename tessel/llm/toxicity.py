@@ -335,7 +335,7 @@ def score(docs: DataFrame, machine: Machine | None, carry: tuple[str, ...] = ("d
                 out += [float(model.score(model.document(s))) for s in sets]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.float64())], [*keep, score_column])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, docs.select(*keep).schema.add(score_column, "double"))
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(apply, docs.select(*keep).schema.add(score_column, "double"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
