@@ -97,7 +97,7 @@ class ByteNet:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 0, rate: float = 0.01) -> ByteNet:
+def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 0, rate: float = 0.01, least_steps: int = 700) -> ByteNet:
     """Adam on cross-entropy with dropout; the gradient of a largest response goes to the bytes where it was."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
@@ -113,6 +113,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 0,
     net = ByteNet(langs, filters, rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
     params = [*net.filters, net.out, net.bias]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    epochs = max(epochs, -(-least_steps * 128 // max(1, len(x))))
     for done in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), 128):
@@ -148,7 +149,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 0,
             for i, g in enumerate(grads):
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.001 * (g * g - v[i])
-                params[i] -= (rate / (1 + done) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                params[i] -= (rate / (1 + 6 * done / epochs) * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
