@@ -3,7 +3,7 @@
 Writing: every payload becomes one record, a `response` holding an HTTP message in chunked transfer
 framing, or, for a repeated payload, a `revisit` that names the record it repeats. A block longer
 than `segment_bytes` is cut into a first record and `continuation` records, which may land in other
-files. Records go to the archive through Spark's text sink as raw bytes, so any Hadoop path will do.
+files. Records go to gzipped archives through Spark's text sink as raw bytes, so any Hadoop path will do.
 
 Reading: files are parsed record by record; segments are dealt out by origin identifier, sorted by
 segment number and streamed: a payload is decoded and hashed as its segments pass, so no task
@@ -18,7 +18,9 @@ page_id are written under the number -1.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,8 @@ from tessel.llm.common import shared_dir, small_batches, table
 
 #: Payloads from this size on are written once; blocks are cut at this many bytes; chunk size.
 LEAST_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 1000, 1 << 16, 4096
+#: Rows that name one record are dealt out over so many tasks.
+SALTS = 64
 CRLF = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -109,26 +113,29 @@ class Unchunker:
         return None if ok and not self.pending else "the transfer framing is cut short"
 
 
-def parse_records(data: bytes):
-    """(fields, block) of the records of one uncompressed archive."""
-    at, view = 0, memoryview(data)
+def parse_records(stream):
+    """(fields, block) of the records of one archive, read from a binary stream."""
     while True:
-        while data[at : at + 2] == CRLF:
-            at += 2
-        if at >= len(data):
+        line = stream.readline()
+        if not line:
             return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+        if line == CRLF:
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:20]!r}")
         fields = {}
-        for line in data[at:end].split(CRLF)[1:]:
+        while (line := stream.readline()) not in (CRLF, b""):
             k, _, v = line.partition(b":")
             fields[k.decode().lower()] = v.strip().decode()
-        start = end + 4
-        at = start + int(fields["content-length"])
-        if at > len(data):
+        block = stream.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]):
             raise ValueError("a record is cut short")
-        yield fields, bytes(view[start:at])
+        yield fields, block
+
+
+def open_archive(data: bytes):
+    """A binary stream of an archive's records, unpacked as they are read where it is gzipped."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -165,36 +172,51 @@ def write_archive(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES
 
     records = rows.select("page_id", "payload", "sha", "refers_to").mapInArrow(build, "record binary")
     # A cast keeps the bytes as they are; each record ends with two line ends.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).option("compression", "gzip").text(path)
+
+
+_RECORD = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("segmented", pa.bool_()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("block", pa.binary()), ("size", pa.int64()), ("sha1", pa.string()), ("error", pa.string())]
+_PAYLOAD = [("origin", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("error", pa.string())]
+
+
+def _ddl(fields) -> str:
+    names = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"{k} {names[t]}" for k, t in fields)
+
+
+def _batch(rows, fields):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [k for k, _ in fields])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """origin, segment, total, record_type, refers_to, digest, block of every record below `path`."""
+    """One row per record below `path`. Whole responses are decoded here (size, sha1, error); segments keep their block."""
 
     def parse(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows, held = [], 0
-                for f, block in parse_records(data):
+                for f, block in parse_records(open_archive(data)):
                     bare = lambda k: f.get(k, "").strip("<>") or None  # noqa: B023, E731
                     number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
-                    rows.append((bare("warc-segment-origin-id") or bare("warc-record-id"), number("warc-segment-number") or 1, number("warc-segment-total-length"), "warc-segment-number" in f, f["warc-type"], bare("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block))
-                    held += len(block)
-                    if held > 8 << 20:
-                        yield _batch(rows)
+                    segmented, size, sha, error = "warc-segment-number" in f, None, None, None
+                    if not segmented and f["warc-type"] == "response":
+                        body = Unchunker()
+                        try:
+                            body.feed(block)
+                            error = body.end()
+                        except ValueError as e:
+                            error = str(e)
+                        if error is None:
+                            size, sha = body.size, body.sha.hexdigest()
+                    rows.append((bare("warc-segment-origin-id") or bare("warc-record-id"), number("warc-segment-number") or 1, number("warc-segment-total-length"), segmented, f["warc-type"], bare("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block if segmented else None, size, sha, error))
+                    held += len(block) if segmented else 0
+                    if held > 8 << 20 or len(rows) >= 2000:
+                        yield _batch(rows, _RECORD)
                         rows, held = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, _RECORD)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _SCHEMA)
-
-
-_SCHEMA = "origin string, segment int, total long, segmented boolean, record_type string, refers_to string, digest string, block binary"
-
-
-def _batch(rows):
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _ddl(_RECORD))
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -210,47 +232,46 @@ def reassemble(records: DataFrame) -> DataFrame:
             error = wrong
             if first is None:
                 error = error or "the first segment is missing"
-            elif first[3] and total is None:
+            elif total is None:
                 error = error or "the last segment is missing"
-            elif total is not None and total != length:
+            elif total != length:
                 error = error or "the total length differs"
+            error = error or body.end()
             kind = first[4] if first else "continuation"
-            if kind == "response":
-                error = error or body.end()
-            ok = error is None and kind == "response"
+            ok = error is None
             done.append((origin, kind, first[5] if first else None, first[6] if first else None, body.size if ok else None, body.sha.hexdigest() if ok else None, error))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # A record that isn't a continuation opens a new payload, also under a repeated identifier.
-                if row[0] != origin or row[4] != "continuation" and first is not None and row[1] == 1:
+                if not row[3]:
+                    done.append((row[0], *row[4:7], *row[8:11]))
+                    continue
+                # A first segment opens a new payload, also under a repeated identifier.
+                if row[0] != origin or row[4] != "continuation" and first is None and seen == 0:
                     close()
                     origin, body, first, seen, length, total, wrong = row[0], Unchunker(), None, 0, 0, None, None
-                if row[1] == seen and seen:
+                if row[1] == seen:
+                    if row[4] != "continuation":
+                        done.append((origin, row[4], row[5], row[6], None, None, "two records share an identifier"))
                     continue  # a segment archived twice
                 if row[1] != seen + 1:
                     wrong = wrong or "a segment is missing"
                 seen, length, total = row[1], length + len(row[7]), row[2] if row[2] is not None else total
                 if row[4] != "continuation":
                     first = row[:7]
-                if wrong is None and (first is None or first[4] == "response"):
+                if wrong is None:
                     try:
                         body.feed(row[7])
                     except ValueError as e:
                         wrong = str(e)
             if done:
-                yield _out(done)
+                yield _batch(done, _PAYLOAD)
                 done = []
         close()
         if done:
-            yield _out(done)
-
-    return records.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(stream, "origin string, record_type string, refers_to string, digest string, payload_bytes long, payload_sha1 string, error string")
-
+            yield _batch(done, _PAYLOAD)
 
-def _out(rows):
-    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["origin", "record_type", "refers_to", "digest", "payload_bytes", "payload_sha1", "error"])
+    return records.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(stream, _ddl(_PAYLOAD))
 
 
 def page_number(column: str):
@@ -260,9 +281,12 @@ def page_number(column: str):
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, error of every record; revisits take size and digest from what they refer to."""
     whole = reassemble(read_records(spark, path)).withColumn("page_id", page_number("origin")).withColumn("refers_to", page_number("refers_to"))
-    # Many revisits may name one record: join the named ones only, each once.
-    named = whole.where("record_type = 'response'").groupBy(F.col("page_id").alias("r_id")).agg(F.first("payload_bytes").alias("r_bytes"), F.first("payload_sha1").alias("r_sha1"))
-    joined = whole.join(named, F.col("refers_to") == F.col("r_id"), "left")
+    # Many revisits may name one record: its figures are copied to as many salts as name it.
+    whole = whole.withColumn("salt", F.pmod(F.col("page_id"), F.lit(SALTS)))
+    used = whole.where("refers_to is not null").select(F.col("refers_to").alias("u_id"), F.col("salt").alias("r_salt")).distinct()
+    responses = whole.where("record_type = 'response'").groupBy(F.col("page_id").alias("r_id")).agg(F.first("payload_bytes").alias("r_bytes"), F.first("payload_sha1").alias("r_sha1"))
+    named = used.join(responses, F.col("u_id") == F.col("r_id")).drop("u_id")
+    joined = whole.join(named, (F.col("refers_to") == F.col("r_id")) & (F.col("salt") == F.col("r_salt")), "left")
     revisit = F.col("record_type") == "revisit"
     return joined.select(
         "page_id",
