@@ -1,4 +1,6 @@
 """All queries of the library and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessel.plans import fits  # noqa: F401
+from tessel.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
