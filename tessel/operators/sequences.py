@@ -1,0 +1,147 @@
+"""Recursions along a sequence: hidden Markov models, Hawkes processes, Kalman filters. One group per sequence, in numpy."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hmm_forward(df: DataFrame, key: str, order: str, symbol: str, symbols: list[str], init: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> DataFrame:
+    """(key, n, ll): log-likelihood of each sequence by the scaled forward recursion."""
+    index = {s: i for i, s in enumerate(symbols)}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        obs = [index.get(s, -1) for s in pdf.sort_values(order, kind="stable")[symbol]]
+        ll, a = 0.0, init
+        for t, o in enumerate(obs):
+            a = (a if t == 0 else a @ moves) * (emit[:, o] if o >= 0 else 0.0)
+            c = a.sum()
+            if c <= 0:
+                ll = -np.inf
+                break
+            ll, a = ll + np.log(c), a / c
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(obs)], "ll": [ll]})
+
+    return df.select(key, order, symbol).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, n long, ll double")
+
+
+def hmm_viterbi(df: DataFrame, key: str, order: str, symbol: str, symbols: list[str], init: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> DataFrame:
+    """(key, t, state): the likeliest state path of each sequence."""
+    index = {s: i for i, s in enumerate(symbols)}
+    with np.errstate(divide="ignore"):
+        li, lm, le = np.log(init), np.log(moves), np.log(emit)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        obs = [index[s] for s in pdf.sort_values(order, kind="stable")[symbol]]
+        score, back = li + le[:, obs[0]], []
+        for o in obs[1:]:
+            step = score[:, None] + lm
+            back.append(step.argmax(axis=0))
+            score = step.max(axis=0) + le[:, o]
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        return pd.DataFrame({key: pdf[key].iloc[0], "t": range(len(obs)), "state": path[::-1]})
+
+    return df.select(key, order, symbol).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, t int, state int")
+
+
+def baum_welch(df: DataFrame, key: str, order: str, symbol: str, symbols: list[str], init: np.ndarray, moves: np.ndarray, emit: np.ndarray, iterations: int = 5):
+    """EM for a discrete hidden Markov model; every sequence gives its expected counts, Spark sums them."""
+    index, k, m = {s: i for i, s in enumerate(symbols)}, len(init), len(symbols)
+    trace = []
+    rows = df.select(key, order, symbol).cache()
+    for _ in range(iterations):
+
+        def run(pdf: pd.DataFrame, init=init, moves=moves, emit=emit) -> pd.DataFrame:
+            obs = np.array([index[s] for s in pdf.sort_values(order, kind="stable")[symbol]])
+            n = len(obs)
+            a, b, c = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+            for t in range(n):
+                a[t] = (init if t == 0 else a[t - 1] @ moves) * emit[:, obs[t]]
+                c[t] = a[t].sum()
+                a[t] /= c[t]
+            for t in range(n - 2, -1, -1):
+                b[t] = moves @ (emit[:, obs[t + 1]] * b[t + 1]) / c[t + 1]
+            g = a * b
+            xi = sum((a[t][:, None] * moves * (emit[:, obs[t + 1]] * b[t + 1])[None] / c[t + 1] for t in range(n - 1)), np.zeros((k, k)))
+            em = np.zeros((k, m))
+            np.add.at(em.T, obs, g)
+            return pd.DataFrame({"ll": [np.log(c).sum()], "i": [g[0].tolist()], "m": [xi.ravel().tolist()], "e": [em.ravel().tolist()]})
+
+        parts = rows.groupBy(key).applyInPandas(run, "ll double, i array<double>, m array<double>, e array<double>")
+        add = lambda c, n: F.array(*[F.sum(F.col(c)[j]) for j in range(n)]).alias(c)
+        s = parts.agg(F.sum("ll").alias("ll"), add("i", k), add("m", k * k), add("e", k * m)).head()
+        trace.append(s.ll)
+        init = np.array(s.i) / sum(s.i)
+        moves = np.array(s.m).reshape(k, k)
+        moves = moves / moves.sum(axis=1, keepdims=True)
+        emit = np.array(s.e).reshape(k, m)
+        emit = emit / emit.sum(axis=1, keepdims=True)
+    rows.unpersist()
+    return init, moves, emit, trace
+
+
+def hawkes_loglik(df: DataFrame, key: str, time: str, mu: float, alpha: float, beta: float, window: float) -> DataFrame:
+    """(key, n, ll) of event times in [0, window] under an exponential Hawkes process."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf[time].to_numpy(float))
+        if len(t) and (t[0] < 0 or t[-1] > window):
+            ll = -np.inf
+        else:
+            r, ll = 0.0, -mu * window - alpha / beta * (1 - np.exp(-beta * (window - t))).sum()
+            for i in range(len(t)):
+                r = 0.0 if i == 0 else np.exp(-beta * (t[i] - t[i - 1])) * (r + 1)
+                ll += np.log(mu + alpha * r)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(t)], "ll": [float(ll)]})
+
+    return df.select(key, time).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, n long, ll double")
+
+
+def hawkes_em(df: DataFrame, key: str, time: str, window: float, iterations: int = 10, start: tuple[float, float, float] = (0.1, 0.1, 1.0)):
+    """(mu, alpha, beta) by EM; each sequence gives four sums per iteration."""
+    mu, alpha, beta = start
+    rows = df.select(key, time).cache()
+    for _ in range(iterations):
+
+        def run(pdf: pd.DataFrame, mu=mu, alpha=alpha, beta=beta) -> pd.DataFrame:
+            t = np.sort(pdf[time].to_numpy(float))
+            r = s = own = kids = wait = 0.0
+            for i in range(len(t)):
+                if i:
+                    gap = t[i] - t[i - 1]
+                    e = np.exp(-beta * gap)
+                    s = e * (s + gap * (r + 1))
+                    r = e * (r + 1)
+                rate = mu + alpha * r
+                own += mu / rate
+                kids += alpha * r / rate
+                wait += alpha * s / rate
+            return pd.DataFrame({"n": [float(len(t))], "own": [own], "kids": [kids], "wait": [wait]})
+
+        s = rows.groupBy(key).applyInPandas(run, "n double, own double, kids double, wait double").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.sum("kids").alias("kids"), F.sum("wait").alias("wait"), F.count("*").alias("k")).head()
+        mu = s.own / (window * s.k)
+        beta = s.kids / s.wait if s.wait > 0 else beta
+        alpha = beta * min(max(s.kids / s.n, 1e-6), 0.999)
+    rows.unpersist()
+    return mu, alpha, beta
+
+
+def local_level(df: DataFrame, key: str, order: list[str], value: str, q: float, r: float) -> DataFrame:
+    """(key, n, ll, last): Kalman filter of a random walk seen with noise, per series."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(order, kind="stable")[value].to_numpy(float)
+        m, p, ll = y[0], r, 0.0
+        for v in y[1:]:
+            p += q
+            s = p + r
+            ll += -0.5 * (np.log(2 * np.pi * s) + (v - m) ** 2 / s)
+            g = p / s
+            m, p = m + g * (v - m), (1 - g) * p
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(y)], "ll": [ll], "last": [m]})
+
+    return df.select(key, *order, value).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, n long, ll double, last double")
