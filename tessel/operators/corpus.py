@@ -17,7 +17,10 @@ def token_counts(df: DataFrame, by: str) -> DataFrame:
 
 
 def shingles(words: Column, k: int) -> Column:
-    """Distinct shingles of k words; a shorter text is one shingle, an empty one none."""
+    """Distinct shingles of k words; a shorter text is one shingle, an empty one none.
+
+    `words` should be a stored column: an expression would be evaluated again for every shingle.
+    """
     n = F.size(words)
     many = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
     return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(many))
@@ -67,8 +70,11 @@ def redact(text: Column, rules=SECRET_RULES) -> Column:
 def hashed_ngrams(df: DataFrame, n: int = 3, buckets: int = 1024) -> DataFrame:
     """(doc_id, bucket, weight): L2-normalised counts of hashed character n-grams of the padded lower-case text."""
     text = F.concat(F.lit(" "), F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(buckets)))
-    counts = df.select("doc_id", F.explode(grams).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("c"))
+    # Characters are cut once: a substring would be looked for from the text's start each time.
+    chars = df.select("doc_id", F.split(text, "").alias("_c"))
+    places = chars.select("doc_id", "_c", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_c") - n, F.lit(0)))).alias("i"))
+    grams = places.select("doc_id", F.pmod(F.xxhash64(F.concat_ws("", *[F.get("_c", F.col("i") + j) for j in range(n)])), F.lit(buckets)).alias("bucket"))
+    counts = grams.groupBy("doc_id", "bucket").agg(F.count("*").alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("doc_id")))
     return counts.select("doc_id", "bucket", (F.col("c") / norm).alias("weight"))
 
@@ -86,10 +92,12 @@ def lexical_search(df: DataFrame, query: list[str], top: int) -> DataFrame:
     """(doc_id, score): share of the query's words that a document holds, exactly or by a common prefix of four letters or more; the best `top`."""
     words = F.array_distinct(tokens(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[^\p{L}\p{N}\s]", " ")))
     rows = df.select("doc_id", words.alias("w"))
-    hit = F.lit(0)
-    for q in query:
-        near = F.lit(False) if len(q) < 4 else F.exists("w", lambda x, q=q: x.startswith(q) | ((F.length(x) >= 4) & F.lit(q).startswith(x)))
-        hit = hit + (F.array_contains("w", q) | near).cast("int")
+
+    def meets(q: str) -> Column:
+        near = F.lit(False) if len(q) < 4 else F.exists("w", lambda x: x.startswith(q) | ((F.length(x) >= 4) & F.lit(q).startswith(x)))
+        return (F.array_contains("w", q) | near).cast("int")
+
+    hit = sum((meets(q) for q in query), F.lit(0))
     return rows.select("doc_id", (hit / len(query)).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top)
 
 

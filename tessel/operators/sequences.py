@@ -55,7 +55,7 @@ def baum_welch(df: DataFrame, key: str, order: str, symbol: str, symbols: list[s
     rows = df.select(key, order, symbol).cache()
     for _ in range(iterations):
 
-        def run(pdf: pd.DataFrame, init=init, moves=moves, emit=emit) -> pd.DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:  # pickled where it is applied, with this step's values
             obs = np.array([index[s] for s in pdf.sort_values(order, kind="stable")[symbol]])
             n = len(obs)
             a, b, c = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
@@ -107,7 +107,7 @@ def hawkes_em(df: DataFrame, key: str, time: str, window: float, iterations: int
     rows = df.select(key, time).cache()
     for _ in range(iterations):
 
-        def run(pdf: pd.DataFrame, mu=mu, alpha=alpha, beta=beta) -> pd.DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:  # pickled where it is applied, with this step's values
             t = np.sort(pdf[time].to_numpy(float))
             r = s = own = kids = wait = 0.0
             for i in range(len(t)):

@@ -29,7 +29,8 @@ def exact_duplicates(spark, sf_dir):
 
 @query("shingle_counts", f"WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, CAST(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS INTEGER) AS shingles FROM w")
 def shingle_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(cp.shingles(cp.tokens(F.col("text")), 5)).alias("shingles"))
+    words = table(spark, sf_dir, "documents").select("doc_id", cp.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size(cp.shingles(F.col("w"), 5)).alias("shingles"))
 
 
 def _regex_count(p: str) -> str:
