@@ -42,6 +42,8 @@ PER_KIND = 1500
 LANDMARKS, ROUNDS, KEEP = 320, 5, 1 << 19
 #: Documents that a unit must be in, and times its odds must be those in other documents, to count as toxic by itself.
 SURE = 12
+#: Least odds of a witness and least evidence (toxic documents times log-odds) that it isn't there by chance.
+LEAST_ODDS, LEAST_EVIDENCE = 4, 6
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -260,9 +262,13 @@ def train(sentences: list[tuple[int, str]], toxic: dict[int, int], landmarks: in
     witness = {int(b[np.argmax(told[b])]) for b in toxic_bags}
     # Units so common in toxic documents alone that chance is ruled out are positive throughout.
     sure = set(np.flatnonzero((count[:, 1] >= SURE) & (lift >= np.log(SURE))).tolist())
+    # A word of the language is commoner in toxic documents by chance alone; it is no witness while others are.
+    telling = (lift >= np.log(LEAST_ODDS)) & (told >= LEAST_EVIDENCE)
+    if not telling.any():
+        telling = lift > 0
     machine = Machine(np.zeros(ALPHABET**ORDER, np.float32), -1.0)
     for _ in range(rounds):
-        pos = np.array(sorted(sure | {w for w in witness if lift[w] > 0}), np.int64)
+        pos = np.array(sorted(sure | {w for w in witness if telling[w]}), np.int64)
         neg = np.setdiff1d(pool, pos)
         shown = [names[i] for i in pos] + [v for i in pos for v in garbled(names[i], rng)]
         x = with_landmarks(shown + [names[i] for i in neg], table_, slot) @ root
