@@ -13,7 +13,10 @@ Work per step:
 3. in every bucket, all members are verified against the smallest one (never all pairs), links are
    contracted to components, and only members of buckets that still hold several components go on,
    each round against a bounded number of further pivots, until no pair in question is left;
-4. a pair is verified on its whole sets.
+4. a pair must pass a bound first: sets whose elements are counted in `CELLS` cells differ in at
+   least the sum of the differences of these counts, so a pair beyond the allowed differences is no
+   link, and no text is moved for it;
+5. what is left is verified on its whole sets.
 
 A signature over no element says little. With s spare first-level parts, similar sets agree in s + 1
 parts at least, so a set with at most s parts that have an empty subset leaves those out; all others
@@ -40,8 +43,12 @@ from tessel.llm.words import batches_by_bytes, mix, words
 
 #: Words of a shingle; a link has 100 x intersection >= PERCENT x union.
 SHINGLE, PERCENT = 4, 85
-#: Pivots per bucket and round after the first.
-PIVOTS = 32
+#: Pivots per bucket in the round after the first; they double from round to round up to the second number.
+PIVOTS, MOST_PIVOTS = 32, 512
+#: Cells in which a set's elements are counted, a byte each.
+CELLS = 128
+#: Classes in question up to which their names (16 bytes each) are broadcast to the documents.
+BROADCAST_CLASSES = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -87,6 +94,13 @@ def class_numbers(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return mix(total + counts.astype(np.uint64) * _A).astype(np.int64)
 
 
+def sketches(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """For each set, how many of its elements fall into each cell, at most 255."""
+    cell = np.repeat(np.arange(len(counts)), counts) * CELLS + (mix(values + _A) % np.uint64(CELLS)).astype(np.int64)
+    held = np.minimum(np.bincount(cell, minlength=len(counts) * CELLS), 255).astype(np.uint8)
+    return [row.tobytes() for row in held.reshape(len(counts), CELLS)]
+
+
 class Bands:
     """Bands of set sizes for a threshold, and the layout of the domain in each."""
 
@@ -253,6 +267,22 @@ def buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "bucket long, first long, id long, several boolean")
 
 
+def plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and cell counts don't rule out a link. texts: (id, n, sketch)."""
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for k in (4, 5))
+            most = n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
+            keep = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (np.abs(x - y).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, link) of candidate pairs (a, b): whether their whole sets are similar. texts: (id, text)."""
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -292,36 +322,43 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     wanted = shared.select("id").distinct()
     absent = F.lit(-(1 << 63))
     source = sets.join(wanted, "id").groupBy("id").agg(F.min(F.coalesce("doc_id", absent)).alias("key"))
+    source = checkpoint(source)
+    if source.count() <= BROADCAST_CLASSES:
+        source = F.broadcast(source)
     found = docs.select(F.coalesce("doc_id", absent).alias("key"), "text").join(source, "key").select("id", "text")
 
     def right_text(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            same = np.zeros(len(ids), bool)
             for lo, hi in batches_by_bytes(texts):
                 values, counts = shingle_sets(texts[lo:hi], size)
-                same[lo:hi] = (class_numbers(values, counts) == ids[lo:hi]) & (counts > 0)
-            yield batch.filter(pa.array(same))
+                same = pa.array((class_numbers(values, counts) == ids[lo:hi]) & (counts > 0))
+                part = [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(counts), pa.array(sketches(values, counts), pa.binary())]
+                yield pa.RecordBatch.from_arrays(part, ["id", "text", "n", "sketch"]).filter(same)
+
+    texts = checkpoint(found.mapInArrow(right_text, "id long, text string, n long, sketch binary").dropDuplicates(["id"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = checkpoint(plausible(pairs, texts, percent))
+        return left if left.isEmpty() else checkpoint(verify(left, texts, size, percent).where("link").select("a", "b"))
 
-    texts = checkpoint(found.mapInArrow(right_text, "id long, text string").dropDuplicates(["id"]))
-    pairs = shared.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpoint(verify(pairs, texts, size, percent).where("link").select("a", "b"))
+    links = linked(shared.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     roots = components(links)
-    several = shared.where("several").select("bucket", "id")
-    done = 1  # the smallest member was the first pivot
+    live = shared.where("several").select("bucket", "id")
+    done, pivots_now = 1, PIVOTS  # the smallest member was the first pivot
     while True:
-        named = several.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        named = live.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > done + 1)).select("bucket")
         ranked = checkpoint(named.join(split, "bucket").withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))))
-        pivots = ranked.where((F.col("k") > done) & (F.col("k") <= done + PIVOTS)).select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("k").alias("k_a"))
-        if pivots.isEmpty():
+        if ranked.isEmpty():
             break
-        more = ranked.join(pivots, "bucket").where((F.col("k") > F.col("k_a")) & (F.col("root") != F.col("root_a"))).select("a", F.col("id").alias("b")).distinct()
-        fresh = checkpoint(verify(more, texts, size, percent).where("link").select("a", "b"))
+        pivots = ranked.where((F.col("k") > done) & (F.col("k") <= done + pivots_now)).select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("k").alias("k_a"))
+        fresh = linked(ranked.join(pivots, "bucket").where((F.col("k") > F.col("k_a")) & (F.col("root") != F.col("root_a"))).select("a", F.col("id").alias("b")).distinct())
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             roots = components(links)
-        done += PIVOTS
+        live = ranked.select("bucket", "id")
+        done, pivots_now = done + pivots_now, min(2 * pivots_now, MOST_PIVOTS)
     # The smallest doc_id of each class, then of each component, then back to the rows by class.
     least = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     per_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
