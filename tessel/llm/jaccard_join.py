@@ -65,7 +65,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, n
     with np.errstate(over="ignore"):
         n = len(key)
         total = key.copy()
-        for j in range(1, size):
+        for j in range(1, min(size, n)):
             total[: n - j] = total[: n - j] * _A + key[j:]
         first = np.cumsum(n_words) - n_words
         here = np.arange(n) - first[of]
