@@ -3,30 +3,37 @@
 Texts are cut into words; numbers, units after a number and names (capitalised words inside a
 sentence) become typed placeholders, the rest is lower-cased. Windows of `SIZE` template words are
 hashed and joined with those of the benchmark, so a question with other numbers or names still
-meets its original. A hit counts where its slots are consistent: within a document and an item, a
+meets its original. A hit counts where its slots are consistent: within an occurrence of an item, a
 benchmark value stands for one and the same value of the document throughout (with few exceptions).
-A document is contaminated if the hits cover at least `COVER` of an item's windows.
+A document is contaminated if the hits of an occurrence cover at least `COVER` of an item's windows.
+
+Occurrences are told apart by their shift, the place in the text less that in the item: hits of one
+shift are one, as are hits of a text whose sorted shifts lie no further apart than each of `SHIFTS`
+(words were put in or left out), and all hits of a document together (an item in scattered pieces).
+Each is judged for itself, so variants of an item beside its copy don't hide it.
 
 The benchmark's windows are counted first. Below a bound they are broadcast, with a bitmap of their
-hashes as a first sieve; beyond it every window is shuffled to the join. Hits are pre-aggregated per document and item, so a passage that many documents
-share stays one row each.
+hashes as a first sieve; beyond it every window is shuffled to the join. Hits are pre-aggregated per document, item and shift,
+so a passage that many documents share stays one row each.
 
 Results for odd input: null and empty texts have no window and are clean; items of fewer words than
 a window are matched as one shorter window, by exactly as many words; rows that repeat a doc_id are
-each judged by the texts under that id together (kept or dropped alike); a null doc_id is never
+each judged by the texts under that id, each alone and all together (kept or dropped alike); a null doc_id is never
 contaminated by itself alone: its texts are judged under the id null; an empty benchmark leaves
 every document clean.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm.common import table
 
 #: Words of a window, least share of an item's windows, placeholders a window may have at most.
 SIZE, COVER, MOST_SLOTS = 8, 0.5, 4
+#: Distances of shifts within one occurrence.
+SHIFTS = (0, SIZE, 4 * SIZE)
 #: Windows of a benchmark up to which they are broadcast.
 BROADCAST_WINDOWS = 1_000_000
 #: Least share of an item's values that stand for one value each.
@@ -60,14 +67,14 @@ def window_key(at: str, n: int):
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """item_id, windows, w_size, key, w_at, w_words, w_slots of every window of the benchmark."""
-    rows = with_words(benchmark.select("item_id", "text")).where("size(_raw) > 0").withColumn("w_size", F.least(F.size("_raw"), F.lit(size)))
+    """item_id, i_text, windows, w_size, key, w_at, w_words, w_slots of every window of the benchmark."""
+    rows = with_words(benchmark.select("item_id", "text", F.xxhash64("text").alias("i_text"))).where("size(_raw) > 0").withColumn("w_size", F.least(F.size("_raw"), F.lit(size)))
     rows = rows.withColumn("n_windows", F.size("_raw") - F.col("w_size") + 1)
     rows = rows.withColumn("w_at", F.explode(F.sequence(F.lit(1), F.col("n_windows"))))
     keys = F.lit(None).cast("long")
     for n in range(1, size + 1):
         keys = F.when(F.col("w_size") == n, window_key("w_at", n)).otherwise(keys)
-    rows = rows.select("item_id", "n_windows", "w_size", "w_at", F.expr("slice(_raw, w_at, w_size)").alias("w_raw"), F.expr("slice(_tpl, w_at, w_size)").alias("w_tpl"), keys.alias("key"))
+    rows = rows.select("item_id", "i_text", "n_windows", "w_size", "w_at", F.expr("slice(_raw, w_at, w_size)").alias("w_raw"), F.expr("slice(_tpl, w_at, w_size)").alias("w_tpl"), keys.alias("key"))
     slots = F.size(F.filter("w_tpl", lambda w: w.isin(NUMBER, UNIT, NAME)))
     return rows.withColumn("w_slots", slots).where(F.col("w_slots") <= MOST_SLOTS)
 
@@ -84,39 +91,47 @@ def _bitmap(keys: list[int]) -> tuple[list[int], int]:
 
 
 def candidate_windows(tokens: DataFrame, n: int, keys: list[int] | None) -> DataFrame:
-    """doc_id, key, d_raw of the windows of `n` words whose hash may be among `keys` (None: of all).
+    """doc_id, d_text, p, key, d_raw of the windows of `n` words whose hash may be among `keys` (None: of all).
 
     The positions are generated, hashed and tried on the keys' bitmap inside one stage of generated
     code; only likely hits leave it with their words.
     """
     places = F.when(F.size("_h") >= n, F.sequence(F.lit(1), F.size("_h") - (n - 1)))
-    wins = tokens.select("doc_id", "_raw", "_h", F.explode(places).alias("p")).withColumn("key", window_key("p", n))
+    wins = tokens.select("doc_id", "d_text", "_raw", "_h", F.explode(places).alias("p")).withColumn("key", window_key("p", n))
     if keys is not None:
         words, mask = _bitmap(keys)
         word = F.get(F.lit(words).cast("array<bigint>"), F.call_function("shiftright", F.col("key"), F.lit(6)).bitwiseAND(F.lit(mask)).cast("int"))
         wins = wins.where(F.call_function("shiftrightunsigned", word, F.col("key").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return wins.select("doc_id", "key", F.slice("_raw", F.col("p"), F.lit(n)).alias("d_raw"), F.lit(n).alias("n"))
+    return wins.select("doc_id", "d_text", "p", "key", F.slice("_raw", F.col("p"), F.lit(n)).alias("d_raw"), F.lit(n).alias("n"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, item_id, cover, consistent of every document and item that share a template window."""
+    """doc_id, item_id, cover, consistent of every occurrence of an item in a document that share a template window."""
     wanted = item_windows(benchmark, size).cache()
     per_size = {r[0]: r[1] for r in wanted.groupBy("w_size").count().orderBy("w_size").limit(size).collect()}
     few = sum(per_size.values()) <= BROADCAST_WINDOWS
-    tokens = with_words(docs.select("doc_id", "text")).select("doc_id", "_raw", "_h")
+    tokens = with_words(docs.select("doc_id", "text", F.xxhash64("text").alias("d_text"))).select("doc_id", "d_text", "_raw", "_h")
     wins = None
     for n in per_size or {size: 0}:
         keys = [r[0] for r in wanted.where(F.col("w_size") == n).select("key").distinct().collect()] if few else None
         part = candidate_windows(tokens, n, keys)
         wins = part if wins is None else wins.unionByName(part)
-    right = wanted.select("item_id", "n_windows", "w_size", "w_at", "w_raw", "w_tpl", F.col("key").alias("w_key"))
+    right = wanted.select("item_id", "i_text", "n_windows", "w_size", "w_at", "w_raw", "w_tpl", F.col("key").alias("w_key"))
     met = wins.join(F.broadcast(right) if few else right, (F.col("key") == F.col("w_key")) & (F.col("n") == F.col("w_size")))
     # Words that aren't placeholders must be equal, which also rules out equal hashes of other templates.
     placed = F.exists(F.arrays_zip("d_raw", "w_raw", "w_tpl"), lambda z: (z["d_raw"] != z["w_raw"]) & ~z["w_tpl"].isin(NUMBER, UNIT, NAME))
     met = met.where(~placed)
     pairs = F.filter(F.arrays_zip(F.col("w_tpl").alias("t"), F.col("w_raw").alias("b"), F.col("d_raw").alias("d")), lambda z: z["t"].isin(NUMBER, NAME))
     met = met.withColumn("values", F.transform(pairs, lambda z: F.struct(z["b"].alias("b"), z["d"].alias("d"))))
-    per = met.groupBy("doc_id", "item_id").agg((F.count_distinct("w_at") / F.first("n_windows")).alias("cover"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("pairs"))
+    alone = ["doc_id", "d_text", "item_id", "i_text"]
+    per = met.groupBy(*alone, (F.col("p") - F.col("w_at")).alias("shift")).agg(F.first("n_windows").alias("n_windows"), F.collect_set("w_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("pairs"))
+    w = Window.partitionBy(*alone).orderBy("shift")
+    per = per.withColumn("gap", F.col("shift") - F.lag("shift").over(w))
+    runs = [F.struct(F.lit(k).alias("level"), F.col("d_text").alias("text"), F.sum((F.coalesce("gap", F.lit(0)) > k).cast("long")).over(w).alias("run")) for k in SHIFTS]
+    pooled = F.struct(F.lit(-1).alias("level"), F.lit(None).cast("long").alias("text"), F.lit(0).cast("long").alias("run"))
+    per = per.withColumn("runs", F.array(*runs, pooled)).withColumn("run", F.explode("runs")).groupBy("doc_id", "item_id", "i_text", "run")
+    distinct = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    per = per.agg((F.size(distinct("at")) / F.first("n_windows")).alias("cover"), distinct("pairs").alias("pairs"))
     bench_values = F.size(F.array_distinct(F.transform("pairs", lambda z: z["b"])))
     # Values that stand for several: each further value beyond the first is one too many.
     return per.select("doc_id", "item_id", "cover", (F.size("pairs") <= bench_values + (1 - CONSISTENT) * bench_values).alias("consistent"))
@@ -125,6 +140,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, cover: float = COVER) -> DataFrame:
     """doc_id, items, cover: the documents that hold benchmark items, how many, and the largest cover."""
     found = hits(docs, benchmark, size).where((F.col("cover") >= cover) & F.col("consistent"))
+    found = found.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"))
     return found.groupBy("doc_id").agg(F.count("*").alias("items"), F.max("cover").alias("cover"), F.min("item_id").alias("first_item"))
 
 

@@ -129,6 +129,19 @@ def test_op6_slots_must_be_consistent(spark):
     assert found_in(spark, [good, bad], (item,)) == {0}
 
 
+def test_op6_copies_beside_variants_are_found(spark):
+    variant = lambda a, b, c, name: QUESTION.replace("12", a).replace("7", b).replace("3 of", f"{c} of").replace("Martin", name)
+    oliver, paul = variant("30", "9", "5", "Oliver"), variant("41", "8", "6", "Paul")
+    longer = QUESTION.replace("the market", "the big old market")
+    texts = [f"{QUESTION}? {oliver}?", f"{oliver}? {paul}? {variant('52', '4', '2', 'Simon')}?", f"{longer}? {oliver}?", "nothing of that kind is asked here at all in so many words"]
+    assert found_in(spark, texts) == {0, 1, 2}
+    assert found_in(spark, [f"{QUESTION}? {oliver}?"], (QUESTION, oliver)) == {0}
+    # Rows of one doc_id are judged alone as well.
+    docs = spark.createDataFrame([(1, QUESTION), (1, oliver), (2, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, QUESTION)], "item_id long, text string")
+    assert [(r.doc_id, r["items"]) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 1)]
+
+
 def test_op6_without_a_broadcast_finds_the_same(spark, monkeypatch, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     few = rows_of(decontamination.contaminated(docs, bench))
