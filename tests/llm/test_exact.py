@@ -142,6 +142,14 @@ def test_op6_copies_beside_variants_are_found(spark):
     assert [(r.doc_id, r["items"]) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+def test_op6_dense_items_and_other_case_are_found(spark):
+    dense = "Add 12 7 31 4 55 18 and 9 2 6 3 14 15 and 16 8 19 1 77 20 in all"
+    people = "when Anna met Boris and Clara saw Dmitri with Elena near Felix while Greta took Hans to Irma"
+    other = "Add 13 7 32 5 56 19 and 8 3 7 4 15 16 and 17 9 20 2 78 21 in all"
+    texts = [f"some words {dense} and more", f"it was {people.lower()} they said", f"It was, {people.upper()}", f"so {QUESTION.lower()}", QUESTION.title(), other, "a text that has no such words in it at all"]
+    assert found_in(spark, texts, (dense, people, QUESTION)) == {0, 1, 2, 3, 4}
+
+
 def test_op6_without_a_broadcast_finds_the_same(spark, monkeypatch, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     few = rows_of(decontamination.contaminated(docs, bench))
