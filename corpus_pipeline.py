@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 of `docs`. Between stages the rows are written as Parquet and read again.
 
 Null and empty texts: quality scores them like a short good line and keeps them; language ID rejects
-them as undetermined. Repeated rows of one text are one group of the Jaccard join, of which one row
-stays; rows that repeat a doc_id count as one document there, rows without doc_id that have no named
-partner stay. Extra columns pass through all filtering stages, whatever their names.
+them as undetermined. Every row is a document of its own to the Jaccard join, whatever its doc_id:
+of each group of linked rows one stays, also of rows without doc_id and of repeated rows; rows of
+different texts under one doc_id stay. Texts without words are linked to nothing and stay, but equal
+ones under one doc_id count once. Extra columns pass through all filtering stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,12 +48,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked documents: that of the smallest doc_id."""
-    groups = jaccard_join.similar_components(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    key = _free(docs, "first_id")
-    first = groups.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keep one row of each group of linked rows: that of the smallest doc_id, of rows without one if there is no other."""
+    key, first, group = _free(docs, "row_key"), _free(docs, "first_key"), _free(docs, "row_group")
+    # The keys are written out, as they must be the same whenever they are read.
+    rows = checkpoint(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = jaccard_join.similar_components(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    found = found.select(F.col("doc_id").alias(first), F.struct((F.col("n_shingles") == 0).alias("wordless"), "component_id").alias(group))
+    linked = rows.select(key, "doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("t")).join(found, F.col(key) == F.col(first))
+    alone = F.col(f"{group}.wordless") & F.col("doc_id").isNotNull()
+    linked = linked.select("doc_id", "h", F.col(key).alias("k"), F.when(~alone, F.col(f"{group}.component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("d"), F.when(alone, F.col("t")).alias("e"))
+    kept = linked.groupBy("c", "d", "e").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "k")).alias("first")).select(F.col("first.k").alias(first))
+    return rows.join(kept, F.col(key) == F.col(first), "left_semi").drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,13 @@ def test_odd_and_empty_tables(spark, odd, empty):
 def test_extra_columns_pass_through(spark, odd, k):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     assert corpus_pipeline.STAGES[k][1](spark, docs, odd).columns == docs.columns
+
+
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    one, two = "the first of the two texts has these words and no others in it", "quite another text stands here that shares nothing with what is above"
+    three = "a third one without any name that is there two times in equal rows"
+    rows = [(8, one), (8, two), (9, two), (None, one), (None, three), (None, three), (5, ""), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(8, one), (8, two), (None, three), (5, ""), (6, None)]))
