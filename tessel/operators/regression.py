@@ -84,9 +84,10 @@ def newey_west(df: DataFrame, order: list[str], value: str, by: str | None = Non
     w = Window.partitionBy(*keys).orderBy(*order)
     e = j.withColumn("e", F.col(value) - F.col("mean"))
     lags = F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))).cast("int")
-    # A row meets the rows before it through one array of a few elements.
-    past = F.collect_list("e").over(w.rowsBetween(-24, 0))
-    cross = e.withColumn("past", F.reverse(past)).withColumn("l", F.least(lags, F.lit(24)))
+    # A row meets the rows before it through one array, as long as the lags of the longest series (a few dozen).
+    most = stats.agg(F.max(lags)).head()[0] or 0
+    past = F.collect_list("e").over(w.rowsBetween(-most, 0))
+    cross = e.withColumn("past", F.reverse(past)).withColumn("l", lags)
     own = F.aggregate(F.transform("past", lambda x, i: F.when(i == 0, x * F.col("e")).when(i <= F.col("l"), 2 * (1 - i / (F.col("l") + 1)) * x * F.col("e")).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     return cross.withColumn("c", own).groupBy(*keys, "n", "mean").agg(F.sum("c").alias("s")).select(*keys, "n", "mean", F.sqrt(F.col("s") / F.col("n") ** 2 * F.col("n") / (F.col("n") - 1)).alias("se"))
 

@@ -86,3 +86,16 @@ def test_hashed_ngrams_and_search(spark):
     assert all(np.isclose(sum(w * w for w in v), 1) for v in by.values())
     found = corpus.lexical_search(docs, ["licenses", "fool", "the", "zzz"], 5).collect()
     assert [(r.doc_id, r.score) for r in found] == [(4, 0.5)]
+
+
+def test_newey_west_has_as_many_lags_as_the_rule(spark):
+    from pyspark.sql import functions as F
+
+    from tessel.operators import regression
+
+    n, lags = 400_000, 25
+    got = regression.newey_west(spark.range(n).select("id", F.sin(F.col("id") / 40.0).alias("x")), ["id"], "x").head()
+    e = np.sin(np.arange(n) / 40.0)
+    e -= e.mean()
+    want = e @ e + sum(2 * (1 - i / (lags + 1)) * (e[i:] @ e[:-i]) for i in range(1, lags + 1))
+    assert got.n == n and np.isclose(got.se, np.sqrt(want / n / (n - 1)), rtol=1e-9)
