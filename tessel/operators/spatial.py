@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Queries that are sent along or make a block; rows of a part that a block meets.
+SENT_QUERIES, PART_ROWS = 10_000, 20_000
+
 
 def vector_moments(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     """n, mean and covariance of an array column: a partial Gram matrix per task, summed by Spark per cell row."""
@@ -61,31 +64,50 @@ def kde_grid(df: DataFrame, column: str, grid: list[float], bandwidth: float, bi
 
 
 def nearest_of_queries(df: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
-    """(query, key, distance, rank): exact neighbours of a small stated query set, one pass over the rows in blocks.
+    """(query, key, distance, rank): exact neighbours of a query set of any size, within blocks of rows.
 
-    The queries are collected to be sent along, so their number is checked; each task keeps its k
-    best per query, and those are merged.
+    Up to `SENT_QUERIES` queries are sent along in one pass over the rows; more are cut into blocks of
+    about as many, and every block meets every part of the rows. Each task keeps its k best per query,
+    and those are merged.
     """
-    q = queries.select(key, column).limit(10_001).collect()
-    if len(q) > 10_000:
-        raise ValueError("at most 10,000 queries can be sent along; split the query set")
-    ids, qs = np.array([r[0] for r in q]), np.array([r[1] for r in q], float)
-
-    def scan(batches):
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x, keys = np.stack(pdf[column].to_numpy()).astype(float), pdf[key].to_numpy()
-            for i in range(len(ids)):
-                d = np.sqrt(((x - qs[i]) ** 2).sum(axis=1))
-                d[keys == ids[i]] = np.inf
-                best = np.lexsort((keys, d))[:k]
-                best = best[np.isfinite(d[best])]
-                yield pd.DataFrame({"query": ids[i], "key": keys[best], "distance": d[best]})
+    out = "query long, key long, distance double"
+    rows, asked = df.where(F.col(column).isNotNull()).select(key, column), queries.select(key, column)
+    q = asked.limit(SENT_QUERIES + 1).collect()
+
+    def best(ids, qs, keys, x):
+        for i in range(len(ids)):
+            d = np.sqrt(((x - qs[i]) ** 2).sum(axis=1))
+            d[keys == ids[i]] = np.inf
+            near = np.lexsort((keys, d))[:k]
+            near = near[np.isfinite(d[near])]
+            yield pd.DataFrame({"query": ids[i], "key": keys[near], "distance": d[near]})
+
+    if len(q) <= SENT_QUERIES:
+        ids, qs = np.array([r[0] for r in q]), np.array([r[1] for r in q], float)
+
+        def scan(batches):
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    yield from best(ids, qs, pdf[key].to_numpy(), np.stack(pdf[column].to_numpy()).astype(float))
+
+        found = rows.mapInPandas(scan, out)
+    else:
+        blocks, parts = math.ceil(asked.count() / SENT_QUERIES), math.ceil(rows.count() / PART_ROWS)
+        own = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.select(key, column, own(max(1, parts)).alias("part"), every(blocks).alias("block"))
+        right = asked.where(F.col(column).isNotNull()).select(key, column, own(blocks).alias("block"), every(max(1, parts)).alias("part"))
+
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "distance": np.zeros(0)})
+            if not len(x) or not len(y):
+                return none
+            return pd.concat([none, *best(y[key].to_numpy(), np.stack(y[column].to_numpy()).astype(float), x[key].to_numpy(), np.stack(x[column].to_numpy()).astype(float))])
+
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, out)
 
     from pyspark.sql import Window
 
-    found = df.where(F.col(column).isNotNull()).select(key, column).mapInPandas(scan, "query long, key long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "key")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -99,3 +99,24 @@ def test_newey_west_has_as_many_lags_as_the_rule(spark):
     e -= e.mean()
     want = e @ e + sum(2 * (1 - i / (lags + 1)) * (e[i:] @ e[:-i]) for i in range(1, lags + 1))
     assert got.n == n and np.isclose(got.se, np.sqrt(want / n / (n - 1)), rtol=1e-9)
+
+
+def test_more_queries_than_can_be_sent_have_the_same_neighbours(spark, sf, monkeypatch):
+    from tessel.operators import spatial
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+
+    def neighbours():
+        found = spatial.nearest_of_queries(rows, "vec_id", "embedding", rows.where("vec_id % 20 = 0"), 5).collect()
+        return sorted((r["query"], r["rank"], r["key"], round(r["distance"], 9)) for r in found)
+
+    want = neighbours()
+    monkeypatch.setattr(spatial, "SENT_QUERIES", 10)
+    monkeypatch.setattr(spatial, "PART_ROWS", 150)
+    assert want and neighbours() == want
+    # Beyond the bound that was an error.
+    monkeypatch.undo()
+    many = spark.range(10_001).selectExpr("id", "array(double(id), 0.0D) AS v")
+    few = many.where("id < 3 and id > 0")
+    got = spatial.nearest_of_queries(few, "id", "v", many, 1)
+    assert got.count() == 10_001
