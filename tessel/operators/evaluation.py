@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.running import quantiles, running
+
 
 def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """(bin, n, mean_p, mean_y) of equal-width bins [a, b), the last closed; empty bins left out."""
@@ -58,10 +60,8 @@ def crps_ensemble(members: Column, y: Column) -> Column:
 
 def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks (ties count one half)."""
-    from tessel.operators.tests import running_counts
-
     per = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("x")).agg(F.count("*").alias("t"), F.count_if(F.col(y) == 1).alias("pos"))
-    r = running_counts(per, "x", "t")
+    r = running(per, ["x"], {"before": ("sum", F.col("t"), False)})
     s = r.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("t") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum("t").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -69,21 +69,21 @@ def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
 def conformal_quantile(df: DataFrame, score: str, alpha: float, by: list[str] | None = None) -> DataFrame:
     """The ceil((n+1)(1-alpha))-th smallest score, infinity where there are too few; per group for `by`."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(score)
-    rows = df.where(F.col(score).isNotNull())
-    n = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    ranked = rows.select(*by, score).withColumn("_k", F.row_number().over(w))
-    j = ranked.join(F.broadcast(n), by) if by else ranked.crossJoin(F.broadcast(n))
+    per = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_t"))
+    n = per.groupBy(*by).agg(F.sum("_t").alias("n"))
+    ranked = running(per, ["_s"], {"_before": ("sum", F.col("_t"), False)}, by)
+    j = ranked.join(n, by) if by else ranked.crossJoin(F.broadcast(n))
     k = F.ceil((F.col("n") + 1) * (1 - alpha))
-    return j.groupBy(*by, "n").agg(F.coalesce(F.max(F.when(F.col("_k") == k, F.col(score))), F.lit(float("inf"))).alias("quantile"))
+    here = (F.col("_before") < k) & (k <= F.col("_before") + F.col("_t"))
+    return j.groupBy(*by, "n").agg(F.coalesce(F.max(F.when(here, F.col("_s"))), F.lit(float("inf"))).alias("quantile"))
 
 
 def weighted_conformal(df: DataFrame, score: str, weight: str, alpha: float, test_weight: float = 1.0) -> DataFrame:
     """First score with cumulative weight / (total + test weight) >= 1 - alpha, else infinity."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum(weight).alias("w"))
     total = per.agg((F.sum("w") + test_weight).alias("total"))
-    cum = per.crossJoin(F.broadcast(total)).withColumn("c", F.sum("w").over(Window.orderBy("s")) / F.col("total"))
-    return cum.agg(F.coalesce(F.min(F.when(F.col("c") >= 1 - alpha, F.col("s"))), F.lit(float("inf"))).alias("quantile"))
+    cum = running(per, ["s"], {"c": ("sum", F.col("w"), True)}).crossJoin(F.broadcast(total))
+    return cum.agg(F.coalesce(F.min(F.when(F.col("c") / F.col("total") >= 1 - alpha, F.col("s"))), F.lit(float("inf"))).alias("quantile"))
 
 
 def pit_histogram(df: DataFrame, pit: Column, bins: int = 10) -> DataFrame:
@@ -95,7 +95,7 @@ def psi(df: DataFrame, value: str, is_reference: Column, bins: int = 10) -> Data
     """Population stability index over the reference's deciles, proportions + 1e-6."""
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.alias("x"), is_reference.alias("r"))
-    cuts = rows.where("r").agg(F.array_distinct(F.percentile("x", [i / bins for i in range(1, bins)])).alias("cuts"))
+    cuts = quantiles(rows.where("r"), "x", [i / bins for i in range(1, bins)]).select(F.array_distinct("q").alias("cuts"))
     cell = F.aggregate("cuts", F.lit(0), lambda a, c: a + (F.col("x") >= c).cast("int"))
     counts = rows.crossJoin(F.broadcast(cuts)).groupBy(cell.alias("bin")).agg(F.count_if("r").alias("nr"), F.count_if(~F.col("r")).alias("nc"))
     tot = counts.agg(F.sum("nr").alias("tr"), F.sum("nc").alias("tc"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.operators.running import running
+
 
 def _design(columns: list[str]) -> list[Column]:
     return [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
@@ -97,23 +99,18 @@ def newey_west(df: DataFrame, order: list[str], value: str, by: str | None = Non
 
 def kfold(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """Contiguous folds of the order; sizes differ by at most one, the larger ones first."""
-    from tessel.operators.tests import running_counts
-
-    key = F.struct(*order)
-    ranked = running_counts(df.withColumn("_key", key).withColumn("_one", F.lit(1)), "_key", "_one")
+    ranked = running(df, order, {"before": ("sum", F.lit(1), False)})
     n = df.agg(F.count("*").alias("_n"))
     big, size = F.col("_n") % k, F.floor(F.col("_n") / k)
     edge = big * (size + 1)
     fold = F.when(F.col("before") < edge, F.floor(F.col("before") / (size + 1))).otherwise(big + F.floor((F.col("before") - edge) / size))
-    return ranked.crossJoin(F.broadcast(n)).withColumn("fold", fold.cast("int")).drop("_key", "_one", "_n", "before")
+    return ranked.crossJoin(F.broadcast(n)).withColumn("fold", fold.cast("int")).drop("_n", "before")
 
 
 def stratified_kfold(df: DataFrame, label: str, order: list[str], k: int) -> DataFrame:
     """Position within the label's rows modulo k."""
-    from tessel.operators.tests import running_counts
-
-    ranked = running_counts(df.withColumn("_key", F.struct(*order)).withColumn("_one", F.lit(1)), "_key", "_one", [label])
-    return ranked.withColumn("fold", (F.col("before") % k).cast("int")).drop("_key", "_one", "before")
+    ranked = running(df, order, {"before": ("sum", F.lit(1), False)}, [label])
+    return ranked.withColumn("fold", (F.col("before") % k).cast("int")).drop("before")
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.running import quantiles
+
 #: Queries that are sent along or make a block; rows of a part that a block meets.
 SENT_QUERIES, PART_ROWS = 10_000, 20_000
 
@@ -50,7 +52,8 @@ def mvn_score(df: DataFrame, column: str, mean: np.ndarray, cov: np.ndarray, rid
 
 def silverman_bandwidth(df: DataFrame, column: str) -> DataFrame:
     """0.9 min(sd, IQR / 1.349) n^(-1/5); the deviation alone where the IQR is 0."""
-    s = df.agg(F.count(column).alias("n"), F.stddev_samp(column).alias("sd"), (F.percentile(column, 0.75) - F.percentile(column, 0.25)).alias("iqr"))
+    quarters = quantiles(df, column, [0.25, 0.75]).select((F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    s = df.agg(F.count(column).alias("n"), F.stddev_samp(column).alias("sd")).crossJoin(quarters)  # two single rows
     spread = F.when(F.col("iqr") == 0, F.col("sd")).otherwise(F.least("sd", F.col("iqr") / 1.349))
     return s.select((0.9 * spread * F.pow("n", F.lit(-0.2))).alias("bandwidth"))
 

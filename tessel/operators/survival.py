@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.running import running
+
 
 def _counts(df: DataFrame, time: str, event: str, by: list[str]) -> DataFrame:
     """(by, t, d, n, at_risk): events and rows of each distinct time, rows not ended before it."""
     per = df.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("t")).agg(F.count_if(F.col(event) != 0).alias("d"), F.count("*").alias("n"))
-    late = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("at_risk", F.sum("n").over(late))
+    return running(per, ["t"], {"at_risk": ("sum", F.col("n"), True)}, by, descending=True)
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     """(by, t, at_risk, d, survival, se) at each time with an event; Greenwood's error."""
     by = by or []
-    rows = _counts(df, time, event, by).where("d > 0")
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     left = F.col("at_risk") - F.col("d")
     term = F.when(left == 0, 0.0).otherwise(F.col("d") / (F.col("at_risk") * left))
-    s = F.product(1 - F.col("d") / F.col("at_risk")).over(w)
-    return rows.select(*by, "t", "at_risk", "d", s.alias("survival"), (s * F.sqrt(F.sum(term).over(w))).alias("se"))
+    rows = running(_counts(df, time, event, by).where("d > 0"), ["t"], {"survival": ("product", left / F.col("at_risk"), True), "_v": ("sum", term, True)}, by)
+    return rows.select(*by, "t", "at_risk", "d", "survival", (F.col("survival") * F.sqrt("_v")).alias("se"))
 
 
 def median_survival(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -31,28 +30,26 @@ def median_survival(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def nelson_aalen(df: DataFrame, time: str, event: str, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    rows = _counts(df, time, event, by).where("d > 0")
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*by, "t", "at_risk", "d", F.sum(F.col("d") / F.col("at_risk")).over(w).alias("hazard"), F.sqrt(F.sum(F.col("d") / F.col("at_risk") ** 2).over(w)).alias("se"))
+    share = F.col("d") / F.col("at_risk")
+    rows = running(_counts(df, time, event, by).where("d > 0"), ["t"], {"hazard": ("sum", share, True), "_v": ("sum", share / F.col("at_risk"), True)}, by)
+    return rows.select(*by, "t", "at_risk", "d", "hazard", F.sqrt("_v").alias("se"))
 
 
 def aalen_johansen(df: DataFrame, time: str, cause: str, by: list[str] | None = None) -> DataFrame:
     """(by, cause, t, incidence): cumulative incidence of each cause; cause 0 is censoring."""
     by = by or []
     all_ = _counts(df, time, cause, by).where("d > 0")
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    before = all_.select(*by, "t", "at_risk", F.coalesce(F.product(1 - F.col("d") / F.col("at_risk")).over(w), F.lit(1.0)).alias("s"))
+    before = running(all_, ["t"], {"s": ("product", 1 - F.col("d") / F.col("at_risk"), False)}, by).select(*by, "t", "at_risk", "s")
     per = df.where(F.col(cause) != 0).groupBy(*by, F.col(time).alias("t"), F.col(cause).alias("cause")).agg(F.count("*").alias("k"))
-    run = Window.partitionBy(*by, "cause").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return per.join(before, [*by, "t"]).select(*by, "cause", "t", F.sum(F.col("s") * F.col("k") / F.col("at_risk")).over(run).alias("incidence"))
+    rows = running(per.join(before, [*by, "t"]), ["t"], {"incidence": ("sum", F.col("s") * F.col("k") / F.col("at_risk"), True)}, [*by, "cause"])
+    return rows.select(*by, "cause", "t", "incidence")
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str, first) -> DataFrame:
     """observed, expected, variance, chi2 of one group against the rest."""
     rows = df.select(F.col(time).alias("t"), F.col(event).alias("e"), (F.col(group) == F.lit(first)).alias("one"))
     per = rows.groupBy("t").agg(F.count_if(F.col("e") != 0).alias("d"), F.count("*").alias("n"), F.count_if((F.col("e") != 0) & F.col("one")).alias("d1"), F.count_if("one").alias("n1"))
-    late = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = per.withColumn("y", F.sum("n").over(late)).withColumn("y1", F.sum("n1").over(late)).where("d > 0")
+    risk = running(per, ["t"], {"y": ("sum", F.col("n"), True), "y1": ("sum", F.col("n1"), True)}, descending=True).where("d > 0")
     v = F.when(F.col("y") > 1, F.col("d") * F.col("y1") / F.col("y") * (1 - F.col("y1") / F.col("y")) * (F.col("y") - F.col("d")) / (F.col("y") - 1)).otherwise(0.0)
     s = risk.agg(F.sum("d1").alias("observed"), F.sum(F.col("d") * F.col("y1") / F.col("y")).alias("expected"), F.sum(v).alias("variance"))
     return s.withColumn("chi2", (F.col("observed") - F.col("expected")) ** 2 / F.col("variance"))

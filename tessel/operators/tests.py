@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.special import log_of, normal_cdf_column
+from tessel.operators.running import quantiles, running
 
 
 def _clean(df: DataFrame, group: str | None, value: str) -> DataFrame:
@@ -19,18 +20,8 @@ def _clean(df: DataFrame, group: str | None, value: str) -> DataFrame:
 
 
 def running_counts(counts: DataFrame, value: str, count: str, by: list[str] | None = None) -> DataFrame:
-    """Add `before`, the rows with smaller values, to (value, count) rows.
-
-    Two levels: value ranges are dealt out, summed per range (one row each), and only those sums are
-    run through; so no task sees all values.
-    """
-    keys = by or []
-    spread = counts.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value).withColumn("_part", F.spark_partition_id())
-    parts = spread.groupBy(*keys, "_part").agg(F.sum(count).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return spread.join(F.broadcast(parts), [*keys, "_part"]).withColumn("before", F.col("_off") + F.coalesce(F.sum(count).over(inner), F.lit(0))).drop("_part", "_off")
+    """Add `before`, the rows with smaller values, to (value, count) rows; no task sees all values."""
+    return running(counts, [value], {"before": ("sum", F.col(count), False)}, by)
 
 
 def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -72,8 +63,7 @@ def ks_2samp(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
     per = _clean(df.where(F.col(group).isin(first, second)), group, value)
     one = F.col("g") == F.lit(first)
     c = per.groupBy("x").agg(F.count_if(one).alias("c1"), F.count_if(~one).alias("c2"))
-    a = running_counts(c, "x", "c1").withColumnRenamed("before", "b1")
-    b = running_counts(a, "x", "c2").withColumnRenamed("before", "b2")
+    b = running(c, ["x"], {"b1": ("sum", F.col("c1"), False), "b2": ("sum", F.col("c2"), False)})
     n = c.agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))
     gap = F.abs((F.col("b1") + F.col("c1")) / F.col("n1") - (F.col("b2") + F.col("c2")) / F.col("n2"))
     return b.crossJoin(F.broadcast(n)).agg(F.max(gap).alias("d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
@@ -82,7 +72,7 @@ def ks_2samp(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
 def mood_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group the rows above the grand median and the others, with the chi-squared statistic of the table."""
     rows = _clean(df, group, value)
-    med = rows.agg(F.median("x").alias("m"))
+    med = quantiles(rows, "x", [0.5]).select(F.col("q")[0].alias("m"))
     per = rows.crossJoin(F.broadcast(med)).groupBy("g").agg(F.count_if(F.col("x") > F.col("m")).alias("above"), F.count_if(F.col("x") <= F.col("m")).alias("below"))
     all_ = per.agg(F.sum("above").alias("ta"), F.sum("below").alias("tb"))
     n = F.col("above") + F.col("below")
@@ -146,22 +136,19 @@ def jonckheere(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def adjust_p(df: DataFrame, id_column: str, p: str) -> DataFrame:
-    """Bonferroni, Holm, Hochberg, Benjamini-Hochberg and Benjamini-Yekutieli adjusted p-values."""
-    n = df.agg(F.count(p).alias("_m"), F.expr(f"aggregate(sequence(1, cast(count({p}) as int)), 0D, (a, i) -> a + 1D / i)").alias("_h"))
-    up = Window.orderBy(p, id_column)
-    rows = df.crossJoin(F.broadcast(n)).withColumn("_k", F.row_number().over(up))
+    """Bonferroni, Holm, Hochberg, Benjamini-Hochberg and Benjamini-Yekutieli adjusted p-values.
+
+    Ranks and running extremes go through ranges of p, and the harmonic number is a sum over the ranks.
+    """
+    rows = running(df.select(id_column, p).where(F.col(p).isNotNull()), [p, id_column], {"_k": ("sum", F.lit(1), True)})
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_m"), F.sum(1.0 / F.col("_k")).alias("_h"))))
     m, k, one = F.col("_m"), F.col("_k"), F.lit(1.0)
-    down = Window.orderBy(F.desc(p), F.desc(id_column)).rowsBetween(Window.unboundedPreceding, 0)
-    grow = up.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        id_column,
-        p,
-        F.least(one, m * F.col(p)).alias("bonferroni"),
-        F.least(one, F.max((m - k + 1) * F.col(p)).over(grow)).alias("holm"),
-        F.least(one, F.min((m - k + 1) * F.col(p)).over(down)).alias("hochberg"),
-        F.least(one, F.min(m / k * F.col(p)).over(down)).alias("bh"),
-        F.least(one, F.min(F.col("_h") * m / k * F.col(p)).over(down)).alias("by"),
-    )
+    rows = running(rows, [p, id_column], {"_holm": ("max", (m - k + 1) * F.col(p), True)})
+    rows = running(rows, [p, id_column], {"_hochberg": ("min", (m - k + 1) * F.col(p), True), "_bh": ("min", m / k * F.col(p), True)}, descending=True)
+    adjusted = {"bonferroni": m * F.col(p), "holm": F.col("_holm"), "hochberg": F.col("_hochberg"), "bh": F.col("_bh"), "by": F.col("_h") * F.col("_bh")}
+    out = rows.select(id_column, p, *[F.least(one, c).alias(name) for name, c in adjusted.items()])
+    missing = df.where(F.col(p).isNull()).select(id_column, p, *[F.lit(None).cast("double").alias(name) for name in adjusted])
+    return out.unionByName(missing)
 
 
 def fisher_combine(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
