@@ -1,26 +1,25 @@
 """Exact n-gram Jaccard join by PartEnum signatures, and the classes of its links.
 
-A document is the set of its word shingles. Sizes fall into bands; two sets in reach of each other
-share a band, in which similar sets differ in at most k elements. The hash domain is cut into first-
-level parts, each into a few second-level parts. As k differences can't touch every first-level part
-more than once, some part has at most one difference, and then a subset of its second-level parts
-without it is equal in both sets. Each set gives one signature per first-level part and subset: a
-hash of its elements in that subset. Similar sets share a signature, always.
+A document is the set of its word shingles. Sizes fall into bands, a power of two each; a set also
+takes part in the next band if a partner there is in reach. In a band of sets that differ in at most
+k elements the hash domain is cut into more than k parts, and the subsets enumerated are those of
+one part, the fewest signatures that PartEnum allows: k differences touch at most k parts, so in any
+order of the signatures that all sets share, similar sets have a common one among their first k + 1.
+The order puts signatures first that a sample of the sets finds in few of them, so passages that
+many documents share seldom bring those documents together; it has no say in the result.
 
 Work per step:
-1. sets, sizes and set hashes per document; equal sets are one class from here on;
-2. signatures, dealt out and sorted; buckets of two classes or more are streamed out of the sort;
-3. in every bucket, all members are verified against the smallest one (never all pairs), links are
-   contracted to components, and only members of buckets that still hold several components go on,
-   each round against a bounded number of further pivots, until no pair in question is left;
-4. a pair must pass a bound first: sets whose elements are counted in `CELLS` cells differ in at
-   least the sum of the differences of these counts, so a pair beyond the allowed differences is no
-   link, and no text is moved for it;
-5. what is left is verified on its whole sets.
-
-A signature over no element says little. With s spare first-level parts, similar sets agree in s + 1
-parts at least, so a set with at most s parts that have an empty subset leaves those out; all others
-give them too. That loses no pair.
+1. sets, sizes, set hashes and sketches per document; equal sets are one class from here on;
+2. signatures, dealt out and sorted; buckets of two classes or more are streamed out of the sort,
+   equal buckets become one;
+3. each class meets one other, that with which it shares most buckets among the buckets' middles
+   (the members with most company), and links are contracted to components;
+4. buckets that still hold several components compare sketches within the bucket: a sketch has two
+   bits for each cell of the hash domain, at least one element and at least two, and the bits in
+   which two sketches differ are no more than the elements in which the sets differ. Pairs in reach
+   go on, first the likeliest of each pair of components, in the last of `ROUNDS` rounds all of them;
+   no pair within a component is ever given out;
+5. what is given out is verified on its whole sets.
 
 Results for odd input: null texts and texts without words have no set, no links and are their own
 component; fewer words than a shingle make one shingle of all; repeated rows are linked, each
@@ -30,11 +29,9 @@ Class numbers and shingles are 64-bit hashes.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import checkpoint, small_batches, table
@@ -43,13 +40,16 @@ from tessel.llm.words import batches_by_bytes, mix, words
 
 #: Words of a shingle; a link has 100 x intersection >= PERCENT x union.
 SHINGLE, PERCENT = 4, 85
-#: Pivots per bucket in the round after the first; they double from round to round up to the second number.
-PIVOTS, MOST_PIVOTS = 32, 512
-#: Cells in which a set's elements are counted, a byte each.
-CELLS = 128
+#: Pairs that a round gives out for two components of a bucket; None: all that are in reach.
+ROUNDS = (1, 16, None)
+#: A signature is common if one in SAMPLE of all sets has it at least COMMON times; at most so many are told to all tasks.
+SAMPLE, COMMON, MOST_COMMON = 8, 6, 1_000_000
+#: Bytes of sketches of a bucket that one task compares with each other; larger buckets are compared in blocks.
+BLOCK_BYTES = 8 << 20
 #: Classes in question up to which their names (16 bytes each) are broadcast to the documents.
 BROADCAST_CLASSES = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_ABSENT = -(1 << 63)
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,99 +94,138 @@ def class_numbers(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return mix(total + counts.astype(np.uint64) * _A).astype(np.int64)
 
 
-def sketches(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """For each set, how many of its elements fall into each cell, at most 255."""
-    cell = np.repeat(np.arange(len(counts)), counts) * CELLS + (mix(values + _A) % np.uint64(CELLS)).astype(np.int64)
-    held = np.minimum(np.bincount(cell, minlength=len(counts) * CELLS), 255).astype(np.uint8)
-    return [row.tobytes() for row in held.reshape(len(counts), CELLS)]
+def band_of(sizes: np.ndarray) -> np.ndarray:
+    """Band b has the sizes from 2**b to 2**(b + 1) - 1; 0 for empty sets."""
+    return np.frexp(np.maximum(sizes, 1).astype(np.float64))[1] - 1
+
+
+def most_differences(sizes, percent: int):
+    """In how many elements a set of so many differs at most from a similar one that is no smaller."""
+    return (100 - percent) * (sizes + 100 * sizes // percent) // (100 + percent)
+
+
+def parts_of(band: int, percent: int) -> int:
+    """Parts of a band: more than the most differences in it, and some in reserve for empty ones."""
+    k = int(most_differences((2 << band) - 1, percent))
+    return k + 3 + k // 16
+
+
+def cells_of(band: int) -> int:
+    return max(128, 2 << band)
+
+
+def memberships(counts: np.ndarray, percent: int):
+    """(band, sets) for each band that has some: own sets, and those of the band below with partners in reach."""
+    own = band_of(counts)
+    up = (counts > 0) & (100 * counts // percent >= 2 << own)
+    able = most_differences(counts, percent) > 0
+    for band in np.unique(np.concatenate([own[able], own[able & up] + 1])):
+        yield int(band), np.flatnonzero(able & ((own == band) | (up & (own + 1 == band))))
+
+
+def members_at(values: np.ndarray, counts: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of some of the sets, and the number of the set among them for each."""
+    n, first = counts[some], np.cumsum(counts) - counts
+    at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return values[at], np.repeat(np.arange(len(some)), n)
+
 
+def sketch(values: np.ndarray, row: np.ndarray, n_rows: int, band: int) -> list[bytes]:
+    """For each set, a bit for each cell that has an element of it, and one for each that has two."""
+    cells = cells_of(band)
+    held = np.bincount(row * cells + (mix(values + _A) & np.uint64(cells - 1)).astype(np.int64), minlength=n_rows * cells).reshape(n_rows, cells)
+    return [r.tobytes() for r in np.packbits(np.concatenate([held > 0, held > 1], axis=1), axis=1)]
 
-class Bands:
-    """Bands of set sizes for a threshold, and the layout of the domain in each."""
 
-    def __init__(self, percent: int = PERCENT, most: int = 1 << 40):
-        self.percent = percent
-        # A band must reach past every size that is in reach of one below it.
-        self.ratio = max(1.25, 100 / percent * 1.05)
-        low = [1]
-        while low[-1] < most:
-            low.append(max(low[-1] + 1, int(np.ceil(low[-1] * self.ratio))))
-        self.low = np.array(low)
+def sketches(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple[list, list]:
+    """Sketch of each set in its own band, and in the next one where it takes part in that; None elsewhere."""
+    own, up, bands = [None] * len(counts), [None] * len(counts), band_of(counts)
+    for band, members in memberships(counts, percent):
+        step = max(1, (1 << 20) // cells_of(band))
+        for lo in range(0, len(members), step):
+            some = members[lo : lo + step]
+            for i, s in zip(some.tolist(), sketch(*members_at(values, counts, some), len(some), band), strict=True):
+                (own if bands[i] == band else up)[i] = s
+    return own, up
 
-    def own(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, sizes, side="right") - 1
 
-    def layout(self, band: int) -> tuple[int, int, int, int]:
-        """Largest number of differences, first-level parts, spare ones among them, second-level parts."""
-        largest = int(self.low[band + 1] - 1)
-        k = 2 * (100 - self.percent) * largest // (100 + self.percent)
-        spare = 2 + k // 32
-        return k, k // 2 + 1 + spare, spare, 3 if largest <= 200 else 2
+#: Bits of a signature that name its band.
+_BAND_BITS = 6
 
 
-_BANDS: dict[int, Bands] = {}
+class Common:
+    """Signatures that many sets have, and on which level: one more for each doubling."""
 
+    def __init__(self, sig: np.ndarray, count: np.ndarray):
+        order = np.argsort(sig)
+        self.sig = sig[order]
+        self.level = np.minimum(band_of(count[order]) + 1, 250).astype(np.uint8)
 
-def bands(percent: int) -> Bands:
-    return _BANDS.setdefault(percent, Bands(percent))
+    def of(self, sig: np.ndarray) -> np.ndarray:
+        if not len(self.sig):
+            return np.zeros(sig.shape, np.uint8)
+        at = np.minimum(np.searchsorted(self.sig, sig), len(self.sig) - 1)
+        return np.where(self.sig[at] == sig, self.level[at], np.uint8(0))
 
 
-def signatures(values: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of all sets; sets that only equal sets can match give none."""
-    b = bands(percent)
-    own = b.own(np.maximum(counts, 1))
-    upper = (counts > 0) & (100 * counts >= percent * b.low[own + 1])
-    first = np.cumsum(counts) - counts
+def signatures(values: np.ndarray, counts: np.ndarray, percent: int = PERCENT, common: Common | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) of all sets: the first k + 1 of each, all of them if `common` is None."""
     which, out = [], []
-    for band in np.unique(np.concatenate([own[counts > 0], own[upper] + 1])):
-        k, parts, spare, inner = b.layout(int(band))
-        if k == 0:
-            continue
-        members = np.flatnonzero(((own == band) & (counts > 0)) | (upper & (own + 1 == band)))
-        for lo in range(0, len(members), 256):
-            some = members[lo : lo + 256]
-            n = counts[some]
-            at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            v = values[at]
-            row = np.repeat(np.arange(len(some)), n)
+    for band, members in memberships(counts, percent):
+        parts = parts_of(band, percent)
+        with np.errstate(over="ignore"):
+            name = mix(np.uint64(band) * _A + np.arange(parts, dtype=np.uint64) * _B)
+        step = max(1, (1 << 19) // parts)
+        for lo in range(0, len(members), step):
+            some = members[lo : lo + step]
+            v, row = members_at(values, counts, some)
             with np.errstate(over="ignore"):
-                place = (mix(v + _C) % np.uint64(parts * inner)).astype(np.int64)
-                cell = np.zeros((len(some) * parts * inner), np.uint64)
-                np.add.at(cell, row * (parts * inner) + place, mix(v ^ _C))
-                held = np.bincount(row * (parts * inner) + place, minlength=len(cell)).reshape(len(some), parts, inner)
-                cell = cell.reshape(len(some), parts, inner)
-                subsets = list(combinations(range(inner), inner - 1))
-                sums = np.stack([cell[:, :, list(s)].sum(axis=2) for s in subsets], axis=2)
-                full = np.stack([held[:, :, list(s)].sum(axis=2) > 0 for s in subsets], axis=2)
-                name = (np.uint64(band) * _A + np.arange(parts * len(subsets), dtype=np.uint64) * _B).reshape(1, parts, len(subsets))
-                sig = mix(sums + mix(name))
-            poor = (~full).any(axis=2).sum(axis=1) > spare
-            give = full | poor[:, None, None]
-            r = np.nonzero(give)[0]
-            which.append(some[r])
-            out.append(sig[give].astype(np.int64))
+                place = row * parts + (mix(v + _C) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                place, h = place[order], mix(v ^ _C)[order]
+                head = np.flatnonzero(np.diff(place, prepend=-1))
+                total = np.zeros(len(some) * parts, np.uint64)
+                if len(head):
+                    total[place[head]] = np.add.reduceat(h, head)
+                held = np.zeros(len(total), bool)
+                held[place[head]] = True
+                sig = mix(total.reshape(len(some), parts) + name)
+                sig = ((sig & ~np.uint64((1 << _BAND_BITS) - 1)) | np.uint64(band)).astype(np.int64)
+            held = held.reshape(sig.shape)
+            if common is None:
+                give = held
+            else:
+                # Parts without elements say least, so they come last.
+                level = np.where(held, common.of(sig), np.uint8(255))
+                order = np.argsort(level, axis=1, kind="stable")
+                first = np.arange(parts) < most_differences(counts[some], percent)[:, None] + 1
+                give = np.zeros(sig.shape, bool)
+                np.put_along_axis(give, order, first, axis=1)
+            which.append(some[np.nonzero(give)[0]])
+            out.append(sig[give])
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(which), np.concatenate(out)
 
 
-def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, id: the number of the set's class (null without a set)."""
+def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, id, own, up: the number of the set's class (null without a set) and its sketches."""
 
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            n, ids = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for lo, hi in batches_by_bytes(texts):
                 values, counts = shingle_sets(texts[lo:hi], size)
-                n[lo:hi], ids[lo:hi] = counts, class_numbers(values, counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ids, mask=n == 0)], ["doc_id", "n_shingles", "id"])
+                own, up = sketches(values, counts, percent)
+                ids = pa.array(class_numbers(values, counts), mask=counts == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(counts), ids, pa.array(own, pa.binary()), pa.array(up, pa.binary())], ["doc_id", "n_shingles", "id", "own", "up"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, id long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, id long, own binary, up binary")
 
 
-def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(sig, id) of every class, given once per task that holds it."""
+def signature_rows(docs: DataFrame, size: int, percent: int, common: Common | None = None) -> DataFrame:
+    """(sig, id) of every class, given once per task that holds it; without `common` all of one class in SAMPLE."""
 
     def run(batches):
         seen: set[int] = set()
@@ -195,59 +234,72 @@ def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for lo, hi in batches_by_bytes(texts):
                 values, counts = shingle_sets(texts[lo:hi], size)
                 ids = class_numbers(values, counts)
+                asked = counts > 0 if common is not None else (counts > 0) & (mix(ids.astype(np.uint64)) % np.uint64(SAMPLE) == 0)
                 keep = np.zeros(len(counts), bool)
-                for i, k in enumerate(ids.tolist()):
-                    if counts[i] and k not in seen:
+                for i in np.flatnonzero(asked).tolist():
+                    if (k := int(ids[i])) not in seen:
                         keep[i] = True
                         seen.add(k)
                 if len(seen) > 1 << 20:
                     seen.clear()
                 values, counts = values[np.repeat(keep, counts)], counts[keep]
-                who, sig = signatures(values, counts, percent)
+                who, sig = signatures(values, counts, percent, common)
                 for at in range(0, len(sig), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 18)]), pa.array(ids[keep][who[at : at + (1 << 18)]])], ["sig", "id"])
 
     return docs.select("text").where("text is not null").mapInArrow(run, "sig long, id long")
 
 
+def common_signatures(docs: DataFrame, size: int, percent: int) -> Common:
+    """The signatures that one in SAMPLE of the classes finds most often, at most MOST_COMMON of them."""
+    counts = signature_rows(docs, size, percent).distinct().groupBy("sig").count().where(F.col("count") >= COMMON)
+    counts = checkpoint(counts)
+    # Levels are doublings; those that don't fit into the bound all share the lowest place, as if rare.
+    levels = {r.level: r["count"] for r in counts.groupBy(F.floor(F.log2("count")).alias("level")).count().collect()}
+    least, have = 64, 0
+    for level in sorted(levels, reverse=True):
+        have += levels[level]
+        if have > MOST_COMMON:
+            break
+        least = level
+    got = counts.where(F.floor(F.log2("count")) >= least).toArrow()
+    return Common(got.column("sig").to_numpy().copy(), got.column("count").to_numpy().copy())
+
+
 def buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, first, id, several): members of signatures that several classes share, and the smallest of them.
+    """(bucket, id): members of signatures that several classes share.
 
-    Buckets with the same members get the same number, so that they are one after a distinct;
-    `several` marks buckets of three members or more.
+    A bucket's number comes from its members, and its lowest bits name the band; so buckets with the
+    same members have the same number. A bucket too large to hold keeps its signature as number.
     """
+    band_bits = np.uint64((1 << _BAND_BITS) - 1)
 
     def run(batches):
         held_s, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        open_sig, open_first = None, 0  # a bucket too large to hold, given out in pieces
+        open_sig = None  # of a bucket too large to hold, given out in pieces
 
         def give(sig, ids, last_is_open):
             """Members of whole runs in sorted arrays."""
-            nonlocal open_sig, open_first
+            nonlocal open_sig
             if not len(sig):
                 return None
             fresh = np.ones(len(sig), bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
             sig, ids = sig[fresh], ids[fresh]
-            head = np.ones(len(sig), bool)
-            head[1:] = sig[1:] != sig[:-1]
-            start = np.flatnonzero(head)
+            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             length = np.diff(np.append(start, len(sig)))
-            first = ids[start].copy()
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix(ids.astype(np.uint64)), start)
-                name = mix(total + length.astype(np.uint64)).astype(np.int64)
-            several = length >= 3
+                name = mix(total + length.astype(np.uint64))
+                name = ((name & ~band_bits) | (sig[start].astype(np.uint64) & band_bits)).astype(np.int64)
+            of = np.repeat(np.arange(len(start)), length)
+            several = length >= 2
             if open_sig is not None and sig[0] == open_sig:
-                first[0], name[0], several[0] = open_first, open_sig, True
-                length[0] = max(length[0], 2)
+                name[0], several[0] = open_sig, True
             if last_is_open:
-                name[-1], several[-1], length[-1] = sig[-1], True, max(length[-1], 2)
-                open_sig, open_first = sig[-1], first[-1]
-            of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(sig))))
-            keep = length[of] >= 2
-            of = of[keep]
-            return pa.RecordBatch.from_arrays([pa.array(name[of]), pa.array(first[of]), pa.array(ids[keep]), pa.array(several[of])], ["bucket", "first", "id", "several"])
+                name[-1], several[-1], open_sig = sig[-1], True, sig[-1]
+            keep = several[of]
+            return pa.RecordBatch.from_arrays([pa.array(name[of[keep]]), pa.array(ids[keep])], ["bucket", "id"])
 
         for batch in batches:
             s = np.concatenate([held_s, batch.column(0).to_numpy()])
@@ -264,25 +316,145 @@ def buckets(rows: DataFrame) -> DataFrame:
         if got is not None and got.num_rows:
             yield got
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "bucket long, first long, id long, several boolean")
+    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "bucket long, id long")
+
+
+def _bits(column) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), np.uint64).reshape(len(held), -1)
+
 
+def in_reach(n_a: np.ndarray, n_b: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least so many elements can be similar."""
+    most = n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (differ <= most)
 
-def plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and cell counts don't rule out a link. texts: (id, n, sketch)."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+def _band(column: str) -> Column:
+    return F.col(column).bitwiseAND((1 << _BAND_BITS) - 1).cast("int")
+
+
+def sketch_rows(classes: DataFrame) -> DataFrame:
+    """(id, band, n, sketch) of the classes (id, n, own, up) in each band in which they take part."""
+    band = F.floor(F.log2("n")).cast("int")
+    rows = F.array(F.struct(band.alias("band"), F.col("own").alias("sketch")), F.struct((band + 1).alias("band"), F.col("up").alias("sketch")))
+    return classes.select("id", "n", F.inline(rows)).where("sketch is not null").select("id", "band", "n", "sketch")
+
+
+def plausible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) among (a, b, band) whose sizes and sketches don't rule out a link."""
+    side = lambda x: sketched.select(F.col("id").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("b"), ["b", "band"]).join(side("a"), ["a", "band"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def run(batches):
         for batch in batches:
-            n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for k in (4, 5))
-            most = n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
-            keep = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (np.abs(x - y).sum(axis=1) <= most)
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            differ = np.array([np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum() for p, q in zip(x, y, strict=True)], np.int64)
+            keep = in_reach(batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def best_partners(shared: DataFrame) -> DataFrame:
+    """(a, b, band): for each class b its likeliest partner a among the middles of its buckets.
+
+    A bucket's middle is its member with most company over all its buckets; in a group of copies with
+    changes that is the text that the others were changed from, or close to it.
+    """
+    sized = shared.join(shared.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
+    score = sized.groupBy("id").agg(F.sum(F.col("times") * F.log2("members")).alias("score"))
+    scored = shared.join(score, "id")
+    middles = scored.groupBy("bucket").agg(F.max(F.struct("score", "id")).alias("m")).select("bucket", F.col("m.id").alias("a"))
+    met = shared.join(middles, "bucket").where("a <> id").groupBy("a", F.col("id").alias("b")).agg(F.sum("times").alias("times"), F.max(_band("bucket")).alias("band"))
+    return met.groupBy("b").agg(F.max(F.struct("times", "a", "band")).alias("m")).select("m.a", "b", "m.band")
+
+
+def likely_pairs(live: DataFrame, sketched: DataFrame, percent: int, most: int | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(bucket, a, b): pairs of classes of one bucket, in different components and in reach by their sketches.
+
+    live: (bucket, id, root). For two components of a bucket the `most` pairs that differ least, all if
+    None. Sketches are compared where the bucket's members meet; those of a large bucket are dealt to
+    blocks, and each two blocks meet in a task of their own.
+    """
+    rows = live.withColumn("band", _band("bucket")).join(sketched, ["id", "band"])
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("members"), F.max(_band("bucket")).alias("band"))
+    blocks = sizes.select("bucket", F.ceil(F.col("members") * F.greatest(F.lit(32.0), F.pow(2.0, F.col("band") - 1)) / block_bytes).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "sketch")
+
+    def best(found):
+        """Of the pairs (a, b, root, root, differ) found, those to be kept."""
+        a, b, r, s, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        if most is not None:
+            order = np.lexsort((b, a, d, s, r))
+            a, b, r, s, d = a[order], b[order], r[order], s[order], d[order]
+            head = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1])))
+            rank = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a))))
+            a, b, r, s, d = (x[rank < most] for x in (a, b, r, s, d))
+        return a, b, r, s, d
+
+    def compare(across, own, ids, root, n, bits):
+        """Record batches of the pairs of one group."""
+        _, of, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((ids, root, size[of]))  # the largest component last, as it isn't compared with itself
+        own, ids, root, n, bits = own[order], ids[order], root[order], n[order], bits[order]
+        found, have = [], 0
+        step = max(1, (1 << 19) // (len(ids) * bits.shape[1]))
+        for lo in range(0, len(ids), step):
+            if root[lo] == root[-1]:
+                break
+            hi = min(lo + step, len(ids))
+            differ = np.bitwise_count(bits[lo:hi, None, :] ^ bits[None, lo:, :]).sum(axis=2, dtype=np.int64)
+            ok = in_reach(n[lo:hi, None], n[None, lo:], differ, percent) & (root[lo:hi, None] != root[None, lo:])
+            ok &= np.arange(lo, len(ids))[None, :] > np.arange(lo, hi)[:, None]
+            if across:
+                ok &= own[lo:hi, None] != own[None, lo:]
+            x, y = np.nonzero(ok)
+            if not len(x):
+                continue
+            d, x, y = differ[x, y], x + lo, y + lo
+            flip = root[x] > root[y]
+            x, y = np.where(flip, y, x), np.where(flip, x, y)
+            found.append((ids[x], ids[y], root[x], root[y], d))
+            have += len(x)
+            if have > 1 << 20:
+                found = [best(found)]
+                if most is None:
+                    yield found.pop()
+                have = len(found[0][0]) if found else 0
+        if found:
+            yield best(found)
+
+    def run(batches):
+        key, held = None, []
+
+        def close():
+            if len(held) == 0 or key is None:
+                return
+            own, ids, root, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+            bits = np.concatenate([h[4] for h in held])
+            for a, b, *_ in compare(key[1] != key[2], own, ids, root, n, bits):
+                for at in range(0, len(a), 1 << 17):
+                    x, y = a[at : at + (1 << 17)], b[at : at + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key[0])), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["bucket", "a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            own, ids, root, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(3, 7))
+            head = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            for lo, hi in zip(head, np.append(head[1:], len(keys)), strict=True):
+                if key != (now := tuple(keys[lo].tolist())):
+                    yield from close()
+                    key, held = now, []
+                held.append((own[lo:hi], ids[lo:hi], root[lo:hi], n[lo:hi], _bits(batch.column(7)[int(lo) : int(hi)])))
+        yield from close()
+
+    return dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, "bucket long, a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, link) of candidate pairs (a, b): whether their whole sets are similar. texts: (id, text)."""
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -313,57 +485,69 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long, link boolean")
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    sets = checkpoint(document_sets(docs, size))
-    shared = checkpoint(buckets(signature_rows(docs, size, percent)).distinct())
-    # One text for each class in question. A doc_id may have several texts: the class is computed again.
-    wanted = shared.select("id").distinct()
-    absent = F.lit(-(1 << 63))
-    source = sets.join(wanted, "id").groupBy("id").agg(F.min(F.coalesce("doc_id", absent)).alias("key"))
-    source = checkpoint(source)
-    if source.count() <= BROADCAST_CLASSES:
-        source = F.broadcast(source)
-    found = docs.select(F.coalesce("doc_id", absent).alias("key"), "text").join(source, "key").select("id", "text")
-
-    def right_text(batches):
+def named(docs: DataFrame) -> Column:
+    """The doc_id, a number or a string, with a value of its own for null."""
+    return F.coalesce("doc_id", F.lit(_ABSENT).cast(docs.schema["doc_id"].dataType))
+
+
+def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, text): one text of each class in `wanted` (id, key), found by a doc_id that has it."""
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    found = docs.select(named(docs).alias("key"), "text").join(wanted, "key").select("id", "text")
+
+    def run(batches):
+        # A doc_id may have several texts, so the class is computed again.
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), [(t or "").encode() for t in batch.column(1).to_pylist()]
             for lo, hi in batches_by_bytes(texts):
                 values, counts = shingle_sets(texts[lo:hi], size)
                 same = pa.array((class_numbers(values, counts) == ids[lo:hi]) & (counts > 0))
-                part = [batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(counts), pa.array(sketches(values, counts), pa.binary())]
-                yield pa.RecordBatch.from_arrays(part, ["id", "text", "n", "sketch"]).filter(same)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi]], ["id", "text"]).filter(same)
+
+    return found.mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+
 
-    texts = checkpoint(found.mapInArrow(right_text, "id long, text string, n long, sketch binary").dropDuplicates(["id"]))
+def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text); doc_id is a number or a string."""
+    small_batches(docs.sparkSession)
+    sets = checkpoint(document_sets(docs, size, percent))
+    common = common_signatures(docs, size, percent)
+    shared = checkpoint(buckets(signature_rows(docs, size, percent, common)).groupBy("bucket", "id").agg(F.count("*").alias("times")))
+    # Classes in question: size, sketches, and a doc_id that has the text.
+    asked = sets.where("id is not null").join(shared.select("id").distinct(), "id")
+    one = F.first(F.struct("n_shingles", "own", "up"))
+    classes = asked.groupBy("id").agg(one.alias("s"), F.min(named(docs)).alias("key"))
+    classes = checkpoint(classes.select("id", "key", F.col("s.n_shingles").alias("n"), "s.own", "s.up"))
+    sketched = sketch_rows(classes)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left = checkpoint(plausible(pairs, texts, percent))
-        return left if left.isEmpty() else checkpoint(verify(left, texts, size, percent).where("link").select("a", "b"))
-
-    links = linked(shared.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    roots = components(links)
-    live = shared.where("several").select("bucket", "id")
-    done, pivots_now = 1, PIVOTS  # the smallest member was the first pivot
-    while True:
-        named = live.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        split = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where((F.col("lo") != F.col("hi")) & (F.col("n") > done + 1)).select("bucket")
-        ranked = checkpoint(named.join(split, "bucket").withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))))
-        if ranked.isEmpty():
-            break
-        pivots = ranked.where((F.col("k") > done) & (F.col("k") <= done + pivots_now)).select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("k").alias("k_a"))
-        fresh = linked(ranked.join(pivots, "bucket").where((F.col("k") > F.col("k_a")) & (F.col("root") != F.col("root_a"))).select("a", F.col("id").alias("b")).distinct())
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = class_texts(docs, classes.select("id", "key").join(ids, "id"), size)
+        return checkpoint(verify(pairs, texts, size, percent))
+
+    tested = linked(checkpoint(plausible(best_partners(shared), sketched, percent)))
+    roots = components(tested.where("link").select("a", "b"))
+    live = shared.select("bucket", "id")
+    for most in ROUNDS:
+        rooted = live.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        live = checkpoint(rooted.join(split, "bucket"))
+        found = checkpoint(likely_pairs(live, sketched, percent, most))
+        # A bucket without a pair in reach has none later either.
+        live = live.select("bucket", "id").join(found.select("bucket").distinct(), "bucket", "left_semi")
+        seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = checkpoint(found.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = components(links)
-        live = ranked.select("bucket", "id")
-        done, pivots_now = done + pivots_now, min(2 * pivots_now, MOST_PIVOTS)
+            fresh = linked(fresh)
+            tested = tested.unionByName(fresh)
+            if not fresh.where("link").isEmpty():
+                roots = components(tested.where("link").select("a", "b"))
     # The smallest doc_id of each class, then of each component, then back to the rows by class.
     least = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     per_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     per_class = least.select("id", "root").join(per_root, "root").select("id", "component_id")
-    return sets.join(per_class, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "n_shingles", "id").join(per_class, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
