@@ -12,8 +12,9 @@ ones under one doc_id count once. Extra columns pass through all filtering stage
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tessel.llm import decontamination, jaccard_join, language_id, line_quality, piece_encoding
 from tessel.llm.common import checkpoint, crc_mod, table
@@ -47,18 +48,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(lang, score)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row, as text; equal rows have equal keys, whenever they are read."""
+    plain = [F.col(f"`{f.name}`") if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields]
+    flags = [c.isNull() for c in plain]
+    return F.concat(F.hex(F.xxhash64(*plain, *flags)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), *flags, *plain)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of linked rows: that of the smallest doc_id, of rows without one if there is no other."""
-    key, first, group = _free(docs, "row_key"), _free(docs, "first_key"), _free(docs, "row_group")
-    # The keys are written out, as they must be the same whenever they are read.
-    rows = checkpoint(docs.withColumn(key, F.monotonically_increasing_id()))
-    found = jaccard_join.similar_components(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT)
-    found = found.select(F.col("doc_id").alias(first), F.struct((F.col("n_shingles") == 0).alias("wordless"), "component_id").alias(group))
-    linked = rows.select(key, "doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("t")).join(found, F.col(key) == F.col(first))
-    alone = F.col(f"{group}.wordless") & F.col("doc_id").isNotNull()
-    linked = linked.select("doc_id", "h", F.col(key).alias("k"), F.when(~alone, F.col(f"{group}.component_id")).alias("c"), F.when(alone, F.col("doc_id")).alias("d"), F.when(alone, F.col("t")).alias("e"))
-    kept = linked.groupBy("c", "d", "e").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "k")).alias("first")).select(F.col("first.k").alias(first))
-    return rows.join(kept, F.col(key) == F.col(first), "left_semi").drop(key)
+    key = _free(docs, "row_key")
+    keyed = docs.withColumn(key, _row_key(docs))
+    rows = checkpoint(keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("t")).groupBy("k", "d", "h", "t").agg(F.count("*").alias("copies")))
+    found = jaccard_join.similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    found = found.select(F.col("doc_id").alias("k"), (F.col("n_shingles") == 0).alias("wordless"), "component_id").distinct()
+    alone = F.col("wordless") & F.col("d").isNotNull()
+    group = (F.when(~alone, F.col("component_id")), F.when(alone, F.col("d")), F.when(alone, F.col("t")))
+    first = F.min(F.struct(F.col("d").isNull().alias("unnamed"), "d", "h", "k", "copies", (F.col("wordless") & F.col("d").isNull()).alias("free")))
+    kept = checkpoint(rows.join(found, "k").groupBy(*group).agg(first.alias("f")).select(F.col("f.k").alias(key), ((F.col("f.copies") == 1) | F.col("f.free")).alias("whole")))
+    out = keyed.join(kept.where("whole"), key, "left_semi")
+    # Rows that repeat in all columns have one key: one of them stays.
+    again = kept.where("not whole")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
