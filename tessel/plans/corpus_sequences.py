@@ -29,34 +29,49 @@ def exact_duplicates(spark, sf_dir):
 
 @query("shingle_counts", f"WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, CAST(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS INTEGER) AS shingles FROM w")
 def shingle_counts(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", cp.tokens(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size(cp.shingles(F.col("w"), 5)).alias("shingles"))
+    return cp.shingle_hashes(table(spark, sf_dir, "documents"), 5).select("doc_id", F.size("shingles").alias("shingles"))
 
 
-def _regex_count(p: str) -> str:
-    return "CAST(len(regexp_extract_all(text, '" + p.replace("'", "''") + "')) AS INTEGER)"
+def _marked_sql(rules: int) -> str:
+    """The text with the findings of the first rules marked."""
+    text = "coalesce(text, '')"
+    for k, (_, p) in enumerate(cp.SECRET_RULES[:rules]):
+        text = f"regexp_replace({text}, '{p.replace(chr(39), chr(39) * 2)}', chr(12) || chr(57344) || '{k}' || chr(12), 'g')"
+    return text
+
+
+def _secret_count_sql(k: int) -> str:
+    name, p = cp.SECRET_RULES[k]
+    return f"CAST(len(regexp_extract_all({_marked_sql(k)}, '{p.replace(chr(39), chr(39) * 2)}')) AS INTEGER) AS {name}"
 
 
-@query("secret_flags", "SELECT doc_id, " + ", ".join(f"{_regex_count(p)} AS {n}" for n, p in cp.SECRET_RULES) + " FROM documents")
+@query("secret_flags", "SELECT doc_id, " + ", ".join(_secret_count_sql(k) for k in range(len(cp.SECRET_RULES))) + " FROM documents")
 def secret_flags(spark, sf_dir):
     return cp.secret_counts(table(spark, sf_dir, "documents"))
 
 
 def _redact_sql() -> str:
-    text = "text"
-    for n, p in cp.SECRET_RULES:
-        text = f"regexp_replace({text}, '{p}', '[REDACTED:{n}]', 'g')"
+    text = _marked_sql(len(cp.SECRET_RULES))
+    for k, (n, _) in enumerate(cp.SECRET_RULES):
+        text = f"replace({text}, chr(12) || chr(57344) || '{k}' || chr(12), '[REDACTED:{n}]')"
     return text
 
 
-@query("redact", f"SELECT doc_id, md5({_redact_sql()}) AS redacted_md5 FROM documents")
+@query("redact", f"SELECT doc_id, md5({_redact_sql()}) AS redacted_md5, len({_redact_sql()}) <> len(coalesce(text, '')) AS changed FROM documents")
 def redact(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cp.redact(F.col("text")).cast("binary")).alias("redacted_md5"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length(text).alias("n"), cp.redact(text).alias("r"))
+    return rows.select("doc_id", F.md5(F.col("r").cast("binary")).alias("redacted_md5"), (F.length("r") != F.col("n")).alias("changed"))
 
 
-@query("hashed_ngrams")
+@query("hashed_ngrams", """WITH c AS (SELECT doc_id, list_transform(string_split(' ' || lower(coalesce(text, '')) || ' ', ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: ((((c[i] % 2147483647) * 31 + c[i + 1]) % 2147483647 * 31 + c[i + 2]) % 2147483647) * 2654435761 % 4294967296 // 4194304)) AS b FROM c),
+n AS (SELECT doc_id, b, count(*) AS n FROM g GROUP BY doc_id, b), w AS (SELECT doc_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS w FROM n)
+SELECT doc_id, count(*) AS buckets, round(sum(w * w), 6) AS norm, round(sum(b * w), 4) AS centre FROM w GROUP BY doc_id""")
 def hashed_ngrams(spark, sf_dir):
-    return rounded(cp.hashed_ngrams(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(F.col("weight") * F.col("weight")).alias("norm")))
+    w = F.col("weight")
+    rows = cp.hashed_ngrams(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(w * w).alias("norm"), F.round(F.sum(F.col("bucket") * w), 4).alias("centre"))
+    return rounded(rows)
 
 
 @query("naive_bayes_text", f"WITH w AS (SELECT toxic AS label, unnest({_TOK}) AS word FROM documents JOIN labels USING (doc_id)), c AS (SELECT label, word, count(*) AS c FROM w GROUP BY 1, 2), t AS (SELECT label, sum(c) AS t FROM c GROUP BY 1), v AS (SELECT count(DISTINCT word) AS v FROM c) SELECT label, word, c, round(ln((c + 1) / (t + v)), 6) AS log_p FROM c JOIN t USING (label), v")
