@@ -1,11 +1,13 @@
 """Offset-preserving SentencePiece encoding and decoding.
 
-A text is normalised by longest-prefix matches in the model's compiled character map (a double-array
-trie); every normalised byte remembers the original byte it came from. The normalised text is cut
-before each run of word-start marks and around line ends: where no piece of the vocabulary holds a
-mark behind another character, or a line end beside one, no merge crosses such a cut, so the parts
-are encoded alone and remembered. Piece lengths
-then project, through the alignment, to byte spans of the original text.
+A text is normalised here, by longest-prefix matches in the model's compiled character map (a
+double-array trie); every normalised byte remembers the original byte it came from. What is encoded
+is that normalised text: the library gets the model without its own normalisation. A model whose map
+is empty (the default one's is) keeps all characters but spaces, which become marks. The normalised
+text is cut before each run of word-start marks and around line ends: where no piece of the vocabulary
+holds a mark behind another character, or a line end beside one, no merge crosses such a cut, so the
+parts are encoded alone and remembered. Piece lengths then project, through the alignment, to byte
+spans of the original text.
 
 Results for odd input: null counts as the empty text, which encodes to the begin and end ids alone;
 begin, end and dummy-prefix pieces have empty spans; repeated rows give one row each, doc_id may be
@@ -57,6 +59,25 @@ def _fields(blob: bytes):
         yield key >> 3, value
 
 
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n >= 128:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def without_normaliser(blob: bytes) -> bytes:
+    """The model with a normaliser that leaves every text as it is: no map, no mark put before it, no space dropped or replaced."""
+    spec = b"".join(_varint(k << 3) + b"\0" for k in (3, 4, 5))
+    out = b""
+    for k, v in _fields(blob):
+        if k != 3:
+            # The other fields of a model are messages.
+            out += _varint(k << 3 | 2) + _varint(len(v)) + v
+    return out + _varint(3 << 3 | 2) + _varint(len(spec)) + spec
+
+
 class CharacterMap:
     """The compiled map: a double-array trie over UTF-8 prefixes, and the replacements it points to."""
 
@@ -98,7 +119,9 @@ class Codec:
         if blob is None:
             with open(path, "rb") as f:
                 blob = f.read()
+        #: Decodes; encodes what is normalised already.
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        self.raw = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(blob))
         spec = next((v for k, v in _fields(blob) if k == 3), b"")
         spec = dict(_fields(spec))
         self.map = CharacterMap(spec.get(2, b""))
@@ -108,8 +131,7 @@ class Codec:
         pieces = [self.sp.id_to_piece(i) for i in range(n)]
         #: Bytes of the normalised text that a piece covers: byte pieces stand for one byte each.
         self.width = np.array([1 if self.sp.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], np.uint32)
-        plain = not self.map.units and self.dummy and self.escape and not self.squeeze and self.sp.unk_id() >= 0
-        self.by_parts = plain and any(self.sp.is_byte(i) for i in range(n)) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
+        self.by_parts = self.escape and any(self.sp.is_byte(i) for i in range(n)) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
         self.known: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -163,12 +185,8 @@ class Codec:
         return out.decode(), np.array([*back, end], np.uint32)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts. The library puts a mark before what it encodes: it is the part's own, or it
-        is cut off again with a line end, which no piece joins to its neighbours."""
-        if not parts:
-            return []
-        ids = self.sp.encode([p[1:] if p[0] == MARK else "\n" + p for p in parts], num_threads=1)
-        return [np.array((got or [self.sp.piece_to_id(MARK)]) if p[0] == MARK else got[2:], "<u4").tobytes() for p, got in zip(parts, ids, strict=True)]
+        """Ids of parts of normalised texts."""
+        return [np.array(got, "<u4").tobytes() for got in self.raw.encode(parts, num_threads=1)] if parts else []
 
     def learn(self, normals: list[str]) -> list[list[str]]:
         """Cut normalised texts into parts, and remember the ids of the short ones."""
@@ -196,23 +214,23 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         normal = [self.normalise(t) for t in texts]
         parts = self.learn([n for n, _ in normal]) if self.by_parts else [[]] * len(texts)
-        return [self._encode(t, back, cut) for t, (_, back), cut in zip(texts, normal, parts, strict=True)]
+        return [self._encode(t, n, back, cut) for t, (n, back), cut in zip(texts, normal, parts, strict=True)]
 
-    def _encode(self, text: str, back: np.ndarray, parts: list[str]) -> tuple[bytes, bytes]:
-        body = self.pieces(parts) if self.by_parts else np.array(self.sp.encode(text), "<u4").tobytes()
+    def _encode(self, text: str, normal: str, back: np.ndarray, parts: list[str]) -> tuple[bytes, bytes]:
+        body = self.pieces(parts) if self.by_parts else np.array(self.raw.encode(normal), "<u4").tobytes()
         ends = np.cumsum(self.width[np.frombuffer(body, "<u4")], dtype=np.int64)
-        if not self.by_parts and (len(ends) == 0 or ends[-1] != len(back) - 1):
-            ends = self._by_library(text, back)
+        if len(ends) == 0 or ends[-1] != len(back) - 1:
+            ends = self._by_surface(normal)
         edge = back[np.concatenate([[0], ends]).astype(np.int64)] if len(back) > 1 else back[:1]
         spans = np.empty((len(ends), 2), "<u4")
         spans[:, 0], spans[:, 1] = edge[:-1], edge[1:]
         first, last = (b"\0" * 8 if self.bos else b"", struct.pack("<II", *[len(text.encode())] * 2) if self.eos else b"")
         return self.bos + body + self.eos, first + spans.tobytes() + last
 
-    def _by_library(self, text: str, back: np.ndarray) -> np.ndarray:
+    def _by_surface(self, normal: str) -> np.ndarray:
         """Piece ends in the normalised text where ids don't tell them (unknown characters)."""
-        surfaces = self.sp.encode(text, out_type=str)
-        return np.cumsum([1 if self.sp.is_byte(self.sp.piece_to_id(p)) else len(p.encode()) for p in surfaces], dtype=np.int64)
+        surfaces = self.raw.encode(normal, out_type=str)
+        return np.cumsum([1 if self.raw.is_byte(self.raw.piece_to_id(p)) else len(p.encode()) for p in surfaces], dtype=np.int64)
 
     def decode(self, ids: bytes) -> str:
         return self.sp.decode(np.frombuffer(ids, "<u4").tolist())
