@@ -9,11 +9,15 @@ Reading: files are parsed record by record; segments are dealt out by origin ide
 segment number and streamed: a payload is decoded and hashed as its segments pass, so no task
 gathers a whole group. The total length is verified and the chunk framing decoded on the way.
 
+Every record has an identifier of its own, whatever its page_id; a page's target names its page_id and
+the SHA-1 of its payload, and that is what a revisit refers to. So rows that repeat a page_id, with
+equal or other payloads, and rows without one keep their own records and figures.
+
 Results for odd input: a null payload is empty; payloads below `least` bytes are never revisits; of
-equal payloads the largest page_id is the response and the others refer to it (rows that repeat its
-page_id are responses as well); a record whose segments are missing or whose length differs is
-returned with `error` set; an empty table writes no archive and gives no rows. Rows with a null
-page_id are written under the number -1.
+equal payloads the largest page_id is the response and the others, those without page_id as well, refer
+to it (rows that repeat its page_id are responses, and so are all rows where none has a page_id); a
+record whose segments are missing or whose length differs is returned with `error` set; an empty table
+writes no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +41,9 @@ CRLF = b"\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def record_uri(row: str) -> str:
-    return f"urn:tessel:page:{row}"
+def target_uri(page: int | None, sha: str) -> str:
+    """What a page's payload is known by."""
+    return f"urn:tessel:page:{'none' if page is None else page}:{sha}"
 
 
 def _record(kind: str, uri: str, block: bytes, fields: list[tuple[str, str]]) -> bytes:
@@ -140,12 +146,12 @@ def open_archive(data: bytes):
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """page_id, payload, n, sha, refers_to: the largest page_id of equal payloads, where that is another row."""
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1("payload"))
     # Partial sums make a hot payload one row per task; only groups that repeat are joined back.
     first = rows.where(F.col("n") >= least).groupBy("n", "sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1").select(F.col("n").alias("f_n"), F.col("sha").alias("f_sha"), "first_id")
     joined = rows.join(first, (F.col("n") == F.col("f_n")) & (F.col("sha") == F.col("f_sha")), "left")
-    return joined.select("page_id", "payload", "n", "sha", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    return joined.select("page_id", "payload", "n", "sha", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to"))
 
 
 def write_archive(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -155,16 +161,17 @@ def write_archive(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES
         for batch in batches:
             out = []
             for page, payload, sha, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "payload", "sha", "refers_to")), strict=True):
-                uri, digest = record_uri(page), ("WARC-Payload-Digest", f"sha1:{sha}")
+                # Segments are gathered by this identifier; all those of a row are written by one task.
+                uri, digest = f"urn:uuid:{uuid.uuid4()}", [("WARC-Target-URI", target_uri(page, sha)), ("WARC-Payload-Digest", f"sha1:{sha}")]
                 if refers is not None:
-                    out.append(_record("revisit", uri, b"", [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_uri(refers)}>"), digest]))
+                    out.append(_record("revisit", uri, b"", [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", target_uri(refers, sha)), *digest]))
                     continue
                 block = HTTP_HEAD + chunked(payload)
                 if len(block) <= segment_bytes:
-                    out.append(_record("response", uri, block, [digest]))
+                    out.append(_record("response", uri, block, digest))
                     continue
                 pieces = [block[a : a + segment_bytes] for a in range(0, len(block), segment_bytes)]
-                out.append(_record("response", uri, pieces[0], [digest, ("WARC-Segment-Number", "1")]))
+                out.append(_record("response", uri, pieces[0], [*digest, ("WARC-Segment-Number", "1")]))
                 for k, piece in enumerate(pieces[1:], 2):
                     last = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(pieces) else []
                     out.append(_record("continuation", f"{uri}:segment:{k}", piece, [("WARC-Segment-Origin-ID", f"<{uri}>"), ("WARC-Segment-Number", str(k)), *last]))
@@ -175,8 +182,8 @@ def write_archive(rows: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 2000).option("compression", "gzip").text(path)
 
 
-_RECORD = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("segmented", pa.bool_()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("block", pa.binary()), ("size", pa.int64()), ("sha1", pa.string()), ("error", pa.string())]
-_PAYLOAD = [("origin", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("error", pa.string())]
+_RECORD = [("origin", pa.string()), ("target", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("segmented", pa.bool_()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("block", pa.binary()), ("size", pa.int64()), ("sha1", pa.string()), ("error", pa.string())]
+_PAYLOAD = [("target", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("error", pa.string())]
 
 
 def _ddl(fields) -> str:
@@ -208,7 +215,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                             error = str(e)
                         if error is None:
                             size, sha = body.size, body.sha.hexdigest()
-                    rows.append((bare("warc-segment-origin-id") or bare("warc-record-id"), number("warc-segment-number") or 1, number("warc-segment-total-length"), segmented, f["warc-type"], bare("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block if segmented else None, size, sha, error))
+                    rows.append((bare("warc-segment-origin-id") or bare("warc-record-id"), bare("warc-target-uri"), number("warc-segment-number") or 1, number("warc-segment-total-length"), segmented, f["warc-type"], bare("warc-refers-to-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block if segmented else None, size, sha, error))
                     held += len(block) if segmented else 0
                     if held > 8 << 20 or len(rows) >= 2000:
                         yield _batch(rows, _RECORD)
@@ -220,7 +227,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """origin, record_type, refers_to, digest, payload_bytes, payload_sha1, error: one row per record, its segments joined."""
+    """target, record_type, refers_to, digest, payload_bytes, payload_sha1, error: one row per record, its segments joined."""
+    at = {k: i for i, (k, _) in enumerate(_RECORD)}
 
     def stream(batches):
         origin, body, first, seen, length, total, wrong = None, None, None, 0, 0, None, None
@@ -237,31 +245,29 @@ def reassemble(records: DataFrame) -> DataFrame:
             elif total != length:
                 error = error or "the total length differs"
             error = error or body.end()
-            kind = first[4] if first else "continuation"
             ok = error is None
-            done.append((origin, kind, first[5] if first else None, first[6] if first else None, body.size if ok else None, body.sha.hexdigest() if ok else None, error))
+            named = tuple(first[at[k]] if first else None for k in ("target", "record_type", "refers_to", "digest"))
+            done.append((named[0], named[1] or "continuation", *named[2:], body.size if ok else None, body.sha.hexdigest() if ok else None, error))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not row[3]:
-                    done.append((row[0], *row[4:7], *row[8:11]))
+                if not row[at["segmented"]]:
+                    done.append(tuple(row[at[k]] for k in ("target", "record_type", "refers_to", "digest", "size", "sha1", "error")))
                     continue
-                # A first segment opens a new payload, also under a repeated identifier.
-                if row[0] != origin or row[4] != "continuation" and first is None and seen == 0:
+                number, block = row[at["segment"]], row[at["block"]]
+                if row[0] != origin:
                     close()
                     origin, body, first, seen, length, total, wrong = row[0], Unchunker(), None, 0, 0, None, None
-                if row[1] == seen:
-                    if row[4] != "continuation":
-                        done.append((origin, row[4], row[5], row[6], None, None, "two records share an identifier"))
+                if number == seen:
                     continue  # a segment archived twice
-                if row[1] != seen + 1:
+                if number != seen + 1:
                     wrong = wrong or "a segment is missing"
-                seen, length, total = row[1], length + len(row[7]), row[2] if row[2] is not None else total
-                if row[4] != "continuation":
-                    first = row[:7]
+                seen, length, total = number, length + len(block), row[at["total"]] if row[at["total"]] is not None else total
+                if row[at["record_type"]] != "continuation":
+                    first = row
                 if wrong is None:
                     try:
-                        body.feed(row[7])
+                        body.feed(block)
                     except ValueError as e:
                         wrong = str(e)
             if done:
@@ -275,25 +281,26 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def page_number(column: str):
-    return F.substring_index(F.col(column), ":", -1).cast("long")
+    """The page_id in a target, null where it has none."""
+    return F.element_at(F.split(F.col(column), ":"), 4).try_cast("long")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, error of every record; revisits take size and digest from what they refer to."""
-    whole = reassemble(read_records(spark, path)).withColumn("page_id", page_number("origin")).withColumn("refers_to", page_number("refers_to"))
-    # Many revisits may name one record: its figures are copied to as many salts as name it.
-    whole = whole.withColumn("salt", F.pmod(F.col("page_id"), F.lit(SALTS)))
+    whole = reassemble(read_records(spark, path))
+    # Many revisits may name one target: its figures are copied to as many salts as name it.
+    whole = whole.withColumn("salt", F.pmod(F.xxhash64("target"), F.lit(SALTS)))
     used = whole.where("refers_to is not null").select(F.col("refers_to").alias("u_id"), F.col("salt").alias("r_salt")).distinct()
-    responses = whole.where("record_type = 'response'").groupBy(F.col("page_id").alias("r_id")).agg(F.first("payload_bytes").alias("r_bytes"), F.first("payload_sha1").alias("r_sha1"))
+    responses = whole.where("record_type = 'response'").groupBy(F.col("target").alias("r_id")).agg(F.first("payload_bytes").alias("r_bytes"), F.first("payload_sha1").alias("r_sha1"))
     named = used.join(responses, F.col("u_id") == F.col("r_id")).drop("u_id")
     joined = whole.join(named, (F.col("refers_to") == F.col("r_id")) & (F.col("salt") == F.col("r_salt")), "left")
     revisit = F.col("record_type") == "revisit"
     return joined.select(
-        "page_id",
+        page_number("target").alias("page_id"),
         F.when(revisit, F.col("r_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("r_sha1")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
         "record_type",
-        "refers_to",
+        page_number("refers_to").alias("refers_to"),
         F.coalesce("error", F.when(revisit & F.col("r_sha1").isNull(), F.lit("the record it refers to is missing")), F.when(F.coalesce(F.when(revisit, F.col("r_sha1")), F.col("payload_sha1")) != F.col("digest"), F.lit("the digest differs"))).alias("error"),
     )
 
@@ -310,7 +317,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
 m AS (SELECT n, h, max(page_id) AS first_id FROM d WHERE n >= 1000 GROUP BY n, h)
 SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
-  CASE WHEN m.first_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN m.first_id <> d.page_id THEN m.first_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
+  CASE WHEN m.first_id IS DISTINCT FROM d.page_id AND m.first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.first_id IS DISTINCT FROM d.page_id THEN m.first_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM d LEFT JOIN m ON m.n = d.n AND m.h = d.h
 """
