@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,29 +96,31 @@ def normal_cdf_column(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
-def normal_log_cdf_column(x: Column) -> Column:
-    """ln of the standard normal distribution function; an asymptotic series below -6."""
-    z = F.least(x, F.lit(-6.0))
-    s = 1 / (z * z)
-    tail = -z * z / 2 - F.ln(-z) - 0.5 * math.log(2 * math.pi) + F.log1p(-s * (1 - 3 * s * (1 - 5 * s * (1 - 7 * s * (1 - 9 * s)))))
-    return F.when(x < -6, tail).otherwise(F.ln(normal_cdf_precise_column(F.greatest(x, F.lit(-6.0)))))
+def _mills(a: float) -> float:
+    """(1 - distribution) / density of the standard normal at a >= 0."""
+    if a < 25:
+        return 0.5 * math.erfc(a / math.sqrt(2)) * math.exp(a * a / 2) * math.sqrt(2 * math.pi)
+    s = 1 / (a * a)
+    return (1 - s * (1 - 3 * s * (1 - 5 * s * (1 - 7 * s)))) / a
+
+
+def _mills_polynomial(degree: int = 24) -> list[float]:
+    """Coefficients, highest first, of a polynomial in y = 2 t - 1, t = 1 / (1 + a / 2), for Mills' ratio over t."""
+    t = (np.cos(np.pi * (np.arange(200) + 0.5) / 200) + 1) / 2
+    values = [_mills(2 / u - 2) / u for u in t]
+    fitted = np.polynomial.chebyshev.chebfit(2 * t - 1, values, degree)
+    return np.polynomial.chebyshev.cheb2poly(fitted)[::-1].tolist()
+
 
+_MILLS = _mills_polynomial()
 
-def normal_cdf_precise_column(x: Column) -> Column:
-    """Standard normal distribution function by the continued fraction beyond 3 and the Taylor series within, to about 1e-14."""
+
+def normal_log_cdf_column(x: Column) -> Column:
+    """ln of the standard normal distribution function, also where the function itself is no more than 0."""
     a = F.abs(x)
-    inner = F.least(a, F.lit(3.0))
-    sq = inner * inner
-    # The series sum of x^(2k+1) / (1 3 5 .. (2k+1)), in nested form from its far end.
-    nested = F.lit(1.0)
-    for k in range(45, 0, -1):
-        nested = 1 + nested * sq / (2 * k + 1)
-    density = F.exp(-sq / 2) / math.sqrt(2 * math.pi)
-    near = density * inner * nested
-    outer = F.greatest(a, F.lit(3.0))
-    frac = outer
-    for k in range(60, 0, -1):
-        frac = outer + F.lit(float(k)) / frac
-    far = F.exp(-outer * outer / 2) / math.sqrt(2 * math.pi) / frac
-    upper = F.when(a <= 3, 0.5 - near).otherwise(far)
-    return F.when(x >= 0, 1 - upper).otherwise(upper)
+    t = 1 / (1 + a / 2)
+    poly = F.lit(_MILLS[0])
+    for c in _MILLS[1:]:
+        poly = poly * (2 * t - 1) + c
+    tail = -a * a / 2 - 0.5 * math.log(2 * math.pi) + F.ln(t * poly)
+    return F.when(x < 0, tail).otherwise(F.log1p(-F.exp(tail)))
