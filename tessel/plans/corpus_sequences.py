@@ -252,7 +252,9 @@ def windowed_counts(spark, sf_dir):
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("streaming_fit")
+@query("streaming_fit", """WITH c AS (SELECT l_linenumber AS t, count(*) AS n, sum(l_quantity) AS s1, sum(l_quantity * l_quantity) AS s2 FROM lineitem GROUP BY 1),
+w AS (SELECT t, n, s1, s2, pow(t, -0.7) * (SELECT coalesce(product(1 - pow(u, -0.7)), 1) FROM range(2, 8) r(u) WHERE u > t) AS w FROM c)
+SELECT round(sum(w * s1) / sum(w * n), 6) AS mu, round(sum(w * s2) / sum(w * n) - pow(sum(w * s1) / sum(w * n), 2), 6) AS sigma2 FROM w""")
 def streaming_fit(spark, sf_dir):
     """Decayed estimates over seven chunks of the lines, by line number."""
     fit = st.StreamingFit(fam.FAMILIES["gaussian"], "l_quantity", st.harmonic(0.7))
@@ -267,7 +269,7 @@ def streaming_fit(spark, sf_dir):
 def incremental_fit(spark, sf_dir):
     """Chunks given twice replace themselves: the result is that of one fit over all rows."""
     fit, rows = st.IncrementalFit(fam.FAMILIES["gaussian"], "l_quantity"), table(spark, sf_dir, "lineitem")
-    parts = [r[0] for r in rows.select("l_linenumber").distinct().orderBy("l_linenumber").limit(100).collect()]
+    parts = [r[0] for r in rows.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
     for i in [*parts, *parts[:2]]:
         fit.update(rows.where(F.col("l_linenumber") == i), i)
     p = fit.params(spark)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,17 +22,31 @@ def harmonic(alpha: float, offset: float = 1.0) -> Callable[[int], float]:
     return lambda t: min(1.0, (offset + t - 1) ** -alpha)
 
 
+_STATE = "batch long, steps long, state string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 class StreamingFit:
     """S <- (1 - rate) S + rate s over batches, the first taken whole; a family's sums are the state.
 
     `update` is a `foreachBatch` function: one aggregation per batch. A batch number that was seen
-    is passed over, so a replay after a failure changes nothing.
+    is passed over. With a `path`, which belongs beside the query's checkpoint, every state is written
+    there before its batch counts as done, and a new driver goes on from the last one; so a replay
+    after a failure changes nothing.
     """
 
-    def __init__(self, family, column: str, schedule: Callable[[int], float]):
-        self.family, self.column, self.schedule = family, column, schedule
+    def __init__(self, family, column: str, schedule: Callable[[int], float], spark: SparkSession | None = None, path: str | None = None):
+        self.family, self.column, self.schedule, self.path = family, column, schedule, path
         self.state: dict[str, float] | None = None
         self.steps, self.last = 0, -1
+        if path is not None and spark is not None and _exists(spark, path):
+            row = spark.read.schema(_STATE).parquet(path).orderBy(F.desc("batch")).limit(1).head()
+            if row is not None:
+                self.last, self.steps, self.state = row.batch, row.steps, json.loads(row.state)
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last:
@@ -40,12 +55,13 @@ class StreamingFit:
         sums = self.family.stats(x, F.lit(1.0))
         row = batch.where(x.isNotNull()).agg(F.count("*").alias("_rows"), *[c.alias(k) for k, c in sums.items()]).head().asDict()
         self.last = batch_id
-        if not row.pop("_rows"):
-            return
-        self.steps += 1
-        new = {k: float(v) for k, v in row.items()}
-        rate = self.schedule(self.steps)
-        self.state = new if self.state is None else {k: (1 - rate) * self.state[k] + rate * new[k] for k in new}
+        if row.pop("_rows"):
+            self.steps += 1
+            new = {k: float(v) for k, v in row.items()}
+            rate = self.schedule(self.steps)
+            self.state = new if self.state is None else {k: (1 - rate) * self.state[k] + rate * new[k] for k in new}
+        if self.path is not None:
+            batch.sparkSession.createDataFrame([(batch_id, self.steps, json.dumps(self.state))], _STATE).coalesce(1).write.mode("append").parquet(self.path)
 
     def params(self, spark) -> dict[str, float]:
         names = list(self.state)
