@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.sources.shared import drop_shared, shared_dir
+from tessel.sources.shared import written as checkpoint
+
+__all__ = ["checkpoint", "crc_mod", "drop_shared", "shared_dir", "small_batches", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of `sf_dir`."""
@@ -22,46 +24,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which every executor can reach.
-
-    Where the setting is absent (tests on one machine) a temporary folder takes its place and
-    becomes the checkpoint folder of the context.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _local_base(spark)
-    return f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def _local_base(spark: SparkSession) -> str:
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = tempfile.mkdtemp(prefix="tessel-")
-    return _LOCAL[key]
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` by a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Remove a folder that `shared_dir` named, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def crc_mod(column: str, mod: int):
     """crc32 of the decimal text of a column, modulo `mod`."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(mod))

@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = checkpoint(small)
-        # Stars only: no node is both a centre and a leaf.
-        if new.join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+        # Stars only: no node has two centres, or is a centre itself and has one.
+        ends = new.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(new.select(F.col("v").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        if ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty():
             return new.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         now = new

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import table
+from tessel.llm.common import checkpoint, table
 
 #: Words of a window, least share of an item's windows, placeholders a template window may have at most.
 SIZE, COVER, MOST_SLOTS = 8, 0.5, 4
@@ -126,7 +126,7 @@ def candidate_windows(tokens: DataFrame, n: int, keys: list[int] | None) -> Data
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, item_id, cover, exact (the cover by plain windows), consistent of every occurrence of an item in a document that share a window."""
-    wanted = item_windows(benchmark, size).cache()
+    wanted = checkpoint(item_windows(benchmark, size))
     per_size = {r[0]: r[1] for r in wanted.groupBy("w_size").count().orderBy("w_size").limit(size).collect()}
     few = sum(per_size.values()) <= BROADCAST_WINDOWS
     tokens = with_words(docs.select("doc_id", "text", F.xxhash64("text").alias("d_text"))).select("doc_id", "d_text", "_raw", "_h", "_w")

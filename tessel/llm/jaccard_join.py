@@ -17,7 +17,7 @@ Work per step:
 4. buckets that still hold several components compare sketches within the bucket: a sketch has two
    bits for each cell of the hash domain, at least one element and at least two, and the bits in
    which two sketches differ are no more than the elements in which the sets differ. Pairs in reach
-   go on, first the likeliest of each pair of components, in the last of `ROUNDS` rounds all of them;
+   go on, first the likeliest few of each pair of components, in the last of `ROUNDS` rounds all of them;
    no pair within a component is ever given out;
 5. what is given out is verified on its whole sets.
 
@@ -41,7 +41,7 @@ from tessel.llm.words import batches_by_bytes, mix, words
 #: Words of a shingle; a link has 100 x intersection >= PERCENT x union.
 SHINGLE, PERCENT = 4, 85
 #: Pairs that a round gives out for two components of a bucket; None: all that are in reach.
-ROUNDS = (1, 16, None)
+ROUNDS = (8, None)
 #: A signature is common if one in SAMPLE of all sets has it at least COMMON times; at most so many are told to all tasks.
 SAMPLE, COMMON, MOST_COMMON = 8, 6, 1_000_000
 #: Bytes of sketches of a bucket that one task compares with each other; larger buckets are compared in blocks.

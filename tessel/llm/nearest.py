@@ -37,7 +37,7 @@ from tessel.llm.hilbert import hilbert_key
 #: Curves; directions of a projection and bits of each; vectors that cuts, scales and windows are fitted on.
 CURVES, AXES, BITS, SAMPLE = 16, 8, 6, 8192
 #: Segments of a curve, vectors of the sample to each at least; recall within the sample that windows are fitted to.
-SEGMENTS, LEAST_IN_SEGMENT, TARGET = 256, 16, 0.95
+SEGMENTS, LEAST_IN_SEGMENT, TARGET = 256, 32, 0.92
 #: Vectors that one task holds of a segment; candidates of a query that are compared exactly, in multiples of those asked for.
 PART, EXACT = 32_768, 6
 
@@ -92,13 +92,17 @@ class Curves:
     def decode(self, code: np.ndarray) -> np.ndarray:
         return (self.low + code * self.step).astype(np.float32)
 
-    def fit_window(self, sample: np.ndarray, k: int, target: float = TARGET, queries: int = 256) -> int:
-        """The fewest segments on each side with which the sample's nearest `k` are found with recall `target`."""
+    def fit_window(self, sample: np.ndarray, k: int, total: int, target: float = TARGET, queries: int = 256) -> int:
+        """The fewest segments on each side with which the sample's nearest are found with recall `target`.
+
+        Of a sample of so many as stand for the nearest `k` among all `total` vectors: these lie closer
+        than the sample's own nearest `k`.
+        """
         q = sample[:: max(1, len(sample) // queries)][:queries]
         rows = np.arange(0, len(sample), max(1, len(sample) // queries))[:queries]
         d = (q * q).sum(axis=1)[:, None] + (sample * sample).sum(axis=1)[None] - 2 * q @ sample.T
         d[np.arange(len(q)), rows] = np.inf
-        k = min(k, len(sample) - 1)
+        k = min(math.ceil(k * len(sample) / total), len(sample) - 1)
         if k < 1:
             return 0
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -132,7 +136,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, curves: int = CURVES
     drawn = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     sample = np.array([r.v for r in drawn.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").collect()], np.float64)
     index = Curves(sample, curves, segments)
-    side = index.fit_window(sample, keep) if window is None else window
+    side = index.fit_window(sample, keep, total) if window is None else window
     parts = max(1, math.ceil(total / index.segments / part))
     shared = spark.sparkContext.broadcast(index)
     name = lambda c, s, p: (c * index.segments + s) * parts + p

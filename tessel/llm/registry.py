@@ -1,6 +1,5 @@
 """The queries of this subpackage, and SQL where it can express them."""
 
-import corpus_pipeline
 from tessel.llm.decontamination import op6_decontamination
 from tessel.llm.jaccard_join import OP10_SQL, op10_jaccard_join
 from tessel.llm.language_id import op8_language_id
@@ -23,7 +22,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_nearest": op9_nearest,
     "op10_jaccard_join": op10_jaccard_join,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

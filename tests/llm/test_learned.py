@@ -49,6 +49,37 @@ def test_kernel_norms_equal_all_subsequences():
         assert np.isclose(toxicity.norms(np.array([codes]))[0], want, rtol=1e-4)
 
 
+def plain_kernel(a, b):
+    """The normalised kernel of two words, over all their subsequences."""
+    sums = []
+    for word in (a, b):
+        (codes,) = toxicity.encode(word)
+        one = {}
+        for at in combinations(range(len(codes)), toxicity.ORDER):
+            key = tuple(codes[i] for i in at)
+            one[key] = one.get(key, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        sums.append(one)
+    dot = lambda x, y: sum(v * y.get(k, 0.0) for k, v in x.items())
+    return dot(*sums) / np.sqrt(dot(sums[0], sums[0]) * dot(sums[1], sums[1]))
+
+
+def test_landmark_sum_folds_into_subsequence_weights():
+    marks, words = ["blockhead", "sentence", "abcabcab", "wordings"], ["blxockhead", "sentences", "bcabca", "zzzzqq", "head", "wordwords"]
+    rows, cols, vals = toxicity.kernel_features(marks)
+    used, place = np.unique(cols, return_inverse=True)
+    table = np.zeros((len(used) + 1, len(marks)), np.float32)
+    np.add.at(table, (place + 1, rows), vals)
+    slot = np.zeros(toxicity.ALPHABET**toxicity.ORDER, np.int32)
+    slot[used] = np.arange(1, len(used) + 1)
+    want = np.array([[plain_kernel(w, m) for m in marks] for w in words])
+    assert np.allclose(toxicity.with_landmarks(words, table, slot), want, atol=1e-5)
+    beta = np.array([1.5, -0.7, 0.3, 2.0])
+    weights = np.zeros(toxicity.ALPHABET**toxicity.ORDER, np.float32)
+    weights[used] = table[1:] @ beta
+    # A margin is never below the bias, that of a text without any unit.
+    assert np.allclose(toxicity.Machine(weights, -1.0).margins(words), np.maximum(want @ beta, 0) - 1.0, atol=1e-5)
+
+
 def test_network_equals_a_plain_convolution():
     rng = np.random.default_rng(2)
     net = language_id.ByteNet(["a", "b"], [rng.normal(size=(w, language_id.CLASSES, 3)) for w in (2, 3)], rng.normal(size=(6, 2)), np.zeros(2))
