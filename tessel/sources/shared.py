@@ -34,7 +34,8 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of `df` as a Parquet table in the shared folder: they are the same whenever they are read, and lineage ends here."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # The schema is known, so no job looks for it.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
