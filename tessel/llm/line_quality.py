@@ -216,13 +216,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_kind: int = PER_KIND) -> LineField | None:
-    """A field from the `per_kind` labelled documents of smallest hash of either kind."""
+    """A field from the `per_kind` labelled documents of smallest hash of either kind; at most twice as many rows, though ids may repeat."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     few = None
     for kind in (0, 1):
         part = marked.where((F.col("y") > 0) == F.lit(bool(kind))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_kind)
         few = part if few is None else few.unionByName(part)
-    rows = docs.join(F.broadcast(few.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id")).where("text is not null").select("text", (F.col("y") > 0).cast("int").alias("y"), "doc_id").orderBy("doc_id", "text").collect()
+    rows = docs.join(F.broadcast(few.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id")).where("text is not null").select("text", (F.col("y") > 0).cast("int").alias("y"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_kind).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text))
     good = np.array([r.y for r in rows])
     return train([r.text.encode() for r in rows], good) if 0 < good.sum() < len(good) else None
 
