@@ -159,23 +159,66 @@ def _binary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").selectExpr("l_quantity / 50 AS q", "l_discount AS d", "CASE WHEN (l_orderkey * 7 + l_linenumber * 3) % 50 < l_quantity THEN 1 ELSE 0 END AS y", "l_linenumber AS k", "l_suppkey")
 
 
-@query("logistic_irls")
+_BINARY = "x AS (SELECT l_quantity / 50 AS q, l_discount AS d, CASE WHEN (l_orderkey * 7 + l_linenumber * 3) % 50 < l_quantity THEN 1 ELSE 0 END AS y, l_linenumber AS k, l_suppkey FROM lineitem)"
+#: The inverse of a symmetric 3 x 3 matrix g00 .. g22 over its determinant, entry by entry.
+_DET = "(g00 * (g11 * g22 - g12 * g12) - g01 * (g01 * g22 - g12 * g02) + g02 * (g01 * g12 - g11 * g02))"
+_INVERSE = {
+    (0, 0): "(g11 * g22 - g12 * g12)",
+    (0, 1): "(g02 * g12 - g01 * g22)",
+    (0, 2): "(g01 * g12 - g02 * g11)",
+    (1, 1): "(g00 * g22 - g02 * g02)",
+    (1, 2): "(g01 * g02 - g00 * g12)",
+    (2, 2): "(g00 * g11 - g01 * g01)",
+}
+_GRAM = "sum({w}) AS g00, sum({w} * q) AS g01, sum({w} * d) AS g02, sum({w} * q * q) AS g11, sum({w} * q * d) AS g12, sum({w} * d * d) AS g22"
+
+
+def _inverse(i: int, j: int) -> str:
+    return f"({_INVERSE[min(i, j), max(i, j)]} / {_DET})"
+
+
+def _times(i: int, b: str = "b") -> str:
+    return " + ".join(f"{_inverse(i, j)} * {b}{j}" for j in range(3))
+
+
+def _newton_sql(y: str, mean: str, weight: str, start: str, steps: int) -> str:
+    """Newton steps on the likelihood of y, whose mean and weight are written in the linear part e."""
+    parts = [_BINARY, f"c0 AS ({start})"]
+    for i in range(1, steps + 1):
+        parts.append(f"e{i} AS (SELECT *, c_0 + c_1 * q + c_2 * d AS e FROM x, c{i - 1})")
+        parts.append(f"m{i} AS (SELECT *, {mean} AS mu, {weight} AS w FROM e{i})")
+        parts.append(f"g{i} AS (SELECT c_0, c_1, c_2, {_GRAM.format(w='w')}, sum({y} - mu) AS b0, sum(({y} - mu) * q) AS b1, sum(({y} - mu) * d) AS b2 FROM m{i} GROUP BY c_0, c_1, c_2)")
+        parts.append(f"c{i} AS (SELECT {', '.join(f'c_{j} + {_times(j)} AS c_{j}' for j in range(3))} FROM g{i})")
+    return "WITH " + ", ".join(parts) + " SELECT CAST(i AS INTEGER) AS i, round(CASE i WHEN 0 THEN c_0 WHEN 1 THEN c_1 ELSE c_2 END, 6) AS beta FROM c" + str(steps) + ", range(3) t(i)"
+
+
+@query("logistic_irls", _newton_sql("y", "1 / (1 + exp(-e))", "1 / (1 + exp(-e)) * (1 - 1 / (1 + exp(-e)))", "SELECT 0.0::DOUBLE AS c_0, 0.0::DOUBLE AS c_1, 0.0::DOUBLE AS c_2", 8))
 def logistic_irls(spark, sf_dir):
     return _coefficients(spark, rg.glm(_binary(spark, sf_dir), ["q", "d"], "y"))
 
 
-@query("poisson_irls")
+@query("poisson_irls", _newton_sql("k", "exp(e)", "exp(e)", "SELECT ln(avg(k)) AS c_0, 0.0::DOUBLE AS c_1, 0.0::DOUBLE AS c_2 FROM x", 6))
 def poisson_irls(spark, sf_dir):
     return _coefficients(spark, rg.glm(_binary(spark, sf_dir), ["q", "d"], "k", "poisson"))
 
 
-@query("robust_hc1")
+def _robust_sql(cluster: bool) -> str:
+    parts = [_BINARY, f"g AS (SELECT count(*) AS n, {_GRAM.format(w='1')}, sum(k) AS b0, sum(k * q) AS b1, sum(k * d) AS b2 FROM x)", f"v AS (SELECT *, {', '.join(f'{_times(j)} AS c{j}' for j in range(3))} FROM g)"]
+    parts.append("e AS (SELECT l_suppkey, q, d, k - c0 - c1 * q - c2 * d AS e FROM x, v)")
+    parts.append("s AS (SELECT " + ("sum(e) AS s0, sum(e * q) AS s1, sum(e * d) AS s2 FROM e GROUP BY l_suppkey" if cluster else "e AS s0, e * q AS s1, e * d AS s2 FROM e") + ")")
+    parts.append("m AS (SELECT count(*) AS k, " + ", ".join(f"sum(s{i} * s{j}) AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM s)")
+    factor = "k / (k - 1.0) * (n - 1.0) / (n - 3.0)" if cluster else "n / (n - 3.0)"
+    quad = lambda r: " + ".join(f"{_inverse(r, i)} * m{i}{j} * {_inverse(j, r)}" for i in range(3) for j in range(3))
+    return "WITH " + ", ".join(parts) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {r} AS i, round(c{r}, 6) AS beta, round(sqrt({factor} * ({quad(r)})), 6) AS se FROM v, m" for r in range(3)) + ")"
+
+
+@query("robust_hc1", _robust_sql(False))
 def robust_hc1(spark, sf_dir):
     beta, se = rg.robust_errors(_binary(spark, sf_dir), ["q", "d"], "k")
     return spark.createDataFrame([(i, round(float(b), 6), round(float(s), 6)) for i, (b, s) in enumerate(zip(beta, se, strict=True))], "i int, beta double, se double")
 
 
-@query("cluster_robust")
+@query("cluster_robust", _robust_sql(True))
 def cluster_robust(spark, sf_dir):
     beta, se = rg.robust_errors(_binary(spark, sf_dir), ["q", "d"], "k", "l_suppkey")
     return spark.createDataFrame([(i, round(float(b), 6), round(float(s), 6)) for i, (b, s) in enumerate(zip(beta, se, strict=True))], "i int, beta double, se double")
@@ -201,7 +244,7 @@ def group_kfold(spark, sf_dir):
     return rg.group_kfold(table(spark, sf_dir, "supplier"), "s_nationkey", 4)
 
 
-@query("time_series_folds")
+@query("time_series_folds", "WITH n AS (SELECT count(*) AS n FROM orders), f AS (SELECT i, n, n // 6 AS s FROM n, range(5) t(i)) SELECT CAST(i AS INTEGER) AS fold, greatest(0, (i + 1) * s - 10) AS train_end, (i + 1) * s AS test_start, CASE WHEN i = 4 THEN n ELSE (i + 2) * s END AS test_end FROM f")
 def time_series_folds(spark, sf_dir):
     n = table(spark, sf_dir, "orders").count()
     return spark.createDataFrame([(i, *f) for i, f in enumerate(rg.time_series_folds(n, 5, 10))], "fold int, train_end long, test_start long, test_end long")
