@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 from dataclasses import dataclass
 
@@ -241,3 +243,31 @@ def gaps(df: DataFrame, key: str, time: str) -> DataFrame:
     """(key, gap) between successive times of each key."""
     w = Window.partitionBy(key).orderBy(time)
     return df.select(key, (F.col(time) - F.lag(time).over(w)).alias("gap")).where("gap is not null")
+
+
+#: Maps y -> x of a change of variables, with ln |dy/dx| at x; parameters are a shift and a scale where there are any.
+_MAPS = {
+    "affine": (lambda x, a, b: (x - a) / b, lambda x, a, b: -F.ln(F.abs(b)), lambda x: F.lit(True)),
+    "log": (lambda x, a, b: F.exp(x), lambda x, a, b: x, lambda x: F.lit(True)),
+    "exp": (lambda x, a, b: F.ln(x), lambda x, a, b: -F.ln(x), lambda x: x > 0),
+    "logistic": (lambda x, a, b: F.ln(x / (1 - x)), lambda x, a, b: -F.ln(x) - F.ln(1 - x), lambda x: (x > 0) & (x < 1)),
+}
+
+
+def transformed_logpdf(x: Column, how: str, child: Callable[[Column], Column], shift: float = 0.0, scale: float = 1.0) -> Column:
+    """Log-density of a variable made from the child's by a map (x = a + b y, ln y, exp y or 1 / (1 + exp(-y))); -infinity outside its range."""
+    back, jacobian, inside = _MAPS[how]
+    a, b = F.lit(float(shift)), F.lit(float(scale))
+    safe = F.when(inside(x), x)
+    return F.coalesce(child(back(safe, a, b)) + jacobian(safe, a, b), F.lit(float("-inf")))
+
+
+def tilted(df: DataFrame, level: str, p: str, statistic: Column, theta: float) -> DataFrame:
+    """(level, p): a discrete distribution reweighted by exp(theta x statistic) and scaled to 1 again.
+
+    The largest exponent is taken off first, so no weight overflows.
+    """
+    rows = df.select(F.col(level).alias("level"), (F.ln(F.col(p)) + theta * statistic).alias("_e")).where(F.col("_e") > float("-inf"))
+    top = rows.agg(F.max("_e").alias("_top"))
+    rows = rows.crossJoin(F.broadcast(top)).select("level", F.exp(F.col("_e") - F.col("_top")).alias("_w"))  # a single row
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("_w").alias("_z")))).select("level", (F.col("_w") / F.col("_z")).alias("p"))

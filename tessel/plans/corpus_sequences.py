@@ -246,6 +246,14 @@ def conform_schema(spark, sf_dir):
     return readers.conform(table(spark, sf_dir, "nation"), {"n_nationkey": "count", "n_name": "text", "n_regionkey": "real"})
 
 
+@query("check_dataset", """SELECT 'o_orderkey' AS issue, 0 AS rows UNION ALL SELECT 'o_orderpriority', count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) FROM orders UNION ALL SELECT 'o_clerk', count(*) FILTER (o_custkey % 3 = 0) FROM orders
+UNION ALL SELECT 'support', count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey % 3 <> 0 AND o_totalprice <= 100000) FROM orders""")
+def check_dataset(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("o_clerk", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")).otherwise("none"))
+    beyond = fam.FAMILIES["lognormal"].logpdf(F.col("o_totalprice") - 100_000, {"mu": F.lit(10.0), "sigma2": F.lit(1.0)})
+    return readers.check_dataset(rows, {"o_orderkey": "count", "o_orderpriority": ("categorical", ["1-URGENT", "2-HIGH"]), "o_clerk": "real"}, beyond)
+
+
 @query("windowed_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
     got = st.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")

@@ -194,3 +194,23 @@ def impute_conditional(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_linestatus", "CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_quantity END AS q")
     means = rows.groupBy("l_returnflag", "l_linestatus").agg(F.avg("q").alias("m"))
     return rounded(rows.join(F.broadcast(means), ["l_returnflag", "l_linestatus"]).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg(F.coalesce("q", "m")).alias("mean_quantity")))
+
+
+@query("transform_score", "SELECT l_returnflag, round(avg(-0.5 * ln(2 * pi() * 0.5) - pow(ln(l_extendedprice) - 10, 2) - ln(l_extendedprice)), 6) AS exp_ll, round(avg(-ln(2.0) - (0.5 * ln(2 * pi()) + pow((l_quantity - 25) / 2, 2) / 2)), 6) AS affine_ll, round(avg(-0.5 * ln(2 * pi()) - pow(ln((l_quantity / 51) / (1 - l_quantity / 51)), 2) / 2 - ln(l_quantity / 51) - ln(1 - l_quantity / 51)), 6) AS logistic_ll FROM lineitem GROUP BY 1")
+def transform_score(spark, sf_dir):
+    def normal(sigma2: float, mu: float = 0.0):
+        return lambda y: fam.FAMILIES["gaussian"].logpdf(y, {"mu": F.lit(mu), "sigma2": F.lit(sigma2)})
+
+    rows = table(spark, sf_dir, "lineitem")
+    lls = {
+        "exp_ll": cb.transformed_logpdf(F.col("l_extendedprice"), "exp", normal(0.5, 10.0)),
+        "affine_ll": cb.transformed_logpdf(F.col("l_quantity"), "affine", normal(1.0), 25.0, 2.0),
+        "logistic_ll": cb.transformed_logpdf(F.col("l_quantity") / 51, "logistic", normal(1.0)),
+    }
+    return rounded(rows.groupBy("l_returnflag").agg(*[F.avg(c).alias(k) for k, c in lls.items()]))
+
+
+@query("tilted_categorical", "WITH c AS (SELECT l_linenumber AS level, count(*) * 1.0 / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1) SELECT level, round(p * exp(0.4 * level) / (SELECT sum(p * exp(0.4 * level)) FROM c), 6) AS p FROM c")
+def tilted_categorical(spark, sf_dir):
+    model = fam.fit_categorical(table(spark, sf_dir, "lineitem"), "l_linenumber")
+    return rounded(cb.tilted(model, "level", "p", F.col("level"), 0.4))

@@ -131,6 +131,37 @@ def _type_of(kind: Any) -> T.DataType:
     return LOGICAL[kind]
 
 
+def _conforms(name: str, kind: Any, optional: bool = False) -> Column:
+    """Whether a value can be had as the kind, never null."""
+    c = F.col(name)
+    if isinstance(kind, tuple) and kind[0] == "optional":
+        return _conforms(name, kind[1], True)
+    if isinstance(kind, tuple) and kind[0] == "categorical":
+        ok = c.isin(list(kind[1]))
+    elif isinstance(kind, tuple):
+        ok = F.size(c.cast("array<double>")) == kind[1]
+    elif kind == "boolean":
+        ok = F.lower(F.trim(c.cast("string"))).isin("true", "t", "yes", "y", "1", "false", "f", "no", "n", "0")
+    elif kind in ("count", "real"):
+        ok = F.expr(f"try_cast(`{name}` AS double)").isNotNull()
+    else:
+        ok = c.try_cast(LOGICAL[kind]).isNotNull()
+    return c.isNull() | F.coalesce(ok, F.lit(False)) if optional else F.coalesce(ok, F.lit(False))
+
+
+def check_dataset(df: DataFrame, fields: dict[str, Any], logpdf: Column | None = None) -> DataFrame:
+    """(issue, rows): per field the rows that don't conform to its kind, and as `support` those that conform
+    but have no finite log-density; over all rows, in one aggregation. No error is raised."""
+    bad = {name: ~_conforms(name, kind) for name, kind in fields.items()}
+    marked = df.select(*[b.alias(f"_b{i}") for i, b in enumerate(bad.values())], (F.lit(True) if logpdf is None else F.coalesce((F.abs(logpdf) < float("inf")) & ~F.isnan(logpdf), F.lit(False))).alias("_ok"))
+    conforms = F.lit(True)
+    for i in range(len(bad)):
+        conforms &= ~F.col(f"_b{i}")
+    counts = marked.agg(*[F.count_if(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(len(bad))], F.count_if(conforms & ~F.col("_ok")).alias("_s"))
+    pairs = [F.struct(F.lit(name).alias("issue"), F.col(f"_b{i}").alias("rows")) for i, name in enumerate(bad)] + [F.struct(F.lit("support").alias("issue"), F.col("_s").alias("rows"))]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
 def dataset_digest(df: DataFrame) -> DataFrame:
     """(rows, digest): independent of the rows' order; sums of the limbs of each row's SHA-256, so equal rows count."""
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
