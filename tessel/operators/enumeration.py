@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,23 +35,45 @@ def product_topk(tables: list[DataFrame], k: int) -> DataFrame:
     return out
 
 
+def _posterior(kind: str, s: Column, n: Column, prior: tuple[float, ...]) -> dict[str, Column]:
+    """Parameters of one conjugate posterior from the sum and the count of its data."""
+    if kind == "beta":
+        a, b = prior
+        return {"a": s + a, "b": n - s + b, "mean": (s + a) / (n + a + b)}
+    if kind == "gamma":
+        shape, rate = prior
+        return {"shape": s + shape, "rate": n + rate, "mean": (s + shape) / (n + rate)}
+    mu, tau2, sigma2 = prior
+    precision = 1 / tau2 + n / sigma2
+    return {"mean": (mu / tau2 + s / sigma2) / precision, "variance": 1 / precision}
+
+
+def posteriors(df: DataFrame, by: list[str], models: dict[str, tuple[str, str, tuple[float, ...]]]) -> DataFrame:
+    """(by, <name>_<parameter>) of several conjugate models name -> (beta, gamma or normal, column, prior), in one aggregation."""
+    sums = [x for name, (_, column, _) in models.items() for x in (F.sum(F.col(column).cast("double")).alias(f"_s_{name}"), F.count(column).alias(f"_n_{name}"))]
+    s = df.groupBy(*by).agg(*sums)
+    out = [c.alias(f"{name}_{k}") for name, (kind, _, prior) in models.items() for k, c in _posterior(kind, F.col(f"_s_{name}"), F.col(f"_n_{name}"), prior).items()]
+    return s.select(*by, *out)
+
+
+def _one_posterior(df: DataFrame, by: list[str], kind: str, column: str, prior: tuple[float, ...]) -> DataFrame:
+    both = posteriors(df, by, {"p": (kind, column, prior)})
+    return both.select(*by, *[F.col(c).alias(c.removeprefix("p_")) for c in both.columns[len(by) :]])
+
+
 def beta_posterior(df: DataFrame, column: str, by: list[str], a: float = 1.0, b: float = 1.0) -> DataFrame:
     """(by, a, b, mean) of a Beta-Bernoulli posterior; the data are two sums."""
-    s = df.groupBy(*by).agg(F.sum(F.col(column).cast("double")).alias("s"), F.count(column).alias("n"))
-    return s.select(*by, (F.col("s") + a).alias("a"), (F.col("n") - F.col("s") + b).alias("b"), ((F.col("s") + a) / (F.col("n") + a + b)).alias("mean"))
+    return _one_posterior(df, by, "beta", column, (a, b))
 
 
 def gamma_posterior(df: DataFrame, column: str, by: list[str], shape: float = 1.0, rate: float = 1.0) -> DataFrame:
     """(by, shape, rate, mean) of a Poisson-Gamma posterior."""
-    s = df.groupBy(*by).agg(F.sum(F.col(column).cast("double")).alias("s"), F.count(column).alias("n"))
-    return s.select(*by, (F.col("s") + shape).alias("shape"), (F.col("n") + rate).alias("rate"), ((F.col("s") + shape) / (F.col("n") + rate)).alias("mean"))
+    return _one_posterior(df, by, "gamma", column, (shape, rate))
 
 
 def normal_posterior(df: DataFrame, column: str, by: list[str], mu: float, tau2: float, sigma2: float) -> DataFrame:
     """(by, mean, variance) of a normal mean under a normal prior, the variance known."""
-    s = df.groupBy(*by).agg(F.sum(F.col(column).cast("double")).alias("s"), F.count(column).alias("n"))
-    prec = 1 / tau2 + F.col("n") / sigma2
-    return s.select(*by, ((mu / tau2 + F.col("s") / sigma2) / prec).alias("mean"), (1 / prec).alias("variance"))
+    return _one_posterior(df, by, "normal", column, (mu, tau2, sigma2))
 
 
 def dirichlet_posterior(df: DataFrame, column: str, by: list[str], alpha: float = 1.0) -> DataFrame:

@@ -204,11 +204,8 @@ def product_topk(spark, sf_dir):
 @query("conjugate_posteriors", "SELECT l_returnflag, round(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) + 1.0, 6) AS a, round(count(*) - sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) + 1.0, 6) AS b, round((sum(l_linenumber) + 1.0) / (count(*) + 1), 6) AS gamma_mean, round((25 / 100.0 + sum(l_quantity) / 200) / (1 / 100.0 + count(*) / 200.0), 6) AS normal_mean FROM lineitem GROUP BY 1")
 def conjugate_posteriors(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("d", (F.col("l_discount") > 0.05).cast("int"))
-    by = ["l_returnflag"]
-    beta = en.beta_posterior(rows, "d", by).drop("mean")
-    gamma = en.gamma_posterior(rows, "l_linenumber", by).select("l_returnflag", F.col("mean").alias("gamma_mean"))
-    normal = en.normal_posterior(rows, "l_quantity", by, 25.0, 100.0, 200.0).select("l_returnflag", F.col("mean").alias("normal_mean"))
-    return rounded(beta.join(gamma, by).join(normal, by))
+    got = en.posteriors(rows, ["l_returnflag"], {"beta": ("beta", "d", (1.0, 1.0)), "gamma": ("gamma", "l_linenumber", (1.0, 1.0)), "normal": ("normal", "l_quantity", (25.0, 100.0, 200.0))})
+    return rounded(got.select("l_returnflag", F.col("beta_a").alias("a"), F.col("beta_b").alias("b"), "gamma_mean", "normal_mean"))
 
 
 @query("dirichlet_posterior", "SELECT l_linestatus, l_returnflag AS level, count(*) + 1.0::DOUBLE AS alpha, round((count(*) + 1.0) / sum(count(*) + 1.0) OVER (PARTITION BY l_linestatus), 6) AS mean FROM lineitem GROUP BY 1, 2")
