@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessel.operators import chooser as ch
 from tessel.operators import ecology as ec
 from tessel.operators import profile as pr
 from tessel.operators import regression as rg
@@ -23,6 +24,24 @@ def recommend_models(spark, sf_dir):
     return pr.recommend(table(spark, sf_dir, "lineitem"))
 
 
+@query("choose_models")
+def choose_models(spark, sf_dir):
+    """Kinds by code length, of flat columns and of vectors."""
+    return ch.choose(table(spark, sf_dir, "lineitem")).unionByName(ch.choose(table(spark, sf_dir, "embeddings")))
+
+
+@query("integer_code_lengths", """WITH c AS (SELECT l_linenumber AS x, count(*) AS k FROM lineitem GROUP BY 1), s AS (SELECT sum(k) AS n, sum(k * x) / sum(k) AS m, sum(k * x * x) / sum(k) - pow(sum(k * x) / sum(k), 2) AS v, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h, max(x) - min(x) + 1 AS w, sum(k * lgamma(x + 1)) / sum(k) AS f FROM c)
+SELECT 'gaussian' AS family, round(0.5 * log2(2 * pi() * exp(1) * (v + 1 / 12.0)) + log2(n) / n, 6) AS bits FROM s UNION ALL SELECT 'integer_categorical', round(h + 0.5 * log2(n) / n * (w - 1), 6) FROM s UNION ALL SELECT 'poisson', round((m - m * ln(m) + f) / ln(2) + 0.5 * log2(n) / n, 6) FROM s""")
+def integer_code_lengths(spark, sf_dir):
+    return rounded(ch.code_lengths(table(spark, sf_dir, "lineitem"), "l_linenumber"))
+
+
+@query("real_code_lengths", """WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, avg(ln(l_extendedprice)) AS ml, var_pop(ln(l_extendedprice)) AS vl FROM lineitem), g AS (SELECT *, ln(m) - ml AS c FROM s), k AS (SELECT *, (3 - c + sqrt(pow(c - 3, 2) + 24 * c)) / (12 * c) AS k FROM g)
+SELECT 'gaussian' AS family, round(0.5 * log2(2 * pi() * exp(1) * v) + log2(n) / n, 6) AS bits FROM k UNION ALL SELECT 'exponential', round((1 + ln(m)) / ln(2) + 0.5 * log2(n) / n, 6) FROM k UNION ALL SELECT 'lognormal', round(ml / ln(2) + 0.5 * log2(2 * pi() * exp(1) * vl) + log2(n) / n, 6) FROM k UNION ALL SELECT 'gamma', round(-((k - 1) * ml - k - lgamma(k) - k * ln(m / k)) / ln(2) + log2(n) / n, 6) FROM k""")
+def real_code_lengths(spark, sf_dir):
+    return rounded(ch.code_lengths(table(spark, sf_dir, "lineitem"), "l_extendedprice"))
+
+
 def _entropy_sql(c: str) -> str:
     return f"SELECT '{c}' AS \"column\", count(*) AS levels, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) AS bits, round(log2(sum(k)) - sum(k * log2(k)) / sum(k) + 0.5 * (count(*) - 1) * log2(sum(k)) / sum(k), 6) AS bic_bits FROM (SELECT {c}, count(*) AS k FROM lineitem GROUP BY 1)"
 
