@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import crc_mod, small_batches, table
+from tessel.llm.common import checkpoint, crc_mod, small_batches, table
 
 #: Bytes of a window; labelled excerpts learned from per language; bytes of an excerpt.
 WINDOW, PER_LANG, EXCERPT = 256, 1500, 512
 WIDTHS, FILTERS, CLASSES = (2, 3, 4), 16, 160
+#: Languages up to which their counts are broadcast; with more, rows are shuffled to them.
+BROADCAST_LANGS = 10_000
 
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
 
@@ -154,9 +156,20 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 0,
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT) -> ByteNet | None:
-    """A network from rows (doc_id, text, lang): per language the `per_lang` rows of smallest hash, an excerpt of each."""
+    """A network from rows (doc_id, text, lang): per language the `per_lang` rows of smallest hash, an excerpt of each.
+
+    Languages are counted first; of each about twice the rows wanted pass by their hash, so only those
+    are shuffled and ranked, however many rows one language has.
+    """
+    own = labelled.where("text is not null and lang is not null")
+    # Texts aren't looked at for the counts; a language with many null texts gives fewer rows.
+    counts = checkpoint(labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("c_lang"), "rows"))
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
     start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
-    cut = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", start, F.lit(excerpt)).alias("cut"), F.xxhash64("doc_id").alias("h"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = own.join(counts, F.col("lang") == F.col("c_lang")).where(h <= 2.0 * per_lang / F.col("rows") * (1 << 30))
+    cut = near.select("lang", F.substring("text", start, F.lit(excerpt)).alias("cut"), h.alias("h"))
     top = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "cut"))).where(F.col("k") <= per_lang)
     rows = [(r.cut, r.lang) for r in top.orderBy("lang", "k").collect() if has_letter(r.cut)]
     return train([t.encode() for t, _ in rows], [lang for _, lang in rows]) if rows else None
