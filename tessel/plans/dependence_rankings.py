@@ -57,7 +57,7 @@ def plackett_luce(spark, sf_dir):
     return rounded(rk.plackett_luce(_rankings(spark, sf_dir), "v", "item", "pos", 4))
 
 
-@query("plackett_luce_score", _RANKED + ", w AS (SELECT item, length(item) / 10.0 AS w FROM (SELECT DISTINCT item FROM r)), d AS (SELECT v, w, sum(w) OVER (PARTITION BY v ORDER BY pos DESC) AS d FROM r JOIN w USING (item)), s AS (SELECT v, sum(ln(w / d)) AS ll FROM d GROUP BY v) SELECT count(*) AS voters, round(avg(ll), 6) AS mean_ll, round(min(ll), 6) AS least_ll FROM s")
+@query("plackett_luce_score", _RANKED + ", w AS (SELECT item, length(item) / 10.0 AS w FROM (SELECT DISTINCT item FROM r)), d AS (SELECT v, w, sum(w) OVER (PARTITION BY v ORDER BY pos DESC) AS d FROM r JOIN w USING (item)), z AS (SELECT v, sum(ln(w / d)) AS ll FROM d GROUP BY v) SELECT count(*) AS voters, round(avg(ll), 6) AS mean_ll, round(min(ll), 6) AS least_ll FROM z")
 def plackett_luce_score(spark, sf_dir):
     rows = _rankings(spark, sf_dir)
     worths = rows.select("item").distinct().select("item", (F.length("item") / 10.0).alias("w"))
