@@ -1,14 +1,12 @@
-"""Corpus operators, recursions along sequences, vectors, enumeration, streams over the tables."""
+"""Corpus operators, vectors, enumeration, streams over the tables."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessel.operators import corpus as cp
 from tessel.operators import enumeration as en
 from tessel.operators import families as fam
-from tessel.operators import sequences as sq
 from tessel.operators import spatial as sp
 from tessel.plans.base import query, rounded, table
 from tessel.sources import readers
@@ -100,56 +98,6 @@ def conversation_turns(spark, sf_dir):
     return rounded(table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.avg(F.length("text")).alias("mean_chars")))
 
 
-def _hmm(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
-    rows = rows.select("user_id", F.concat(F.lpad(F.unix_micros(F.col("at.ts").cast("timestamp")).cast("string"), 20, "0"), F.lpad(F.col("at.event_id").cast("string"), 12, "0")).alias("at"), "event_type")
-    symbols = [r[0] for r in rows.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
-    k = len(symbols)
-    emit = np.array([[1 + (i == j % 2) for j in range(k)] for i in range(2)], float)
-    return rows, symbols, np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.4, 0.6]]), emit / emit.sum(axis=1, keepdims=True)
-
-
-@query("hmm_forward")
-def hmm_forward(spark, sf_dir):
-    rows, symbols, init, moves, emit = _hmm(spark, sf_dir)
-    return rounded(sq.hmm_forward(rows, "user_id", "at", "event_type", symbols, init, moves, emit))
-
-
-@query("hmm_viterbi")
-def hmm_viterbi(spark, sf_dir):
-    rows, symbols, init, moves, emit = _hmm(spark, sf_dir)
-    return sq.hmm_viterbi(rows, "user_id", "at", "event_type", symbols, init, moves, emit).groupBy("user_id", "state").agg(F.count("*").alias("n"))
-
-
-@query("hmm_baum_welch")
-def hmm_baum_welch(spark, sf_dir):
-    rows, symbols, init, moves, emit = _hmm(spark, sf_dir)
-    _, moves, _, trace = sq.baum_welch(rows, "user_id", "at", "event_type", symbols, init, moves, emit, 3)
-    return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(trace)], "step int, ll double")
-
-
-def _days(spark, sf_dir):
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6
-    rows = table(spark, sf_dir, "events").select("user_id", t.alias("t"))
-    start = rows.agg(F.floor(F.min("t")).alias("t0"))
-    return rows.crossJoin(F.broadcast(start)).select("user_id", (F.col("t") - F.col("t0")).alias("t"))
-
-
-@query("hawkes_loglik")
-def hawkes_loglik(spark, sf_dir):
-    return rounded(sq.hawkes_loglik(_days(spark, sf_dir), "user_id", "t", 1.0, 0.5, 2.0, 31.0))
-
-
-@query("hawkes_fit")
-def hawkes_fit(spark, sf_dir):
-    return spark.createDataFrame([tuple(round(float(v), 6) for v in sq.hawkes_em(_days(spark, sf_dir), "user_id", "t", 31.0, 5, (1.0, 0.5, 2.0)))], "mu double, alpha double, beta double")
-
-
-@query("local_level_filter")
-def local_level_filter(spark, sf_dir):
-    return rounded(sq.local_level(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 10.0, 2000.0))
-
-
 @query("vector_moments", "WITH v AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT CAST(i - 1 AS INTEGER) AS i, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM v GROUP BY i")
 def vector_moments(spark, sf_dir):
     n, mean, cov = sp.vector_moments(table(spark, sf_dir, "embeddings"), "embedding")
@@ -163,10 +111,10 @@ def mvn_score(spark, sf_dir):
     return sp.mvn_score(rows, "embedding", mean, cov, 1e-3).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("ll"), 3).alias("mean_ll"))
 
 
-@query("embedding_knn", "WITH q AS (SELECT vec_id AS query, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query, vec_id AS \"key\", list_distance(qe::DOUBLE[], embedding::DOUBLE[]) AS distance FROM q JOIN embeddings ON vec_id <> query) SELECT query, \"key\", round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, \"key\") AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, \"key\") <= 5")
+@query("embedding_knn", "WITH q AS (SELECT vec_id AS query, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query, vec_id AS \"key\", list_distance(qe::DOUBLE[], embedding::DOUBLE[]) AS distance FROM q JOIN embeddings ON vec_id <> query) SELECT query, \"key\", round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, \"key\") AS INTEGER) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, \"key\") <= 5")
 def embedding_knn(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return rounded(sp.nearest_of_queries(rows, "vec_id", "embedding", rows.where("vec_id % 100 = 0"), 5))
+    return rounded(sp.nearest_of_queries(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0"), 5))
 
 
 @query("kde_grid", "SELECT x, round(avg(exp(-pow((x - l_quantity) / 2, 2) / 2)) / (2 * sqrt(2 * pi())), 6) AS density FROM lineitem, (SELECT unnest([0.0::DOUBLE, 10.0::DOUBLE, 25.0::DOUBLE, 50.0::DOUBLE]) AS x) GROUP BY x")

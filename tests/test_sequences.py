@@ -1,79 +1,8 @@
-"""Recursions along sequences against enumeration, dense algebra and double sums."""
-
-from itertools import product
+"""Hashed n-grams, serial correlation and searches."""
 
 import numpy as np
-import pytest
-
-from tessel.operators import corpus, sequences
-
-INIT, MOVES = np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.4, 0.6]])
-EMIT = np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]])
-SYMBOLS = ["a", "b", "c"]
-
-
-@pytest.fixture(scope="module")
-def symbols(spark):
-    rows = [(k, t, s) for k, seq in enumerate(["abcab", "ccb", "a", "bacca"]) for t, s in enumerate(seq)]
-    return spark.createDataFrame(rows[::-1], "k int, t int, s string")
-
-
-def paths(seq):
-    obs = [SYMBOLS.index(s) for s in seq]
-    for z in product((0, 1), repeat=len(obs)):
-        p = INIT[z[0]] * EMIT[z[0], obs[0]]
-        for t in range(1, len(obs)):
-            p *= MOVES[z[t - 1], z[t]] * EMIT[z[t], obs[t]]
-        yield p, z
-
-
-def test_forward_and_viterbi(symbols):
-    ll = {r.k: r.ll for r in sequences.hmm_forward(symbols, "k", "t", "s", SYMBOLS, INIT, MOVES, EMIT).collect()}
-    best = {}
-    for r in sequences.hmm_viterbi(symbols, "k", "t", "s", SYMBOLS, INIT, MOVES, EMIT).orderBy("k", "t").collect():
-        best.setdefault(r.k, []).append(r.state)
-    for k, seq in enumerate(["abcab", "ccb", "a", "bacca"]):
-        every = list(paths(seq))
-        assert np.isclose(ll[k], np.log(sum(p for p, _ in every)))
-        assert np.isclose(dict((z, p) for p, z in every)[tuple(best[k])], max(every)[0])  # paths may tie
-
-
-def test_baum_welch_climbs(symbols):
-    init, moves, emit, trace = sequences.baum_welch(symbols, "k", "t", "s", SYMBOLS, INIT, MOVES, EMIT, 6)
-    assert all(b >= a - 1e-9 for a, b in zip(trace, trace[1:], strict=False)) and trace[-1] > trace[0]
-    assert np.isclose(init.sum(), 1) and np.allclose(moves.sum(axis=1), 1) and np.allclose(emit.sum(axis=1), 1)
-
-
-def test_hawkes_equals_the_double_sum(spark):
-    rng = np.random.default_rng(3)
-    times = {k: np.sort(rng.uniform(0, 10, n)) for k, n in enumerate((1, 5, 30))}
-    rows = spark.createDataFrame([(k, float(x)) for k, t in times.items() for x in t], "k int, t double")
-    mu, alpha, beta, window = 0.5, 0.4, 1.5, 10.0
-    for r in sequences.hawkes_loglik(rows, "k", "t", mu, alpha, beta, window).collect():
-        t = times[r.k]
-        rate = [mu + alpha * np.exp(-beta * (t[i] - t[:i])).sum() for i in range(len(t))]
-        want = np.log(rate).sum() - mu * window - alpha / beta * (1 - np.exp(-beta * (window - t))).sum()
-        assert np.isclose(r.ll, want)
-
-
-def test_hawkes_fit_raises_the_likelihood(spark):
-    rng = np.random.default_rng(4)
-    rows = spark.createDataFrame([(k, float(x + d)) for k in range(6) for x in rng.uniform(0, 18, 12) for d in (0.0, 0.3)], "k int, t double")
-    total = lambda p: sequences.hawkes_loglik(rows, "k", "t", *p, 20.0).selectExpr("sum(ll) AS s").head().s
-    start = (0.1, 0.1, 1.0)
-    assert total(sequences.hawkes_em(rows, "k", "t", 20.0, 8, start)) > total(start)
-
 
-def test_local_level_equals_the_dense_density(spark):
-    y, q, r = np.array([1.0, 2.0, 0.5, 3.0, 2.5]), 0.7, 1.3
-    rows = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(y)], "k int, t int, v double")
-    got = sequences.local_level(rows, "k", ["t"], "v", q, r).head()
-    # Given the first value, the level starts there with variance r.
-    n = len(y) - 1
-    cov = r + q * np.minimum.outer(np.arange(1, n + 1), np.arange(1, n + 1)) + r * np.eye(n)
-    d = y[1:] - y[0]
-    want = -0.5 * (d @ np.linalg.solve(cov, d) + np.linalg.slogdet(cov)[1] + n * np.log(2 * np.pi))
-    assert np.isclose(got.ll, want)
+from tessel.operators import corpus
 
 
 def test_hashed_ngrams_and_search(spark):
