@@ -46,7 +46,7 @@ ROUNDS = (8, None)
 SAMPLE, COMMON, MOST_COMMON = 8, 6, 1_000_000
 #: Bytes of sketches of a bucket that one task compares with each other; larger buckets are compared in blocks.
 BLOCK_BYTES = 8 << 20
-#: Classes in question up to which their names (16 bytes each) are broadcast to the documents.
+#: Classes in question up to which their names (24 bytes each) are broadcast to the documents.
 BROADCAST_CLASSES = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _ABSENT = -(1 << 63)
@@ -209,7 +209,7 @@ def signatures(values: np.ndarray, counts: np.ndarray, percent: int = PERCENT, c
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, id, own, up: the number of the set's class (null without a set) and its sketches."""
+    """doc_id, n_shingles, id, own, up, t: the number of the set's class (null without a set), its sketches, and a hash of the text."""
 
     def run(batches):
         for batch in batches:
@@ -218,10 +218,10 @@ def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
                 values, counts = shingle_sets(texts[lo:hi], size)
                 own, up = sketches(values, counts, percent)
                 ids = pa.array(class_numbers(values, counts), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(counts), ids, pa.array(own, pa.binary()), pa.array(up, pa.binary())], ["doc_id", "n_shingles", "id", "own", "up"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(counts), ids, pa.array(own, pa.binary()), pa.array(up, pa.binary()), batch.column(2)[lo:hi]], ["doc_id", "n_shingles", "id", "own", "up", "t"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, id long, own binary, up binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, id long, own binary, up binary, t long")
 
 
 def signature_rows(docs: DataFrame, size: int, percent: int, common: Common | None = None) -> DataFrame:
@@ -491,13 +491,17 @@ def named(docs: DataFrame) -> Column:
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, text): one text of each class in `wanted` (id, key), found by a doc_id that has it."""
+    """(id, text): one text of each class in `wanted` (id, key, t), found by a doc_id that has it and the text's hash.
+
+    A row meets the class of its own text alone, also where many rows have no doc_id or share one; of
+    equal rows each task passes on one.
+    """
     if wanted.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
-    found = docs.select(named(docs).alias("key"), "text").join(wanted, "key").select("id", "text")
+    found = docs.select(named(docs).alias("key"), F.xxhash64("text").alias("t"), "text").join(wanted, ["key", "t"]).groupBy("id", "t").agg(F.first("text").alias("text")).select("id", "text")
 
     def run(batches):
-        # A doc_id may have several texts, so the class is computed again.
+        # Different texts may share a hash, so the class is computed again.
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), [(t or "").encode() for t in batch.column(1).to_pylist()]
             for lo, hi in batches_by_bytes(texts):
@@ -517,13 +521,14 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     # Classes in question: size, sketches, and a doc_id that has the text.
     asked = sets.where("id is not null").join(shared.select("id").distinct(), "id")
     one = F.first(F.struct("n_shingles", "own", "up"))
-    classes = asked.groupBy("id").agg(one.alias("s"), F.min(named(docs)).alias("key"))
-    classes = checkpoint(classes.select("id", "key", F.col("s.n_shingles").alias("n"), "s.own", "s.up"))
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), named(docs).alias("key"), "t"))
+    classes = asked.groupBy("id").agg(one.alias("s"), at.alias("at"))
+    classes = checkpoint(classes.select("id", "at.key", "at.t", F.col("s.n_shingles").alias("n"), "s.own", "s.up"))
     sketched = sketch_rows(classes)
 
     def linked(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = class_texts(docs, classes.select("id", "key").join(ids, "id"), size)
+        texts = class_texts(docs, classes.select("id", "key", "t").join(ids, "id"), size)
         return checkpoint(verify(pairs, texts, size, percent))
 
     tested = linked(checkpoint(plausible(best_partners(shared), sketched, percent)))

@@ -167,7 +167,8 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT) -
     if counts.count() <= BROADCAST_LANGS:
         counts = F.broadcast(counts)
     start = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - excerpt, F.lit(1))).cast("int") + 1
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # The text goes into the hash, so rows without a doc_id, or with one and the same, differ.
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     near = own.join(counts, F.col("lang") == F.col("c_lang")).where(h <= 2.0 * per_lang / F.col("rows") * (1 << 30))
     cut = near.select("lang", F.substring("text", start, F.lit(excerpt)).alias("cut"), h.alias("h"))
     top = cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "cut"))).where(F.col("k") <= per_lang)

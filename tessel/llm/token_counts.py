@@ -16,8 +16,8 @@ columns of `docs` are ignored, so their names can't clash.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import small_batches, table
+from tessel.llm.common import checkpoint, small_batches, table
 
 #: Documents whose pre-tokens choose the broadcast table, and the most entries it may have.
 SAMPLE_DOCS = 4000
@@ -104,18 +104,20 @@ def hot_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, most:
         top = total.most_common(most)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["pretoken", "n"])
 
-    sample = docs.select("text").limit(sample_docs)
+    # By hash, so a table in any order gives a sample of all of it.
+    share = min(1.0, 2.0 * sample_docs / max(1, docs.count()))
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= share * (1 << 30)).limit(sample_docs)
     rows = sample.mapInArrow(seen, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(most).collect()
     pre = _pretokens(path)
     return {r.pretoken: pre.pieces(r.pretoken) for r in rows}
 
 
 def pretoken_frequencies(docs: DataFrame, path: str, hot: dict[str, int]) -> DataFrame:
-    """(doc_id, n_bytes, crc, base, pretoken, n).
+    """(doc_id, n_bytes, mark, base, pretoken, n).
 
     One row per document with `base` true and in `n` the tokens of its pre-tokens in `hot`; one row
-    per other pre-token of the document with its frequency. `n_bytes` and `crc` tell texts apart
-    under one doc_id. A document row's pretoken is a space and a number: no pre-token holds a space,
+    per other pre-token of the document with its frequency. `mark`, 128 bits of a hash of
+    the text, tells texts apart under one doc_id. A document row's pretoken is a space and a number: no pre-token holds a space,
     so it meets nothing in a join, and the numbers deal such rows out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -124,7 +126,7 @@ def pretoken_frequencies(docs: DataFrame, path: str, hot: dict[str, int]) -> Dat
         pre, known = _pretokens(path), shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            src, size, crc, base, word, freq = [], [], [], [], [], []
+            src, size, marks, base, word, freq = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 text = text or ""
                 data = text.encode()
@@ -135,28 +137,29 @@ def pretoken_frequencies(docs: DataFrame, path: str, hot: dict[str, int]) -> Dat
                         rare.append((k, n))
                     else:
                         tokens += p * n
-                m, mark = len(rare) + 1, zlib.crc32(data)
+                m, mark = len(rare) + 1, hashlib.blake2b(data, digest_size=16).digest()
                 src += [ids[i]] * m
                 size += [len(data)] * m
-                crc += [mark] * m
+                marks += [mark] * m
                 base += [True] + [False] * len(rare)
-                word.append(f" {mark % 4096}")
+                word.append(f" {int.from_bytes(mark[:4], 'little') % 4096}")
                 word += [k for k, _ in rare]
                 freq.append(tokens)
                 freq += [n for _, n in rare]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(src, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(base, pa.bool_()), pa.array(word, pa.string()), pa.array(freq, pa.int64())],
-                ["doc_id", "n_bytes", "crc", "base", "pretoken", "n"],
+                [pa.array(src, pa.int64()), pa.array(size, pa.int64()), pa.array(marks, pa.binary()), pa.array(base, pa.bool_()), pa.array(word, pa.string()), pa.array(freq, pa.int64())],
+                ["doc_id", "n_bytes", "mark", "base", "pretoken", "n"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, n_bytes long, crc long, base boolean, pretoken string, n long")
+    return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, n_bytes long, mark binary, base boolean, pretoken string, n long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, sample_docs: int = SAMPLE_DOCS, hot_pretokens: int = HOT_PRETOKENS) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of `docs` (doc_id, text)."""
     small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
-    freqs = pretoken_frequencies(docs, path, hot_pieces(docs, path, sample_docs, hot_pretokens))
+    # The texts are split once; the rare pre-tokens are read twice.
+    freqs = checkpoint(pretoken_frequencies(docs, path, hot_pieces(docs, path, sample_docs, hot_pretokens)))
 
     @F.pandas_udf("long")
     def n_pieces(words):
@@ -165,7 +168,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, sample_docs
 
     vocabulary = freqs.where("not base").select(F.col("pretoken").alias("v_pretoken")).distinct().withColumn("pieces", n_pieces("v_pretoken"))
     joined = freqs.join(vocabulary, F.col("pretoken") == F.col("v_pretoken"), "left")
-    per_text = joined.groupBy("doc_id", "n_bytes", "crc").agg(F.count_if("base").alias("copies"), F.sum(F.col("n") * F.coalesce(F.col("pieces"), F.lit(1))).alias("tokens"))
+    per_text = joined.groupBy("doc_id", "n_bytes", "mark").agg(F.count_if("base").alias("copies"), F.sum(F.col("n") * F.coalesce(F.col("pieces"), F.lit(1))).alias("tokens"))
     # Equal rows were summed together; they share the sum.
     return per_text.select("doc_id", "n_bytes", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 

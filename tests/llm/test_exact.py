@@ -136,12 +136,57 @@ def test_op6_copies_beside_variants_are_found(spark):
     texts = [f"{QUESTION}? {oliver}?", f"{oliver}? {paul}? {variant('52', '4', '2', 'Simon')}?", f"{longer}? {oliver}?", "nothing of that kind is asked here at all in so many words"]
     assert found_in(spark, texts) == {0, 1, 2}
     assert found_in(spark, [f"{QUESTION}? {oliver}?"], (QUESTION, oliver)) == {0}
-    # Rows of one doc_id are judged alone as well.
-    docs = spark.createDataFrame([(1, QUESTION), (1, oliver), (2, "")], "doc_id long, text string")
+    # Rows of one doc_id are judged alone, each by its own text.
+    docs = spark.createDataFrame([(1, QUESTION), (1, "some other text"), (2, "")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, QUESTION)], "item_id long, text string")
     assert [(r.doc_id, r["items"]) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+def test_op6_rows_without_an_id_or_with_one_and_the_same_are_judged_by_their_texts(spark, monkeypatch, tmp_path):
+    """1,000 rows of each kind, of which three and two hold an item: those alone are found, with and without a broadcast."""
+    from tessel.llm.pipeline import decontaminate
+
+    clean = lambda k: f"a clean text of number {k} with some words that no benchmark has in it"
+    rows = [(None, QUESTION if k < 3 else clean(k), "x") for k in range(1000)] + [(5, f"{QUESTION} {k}" if k < 2 else clean(k), "x") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d_text string")
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for most in (decontamination.BROADCAST_TEXTS, -1):
+        monkeypatch.setattr(decontamination, "BROADCAST_TEXTS", most)
+        kept = decontaminate(spark, docs, str(tmp_path)).collect()
+        assert len(kept) == 1995 and not any(QUESTION in r.text for r in kept) and kept[0].d_text == "x"
+        got = decontamination.contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+        assert sorted(str(r.doc_id) for r in got) == ["5"] * 2 + ["None"] * 3
+
+
+def test_op1_tells_texts_of_equal_length_and_crc_apart(spark):
+    import zlib
+
+    texts = ["221e0h 20fg hg3f gd1gd0c", "bdbe03c3f2f0acbd3 fgd1e2"]
+    assert len({zlib.crc32(t.encode()) for t in texts}) == 1
+    docs = spark.createDataFrame([(None, t) for t in texts * 3], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(docs).collect()) == sorted(tokens_by_library(texts * 3))
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 5, lambda k: k])
+def test_op10_moves_as_many_texts_whatever_their_ids(spark, monkeypatch, ids):
+    """Rows that meet a class stay in proportion to the rows, also if none has an id or all have one."""
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words[7 * k : 7 * k + 60] + ([f"x{j}"] if j else [])) for k in range(100) for j in range(2)]
+    docs = spark.createDataFrame([(ids(k), t) for k, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+
+    def counted(docs, wanted, size, real=jaccard_join.class_texts):
+        found = real(docs, wanted, size)
+        seen.append(docs.select(jaccard_join.named(docs).alias("key"), F.xxhash64("text").alias("t")).join(wanted, ["key", "t"]).count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "class_texts", counted)
+    got = jaccard_join.similar_components(docs)
+    assert got.count() == 200 and seen and max(seen) <= 200
+    if ids(3) == 3:
+        assert got.select("component_id").distinct().count() == 100
+
+
 def test_op6_dense_items_and_other_case_are_found(spark):
     dense = "Add 12 7 31 4 55 18 and 9 2 6 3 14 15 and 16 8 19 1 77 20 in all"
     people = "when Anna met Boris and Clara saw Dmitri with Elena near Felix while Greta took Hans to Irma"
