@@ -87,18 +87,3 @@ def copeland(df: DataFrame, voter: str, item: str, position: str) -> DataFrame:
     both = p.select("a", "b", F.col("n").alias("w"), F.lit(0).cast("long").alias("l")).unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).cast("long").alias("w"), F.col("n").alias("l")))
     duel = both.groupBy("a", "b").agg((F.sum("w") - F.sum("l")).alias("d"))
     return duel.groupBy(F.col("a").alias("item")).agg(F.sum(F.signum("d").cast("long")).alias("score"))
-
-
-def kendall_counts(df: DataFrame, x: str, y: str) -> DataFrame:
-    """concordant, discordant, ties_x, ties_y, ties_xy over all pairs, and tau-b; from counts of distinct (x, y) levels.
-
-    Pairs are formed between distinct level combinations, so both columns should have few levels.
-    """
-    c = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    a, b = c.alias("a"), c.alias("b")
-    s = F.signum((F.col("a.x") - F.col("b.x")).cast("double")) * F.signum((F.col("a.y") - F.col("b.y")).cast("double"))
-    pair = a.join(b, (F.col("a.x") > F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") > F.col("b.y")))).select((F.col("a.n") * F.col("b.n")).alias("w"), s.alias("s"), (F.col("a.x") == F.col("b.x")).alias("tx"), (F.col("a.y") == F.col("b.y")).alias("ty"))
-    p = pair.agg(F.sum(F.when(F.col("s") > 0, F.col("w")).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("s") < 0, F.col("w")).otherwise(0)).alias("discordant"), F.sum(F.when(F.col("tx"), F.col("w")).otherwise(0)).alias("ties_x"), F.sum(F.when(F.col("ty"), F.col("w")).otherwise(0)).alias("ties_y"))
-    d = F.col("concordant") - F.col("discordant")
-    base = F.col("concordant") + F.col("discordant")
-    return p.withColumn("tau_b", d / F.sqrt((base + F.col("ties_x")).cast("double") * (base + F.col("ties_y"))))

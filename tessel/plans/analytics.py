@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import chooser as ch
 from tessel.operators import ecology as ec
+from tessel.operators import kendall
 from tessel.operators import profile as pr
 from tessel.operators import regression as rg
 from tessel.plans.base import query, rounded, table
@@ -156,7 +157,7 @@ def copeland(spark, sf_dir):
 @query("kendall_tau", "WITH c AS (SELECT l_linenumber AS x, CAST(l_quantity / 5 AS INTEGER) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT CAST(a.n AS HUGEINT) * b.n AS w, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM c a JOIN c b ON a.x > b.x OR (a.x = b.x AND a.y > b.y)), q AS (SELECT CAST(sum(CASE WHEN s > 0 THEN w ELSE 0 END) AS BIGINT) AS concordant, CAST(sum(CASE WHEN s < 0 THEN w ELSE 0 END) AS BIGINT) AS discordant, CAST(sum(CASE WHEN tx THEN w ELSE 0 END) AS BIGINT) AS ties_x, CAST(sum(CASE WHEN ty THEN w ELSE 0 END) AS BIGINT) AS ties_y FROM p) SELECT *, round((concordant - discordant) / sqrt(CAST(concordant + discordant + ties_x AS DOUBLE) * (concordant + discordant + ties_y)), 6) AS tau_b FROM q")
 def kendall_tau(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", F.round(F.col("l_quantity") / 5).cast("int").alias("y"))
-    return rounded(ec.kendall_counts(rows, "l_linenumber", "y"))
+    return rounded(kendall.counts(rows, "l_linenumber", "y"))
 
 
 @query("ols_simple", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS b0, round(regr_slope(l_extendedprice, l_quantity), 5) AS b1 FROM lineitem")
