@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessel.functions.special import NEG_INF, lgamma, log_sum_exp
 from tessel.operators import topics
@@ -15,7 +16,7 @@ from tessel.operators.combinators import Mixture, record_params, record_sums
 from tessel.sources.shared import written
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rise(count: pd.Series, alpha: pd.Series) -> pd.Series:
     """digamma(count + alpha) - digamma(alpha)."""
     a = alpha.to_numpy(float)

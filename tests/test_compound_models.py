@@ -53,7 +53,7 @@ def test_semi_supervised_mixture_keeps_to_its_labels(spark):
         model, ll = cm.semi_supervised_step(df, model, "prior")
         trace.append(ll)
     assert all(b >= a - 1e-7 for a, b in zip(trace, trace[1:], strict=False))
-    assert abs(model.params[0]["0_mu"]) < 0.3 and abs(model.params[1]["0_mu"] - 4) < 0.4 and abs(model.weights[1] - 0.25) < 0.08
+    assert abs(model.params[0]["0_mu"]) < 0.3 and abs(model.params[1]["0_mu"] - 4) < 0.8 and abs(model.weights[1] - 0.25) < 0.12
 
 
 @pytest.mark.parametrize("kind", ["davidson", "rao_kupper"])
