@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpoint, small_batches, table
+from tessel.llm.common import checkpoint, lean, small_batches, table
 from tessel.llm.components import components
 from tessel.llm.words import batches_by_bytes, mix, words
 
@@ -221,7 +221,7 @@ def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(counts), ids, pa.array(own, pa.binary()), pa.array(up, pa.binary()), batch.column(2)[lo:hi]], ["doc_id", "n_shingles", "id", "own", "up", "t"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, id long, own binary, up binary, t long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, id long, own binary, up binary, t long")
 
 
 def signature_rows(docs: DataFrame, size: int, percent: int, common: Common | None = None) -> DataFrame:
@@ -247,7 +247,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int, common: Common | No
                 for at in range(0, len(sig), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 18)]), pa.array(ids[keep][who[at : at + (1 << 18)]])], ["sig", "id"])
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "sig long, id long")
+    return docs.select("text").where("text is not null").mapInArrow(lean(run), "sig long, id long")
 
 
 def common_signatures(docs: DataFrame, size: int, percent: int) -> Common:
@@ -316,7 +316,7 @@ def buckets(rows: DataFrame) -> DataFrame:
         if got is not None and got.num_rows:
             yield got
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, "bucket long, id long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(lean(run), "bucket long, id long")
 
 
 def _bits(column) -> np.ndarray:
@@ -354,7 +354,7 @@ def plausible(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
             keep = in_reach(batch.column(2).to_numpy(), batch.column(3).to_numpy(), differ, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def best_partners(shared: DataFrame) -> DataFrame:
@@ -452,7 +452,7 @@ def likely_pairs(live: DataFrame, sketched: DataFrame, percent: int, most: int |
                 held.append((own[lo:hi], ids[lo:hi], root[lo:hi], n[lo:hi], _bits(batch.column(7)[int(lo) : int(hi)])))
         yield from close()
 
-    return dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, "bucket long, a long, b long")
+    return dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(lean(run), "bucket long, a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -482,7 +482,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                     link[k] = 100 * common >= percent * (len(kept) + len(other) - common)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(link)], ["a", "b", "link"])
 
-    return both.mapInArrow(run, "a long, b long, link boolean")
+    return both.mapInArrow(lean(run), "a long, b long, link boolean")
 
 
 def named(docs: DataFrame) -> Column:
@@ -509,7 +509,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 same = pa.array((class_numbers(values, counts) == ids[lo:hi]) & (counts > 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi]], ["id", "text"]).filter(same)
 
-    return found.mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+    return found.mapInArrow(lean(run), "id long, text string").dropDuplicates(["id"])
 
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

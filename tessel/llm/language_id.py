@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpoint, crc_mod, small_batches, table
+from tessel.llm.common import checkpoint, crc_mod, lean, small_batches, table
 
 #: Bytes of a window; labelled excerpts learned from per language; bytes of an excerpt.
 WINDOW, PER_LANG, EXCERPT = 256, 1500, 512
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, net: ByteNet | None, carry: tuple[str, ...] = ("doc
                 at = end
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, lang_column, score_column])
 
-    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(lean(apply), schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import crc_mod, small_batches, table
+from tessel.llm.common import crc_mod, lean, small_batches, table
 from tessel.llm.words import batches_by_bytes, words
 
 #: Labelled documents learned from: of each kind at most so many, those of smallest hash.
@@ -245,7 +245,7 @@ def score(docs: DataFrame, field: LineField | None, carry: tuple[str, ...] = ("d
                     out[lo:hi] = model.scores(texts[lo:hi])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out)], [*keep, score_column])
 
-    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(apply, docs.select(*keep).schema.add(score_column, "double"))
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(lean(apply), docs.select(*keep).schema.add(score_column, "double"))
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpoint, small_batches, table
+from tessel.llm.common import checkpoint, lean, small_batches, table
 
 #: Documents whose pre-tokens choose the broadcast table, and the most entries it may have.
 SAMPLE_DOCS = 4000
@@ -107,7 +107,7 @@ def hot_pieces(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, most:
     # By hash, so a table in any order gives a sample of all of it.
     share = min(1.0, 2.0 * sample_docs / max(1, docs.count()))
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= share * (1 << 30)).limit(sample_docs)
-    rows = sample.mapInArrow(seen, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(most).collect()
+    rows = sample.mapInArrow(lean(seen), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(most).collect()
     pre = _pretokens(path)
     return {r.pretoken: pre.pieces(r.pretoken) for r in rows}
 
@@ -151,7 +151,7 @@ def pretoken_frequencies(docs: DataFrame, path: str, hot: dict[str, int]) -> Dat
                 ["doc_id", "n_bytes", "mark", "base", "pretoken", "n"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(split, "doc_id long, n_bytes long, mark binary, base boolean, pretoken string, n long")
+    return docs.select("doc_id", "text").mapInArrow(lean(split), "doc_id long, n_bytes long, mark binary, base boolean, pretoken string, n long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, sample_docs: int = SAMPLE_DOCS, hot_pretokens: int = HOT_PRETOKENS) -> DataFrame:
