@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import small_batches, table
+from tessel.llm.common import lean, small_batches, table
 
 MARK = "▁"
 #: Parts longer than this are encoded without being remembered; the most that are remembered.
@@ -162,8 +162,8 @@ class Codec:
             at += n
         end = len(data)
         if self.squeeze:
-            while units and units[0][0] == b" ":
-                units.pop(0)
+            first = next((i for i, u in enumerate(units) if u[0] != b" "), len(units))
+            units = units[first:]
             while units and units[-1][0] == b" ":
                 end = units.pop()[1]
         if units and self.dummy:
@@ -276,7 +276,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, carry: tupl
 
     for name, kind in ((ids_column, "binary"), (spans_column, "binary"), (decoded_column, "string")):
         schema = schema.add(name, kind)
-    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(encode, schema)
+    return docs.select(*keep, F.col("text").alias("_text of carry")).mapInArrow(lean(encode), schema)
 
 
 def digest(ids: bytes) -> str:
