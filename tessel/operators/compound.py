@@ -43,7 +43,7 @@ def fit_dirichlet_multinomial(df: DataFrame, key: str, level: str, count: str, s
             break
         below = sizes.agg(F.sum(F.col("m") * _rise(F.col("c").cast("double"), F.lit(float(whole))))).head()[0]
         above = cells.join(alpha, "level").groupBy("level").agg(F.sum(F.col("m") * _rise(F.col("c").cast("double"), F.col("alpha"))).alias("up"), F.first("alpha").alias("alpha"))
-        alpha = written(above.select("level", (F.col("alpha") * F.col("up") / float(below)).alias("alpha")))
+        alpha = written(above.select("level", (F.col("alpha") * F.col("up") / float(below)).alias("alpha")), instead=alpha)
     return alpha
 
 
@@ -130,8 +130,8 @@ def _both_ways(met: DataFrame) -> DataFrame:
     return met.select(F.col("a").alias("i"), F.col("b").alias("j"), "won", "lost", "tied").unionByName(met.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("lost").alias("won"), F.col("won").alias("lost"), "tied"))
 
 
-def _scaled(new: DataFrame) -> DataFrame:
-    return written(new.crossJoin(F.broadcast(new.agg(F.sum("u").alias("t")))).select("item", (F.col("u") / F.col("t")).alias("w")))
+def _scaled(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    return written(new.crossJoin(F.broadcast(new.agg(F.sum("u").alias("t")))).select("item", (F.col("u") / F.col("t")).alias("w")), instead=old)
 
 
 def fit_with_ties(met: DataFrame, kind: str, steps: int = 50, tie: float | None = None) -> tuple[DataFrame, float]:
@@ -159,7 +159,7 @@ def fit_with_ties(met: DataFrame, kind: str, steps: int = 50, tie: float | None
             new = x.groupBy(F.col("i").alias("item")).agg((F.sum(s) / F.sum(s / (wi + nu * wj) + nu * back / (nu * wi + wj))).alias("u"))
             c = x.agg(F.sum(s * wj / (wi + nu * wj))).head()[0]
             after = ties / c + math.sqrt(1 + (ties / c) ** 2) if c else nu
-        w = _scaled(new)
+        w = _scaled(new, w)
         nu = after
     return w, float(nu)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.sources.shared import written
+from tessel.sources.shared import scoped, written
 
 
 def _entropy(counts: list[Column], total: Column) -> Column:
@@ -97,6 +97,7 @@ def poisson_weights(hashed: np.ndarray) -> np.ndarray:
     return np.searchsorted(steps, u)
 
 
+@scoped
 def fit(df: DataFrame, key: str, features: list[str], label: str, trees: int = 10, depth: int = 5, bins: int = 32, per_node: int | None = None, bagged: bool = True, least: float = 1e-6) -> Forest:
     """A forest for a label with a bounded number of classes; each node tries `per_node` features chosen by a hash (None: all)."""
     rows = df.where(F.col(label).isNotNull())
@@ -108,12 +109,12 @@ def fit(df: DataFrame, key: str, features: list[str], label: str, trees: int = 1
     table = written(rows.select(F.try_element_at(code, F.col(label)).alias("y"), *[F.xxhash64(F.lit(t), F.col(key)).alias(f"h{t}") for t in range(trees)], *binned))
     forest = Forest(features, edges, classes, [{} for _ in range(trees)], [{} for _ in range(trees)])
     n_classes, n_features, most = len(classes), len(features), max([len(e) for e in edges], default=0) + 1
-    open_nodes = {(t, 1) for t in range(trees)}
+    open_nodes, last = {(t, 1) for t in range(trees)}, None
     for level in range(depth + 1):
         if not open_nodes or not n_classes:
             break
         cells = _histogram(table, forest.splits, open_nodes, n_features, most, n_classes, bagged)
-        cells = written(cells)
+        cells = last = written(cells, instead=last)
         shares = cells.where("feature = 0").groupBy("tree", "node").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n_classes)]).collect()
         found = {}
         if level < depth:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.operators.chunks import alive, blocks, chunked, over_chunks, padded, rows_of, scan, with_states
+from tessel.sources.shared import scoped
 
 
 @dataclass
@@ -157,6 +158,7 @@ def loglik(df: DataFrame, key: str, time: str, model: Hawkes, window: float, kin
     return per.select(F.col("key").alias(key), "n", ll.alias("ll"))
 
 
+@scoped
 def fit(df: DataFrame, key: str, time: str, model: Hawkes, window: float, steps: int = 10, kind: str | None = None, most: int | None = None) -> tuple[Hawkes, list[float]]:
     """EM over branching: every event is shared out between the base rate and the events before it.
 
@@ -187,6 +189,7 @@ def fit(df: DataFrame, key: str, time: str, model: Hawkes, window: float, steps:
     return model, trace
 
 
+@scoped
 def fit_by_branching(df: DataFrame, key: str, time: str, window: float, steps: int = 10, start: tuple[float, float, float] = (0.1, 0.1, 1.0), most: int | None = None) -> tuple[float, float, float]:
     """(mu, alpha, beta) of one type: the branching ratio is the share of events that others brought forth, without a correction for the window's end."""
     chunks = _sequences(df, key, time, None, most)

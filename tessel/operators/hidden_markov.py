@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessel.functions.special import NEG_INF
 from tessel.operators import families as fam
 from tessel.operators.chunks import alive, blocks, chunked, entries, lists_of, over_chunks, padded, rows_of, scan, with_states
-from tessel.sources.shared import written
+from tessel.sources.shared import scoped, written
 
 #: Symbols of a categorical emission that go into expressions; more are joined.
 FEW_SYMBOLS = 256
@@ -283,6 +283,7 @@ def smooth(df: DataFrame, key: str, order: list[str], value: str, emission: Emis
     return entries(posteriors(chunks, np.asarray(init, float), np.asarray(moves, float)), chunks, key, "gamma")
 
 
+@scoped
 def baum_welch(df: DataFrame, key: str, order: list[str], value: str, emission: Emission, init: np.ndarray, moves: np.ndarray, steps: int = 5, most: int | None = None):
     """(emission, init, moves, trace of log-likelihoods of the possible sequences) after `steps` of EM.
 
@@ -291,9 +292,9 @@ def baum_welch(df: DataFrame, key: str, order: list[str], value: str, emission:
     """
     init, moves = np.asarray(init, float), np.asarray(moves, float)
     raw = chunked(df.withColumn("value", F.col(value)), key, order, ["value"], **({"most": most} if most else {}))
-    k, trace = len(init), []
+    k, trace, parts = len(init), [], None
     for _ in range(steps):
-        parts = written(posteriors(with_scores(raw, emission), init, moves))
+        parts = written(posteriors(with_scores(raw, emission), init, moves), instead=parts)
         possible = F.col("ll") > F.lit(NEG_INF)
         start = F.when(F.col("begins"), F.col("gamma")[0])
         sums = parts.agg(

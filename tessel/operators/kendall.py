@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.sources.shared import written
+from tessel.sources.shared import scoped, written
 
 #: Distinct points of a range, about.
 RANGE = 500_000
@@ -40,6 +40,7 @@ def inversions(y: np.ndarray, w: np.ndarray) -> int:
     return out
 
 
+@scoped
 def discordant(points: DataFrame, ranges: int | None = None) -> int:
     """Discordant pairs of points (x, y, w), w the rows each stands for; neither x nor y may be null."""
     points = written(points.select("x", "y", "w"))
@@ -68,6 +69,7 @@ def discordant(points: DataFrame, ranges: int | None = None) -> int:
     return sum(int(part.head().n) for part in (one, two, three))
 
 
+@scoped
 def counts(df: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFrame:
     """One row: concordant, discordant, ties_x, ties_y (pairs equal in it), and tau-b; rows with a null or NaN are left out."""
     kinds = dict(df.dtypes)

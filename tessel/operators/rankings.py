@@ -80,7 +80,7 @@ def plackett_luce(rows: DataFrame, voter: str, item: str, pos: str, iterations:
         shares = offer.withColumn("part", F.sum(F.when(F.col("last"), 0.0).otherwise(1 / F.col("d"))).over(done))
         new = shares.groupBy("item").agg((F.count_if(~F.col("last")) / F.sum("part")).alias("u"))
         total = new.agg(F.sum("u").alias("t"))
-        w = written(new.crossJoin(F.broadcast(total)).select("item", (F.col("u") / F.col("t")).alias("w")))
+        w = written(new.crossJoin(F.broadcast(total)).select("item", (F.col("u") / F.col("t")).alias("w")), instead=w)
     return w
 
 
@@ -108,5 +108,5 @@ def bradley_terry(wins: DataFrame, iterations: int = 50) -> DataFrame:
     for _ in range(iterations):
         both = met.join(w.select(F.col("item").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("item").alias("b"), F.col("w").alias("wb")), "b")
         new = both.groupBy(F.col("a").alias("item")).agg((F.sum("won") / F.sum(F.col("n") / (F.col("wa") + F.col("wb")))).alias("u"))
-        w = written(new.crossJoin(F.broadcast(new.agg(F.sum("u").alias("t")))).select("item", (F.col("u") / F.col("t")).alias("w")))
+        w = written(new.crossJoin(F.broadcast(new.agg(F.sum("u").alias("t")))).select("item", (F.col("u") / F.col("t")).alias("w")), instead=w)
     return w

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.operators.chunks import alive, blocks, chunked, entries, lists_of, over_chunks, padded, rows_of, scan, with_states
-from tessel.sources.shared import written
+from tessel.sources.shared import scoped, written
 
 
 @dataclass(frozen=True)
@@ -286,6 +286,7 @@ def kalman_smoother(df: DataFrame, key: str, order: list[str], value: str, model
     return entries(both, chunks, key, "z").select(key, "t", F.col("z.xs").alias("mean"), F.col("z.ps").alias("spread"))
 
 
+@scoped
 def fit_autoregression(df: DataFrame, key: str, order: list[str], value: str, phi: float | None = None, steps: int = 20, start: tuple[float, float, float, float] | None = None, most: int | None = None):
     """(phi, q, r, mean, trace of log-likelihoods) of a state shared by all series, by EM; phi given: kept (1: a local level).
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.sources.shared import written
+from tessel.sources.shared import discard, written
 
 #: Words of a table of topics up to which it is sent to every task.
 SENT_WORDS = 200_000
@@ -191,7 +191,7 @@ def em_step(docs: DataFrame, model: Topics, fit_alpha: bool = True, close: float
     seen = sums.where("word IS NULL").head()
     totals = sums.where("word IS NOT NULL").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)]).head()
     p = [F.when(F.lit(float(t or 0)) > 0, F.col(f"v{i}") / float(t or 1)).otherwise(0.0) for i, t in enumerate(totals)]
-    table = written(sums.where("word IS NOT NULL").select("word", F.array(*p).alias("p")))
+    table = written(sums.where("word IS NOT NULL").select("word", F.array(*p).alias("p")), instead=sums)
     if seen is None:
         return model, 0.0
     if fit_alpha and seen.v1 and seen.v1 > 0:
@@ -230,7 +230,10 @@ def fit(docs: DataFrame, start: Topics, steps: int = 20, fit_alpha: bool = True)
     """The model after `steps` of EM and the bounds before each of them."""
     model, trace = start, []
     for _ in range(steps):
+        before = model
         model, bound = em_step(docs, model, fit_alpha)
+        if len(trace) and model is not before:
+            discard(before.table)
         trace.append(bound)
     return model, trace
 

@@ -19,7 +19,7 @@ from tessel.functions.special import normal_cdf_column
 from tessel.operators import kendall
 from tessel.operators import multivariate as mv
 from tessel.operators.running import running
-from tessel.sources.shared import written
+from tessel.sources.shared import scoped, written
 
 #: Uniform scores are kept this far from 0 and 1.
 EDGE = 1e-9
@@ -148,6 +148,7 @@ def _chosen(kind: str, count: int, weights: dict[tuple[int, int], float]) -> lis
     return out
 
 
+@scoped
 def fit(df: DataFrame, columns: list[str], kind: str = "tree", families: tuple[str, ...] = ("gaussian", "clayton", "frank", "gumbel")) -> Vine:
     """A vine on the columns' uniform scores. kind: star (canonical), path (drawable, columns in the order given) or tree (regular)."""
     rows = written(uniform_scores(df.select(*columns), columns).select(*[f"u_{c}" for c in columns]))

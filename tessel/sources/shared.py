@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of this driver by application; they are removed when it ends.
-_FOLDERS: dict[str, tuple[SparkSession, str]] = {}
+#: Folders of this driver by application, with what removes them also after their session was stopped.
+_FOLDERS: dict[str, tuple[tuple, str]] = {}
+#: Tables of the scopes that are open, innermost last.
+_SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("scope", default=None)
+
+
+def _handles(spark: SparkSession) -> tuple:
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which every executor can reach.
 
     Where the setting is absent, a machine of its own (tests) takes a temporary folder and a cluster
-    an error. All folders of an application lie in one, which is removed when the driver ends.
+    an error. All folders of an application lie in one, which is removed when the driver ends, also
+    if its session was stopped before.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
@@ -26,28 +35,72 @@ def shared_dir(spark: SparkSession) -> str:
             if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tessel-")
-        _FOLDERS[app] = (spark, f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}")
+        _FOLDERS[app] = (_handles(spark), f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}")
     return f"{_FOLDERS[app][1]}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of `df` as a Parquet table in the shared folder: they are the same whenever they are read, and lineage ends here."""
+def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """The rows of `df` as a Parquet table in the shared folder: they are the same whenever they are read, and lineage ends here.
+
+    `instead`: an earlier such table that nothing needs once this one is written, as in a loop; it is removed.
+    """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    mine = _SCOPE.get()
+    if mine is not None:
+        mine.append((df.sparkSession, path))
     # The schema is known, so no job looks for it.
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    discard(instead)
+    return out
+
+
+def discard(table: DataFrame | None) -> None:
+    """Remove a table that `written` gave, if it is one, before its time."""
+    if table is not None and getattr(table, "_written_to", None):
+        drop_shared(table.sparkSession, table._written_to)
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables that `written` makes inside are removed at the end: for work whose results have left Spark by then."""
+    mine: list = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for spark, path in mine:
+            with contextlib.suppress(Exception):
+                drop_shared(spark, path)
+
+
+def scoped(f):
+    """A function that returns plain values, not tables: what it writes goes when it returns."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        with scope():
+            return f(*args, **kwargs)
+
+    return run
+
+
+def _drop(handles: tuple, path: str) -> None:
+    jvm, conf = handles
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _drop(_handles(spark), path)
 
 
 @atexit.register
 def _clear() -> None:
-    for spark, path in _FOLDERS.values():
-        # A session that was stopped, or whose JVM has gone, can't remove anything any more.
+    for handles, path in _FOLDERS.values():
+        # Where the JVM has gone nothing can be removed any more.
         with contextlib.suppress(Exception):
-            if spark.sparkContext._jsc is not None:
-                drop_shared(spark, path)
+            _drop(handles, path)

@@ -130,3 +130,45 @@ def test_chunks_replace_themselves_and_drift_is_noticed(spark):
     assert [b for b, _ in monitor.alarms] == [1]
     with pytest.raises(ValueError, match="rate"):
         fits.constant(0.0)
+
+
+def test_tables_are_removed_by_scopes_loops_streams_and_at_the_end(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from tessel.operators import kendall, rankings
+    from tessel.sources import shared
+
+    base = shared.shared_dir(spark).rsplit("/", 1)[0]
+    folders = lambda: set(os.listdir(base.removeprefix("file:"))) if os.path.isdir(base.removeprefix("file:")) else set()
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 3.0)], "x double, y double")
+    before = folders()
+    kendall.counts(rows, "x", "y").collect()
+    with shared.scope():
+        shared.written(rows)
+    monitor = fits.DriftMonitor(rows, "x")
+    for k in range(20):
+        monitor.update(rows, k)
+    assert folders() == before
+    wins = spark.createDataFrame([("a", "b", 3), ("b", "a", 1), ("b", "c", 2), ("c", "a", 1)], "a string, b string, n long")
+    rankings.bradley_terry(wins, 6).collect()
+    assert len(folders() - before) == 2  # the meetings and the last worths
+    state = str(tmp_path / "state")
+    fit = fits.IncrementalFit(FAMILIES["gaussian"], "x", spark, state)
+    for k in range(4):
+        fit.update(rows, k % 2)
+    again = fits.IncrementalFit(FAMILIES["gaussian"], "x", spark, state)
+    assert again.chunks == fit.chunks and len([n for n in os.listdir(state) if not n.startswith(".")]) == 1
+    # A driver that stops its session first leaves nothing either.
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}/own").getOrCreate()
+from tessel.sources.shared import written
+written(spark.range(3)).count()
+import os
+assert any(n.startswith("tessel-") for n in os.listdir("{tmp_path}/own"))
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert not [n for n in os.listdir(tmp_path / "own") if n.startswith("tessel-")]
