@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.special import NEG_INF, digamma, lgamma, log_of, trigamma
+from tessel.functions.special import NEG_INF, digamma, lgamma, log_bessel, log_of, trigamma
 
 Stats = dict[str, Column]
 Params = dict[str, Column]
@@ -158,12 +158,7 @@ register(Family("nakagami", ("m", "omega"), _fourth, _nakagami, lambda x, p: _in
 
 
 def _log_bessel0(z: Column) -> Column:
-    """ln I0 by its two classical polynomial ranges."""
-    t = (z / 3.75) ** 2
-    small = F.ln(1 + t * (3.5156229 + t * (3.0899424 + t * (1.2067492 + t * (0.2659732 + t * (0.0360768 + t * 0.0045813))))))
-    u = 3.75 / F.greatest(z, F.lit(3.75))
-    large = z - 0.5 * F.ln(F.greatest(z, F.lit(3.75))) + F.ln(0.39894228 + u * (0.01328592 + u * (0.00225319 + u * (-0.00157565 + u * (0.00916281 + u * (-0.02057706 + u * (0.02635537 + u * (-0.01647633 + u * 0.00392377))))))))
-    return F.when(z < 3.75, small).otherwise(large)
+    return log_bessel(F.lit(0), z)
 
 
 register(Family("rician", ("nu", "sigma"), _fourth, _rician, lambda x, p: _inside(x > 0, F.ln(x) - 2 * F.ln(p["sigma"]) - (x * x + p["nu"] ** 2) / (2 * p["sigma"] ** 2) + _log_bessel0(x * p["nu"] / p["sigma"] ** 2))))
@@ -175,7 +170,7 @@ def _skellam(s: Stats) -> Params:
     return {"mu1": (v + m) / 2, "mu2": (v - m) / 2}
 
 
-register(Family("skellam", ("mu1", "mu2"), _moments, _skellam, lambda x, p: F.lit(None).cast("double")))
+register(Family("skellam", ("mu1", "mu2"), _moments, _skellam, lambda x, p: _inside(x == F.floor(x), x / 2 * F.ln(p["mu1"] / p["mu2"]) - p["mu1"] - p["mu2"] + log_bessel(F.abs(x), 2 * F.sqrt(p["mu1"] * p["mu2"])))))
 
 
 def _circle(x: Column, w: Column) -> Stats:

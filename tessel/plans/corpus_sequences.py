@@ -77,9 +77,17 @@ def naive_bayes_text(spark, sf_dir):
     return rounded(cp.naive_bayes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic"))
 
 
-@query("lexical_retrieval")
+def _meets_sql(q: str) -> str:
+    near = "" if len(q) < 4 else f" OR len(list_filter(w, lambda x: starts_with(x, '{q}') OR (length(x) >= 4 AND starts_with('{q}', x)))) > 0"
+    return f"CASE WHEN list_contains(w, '{q}'){near} THEN 1 ELSE 0 END"
+
+
+_ASKED = ["idiot", "the", "licensed"]
+
+
+@query("lexical_retrieval", rf"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{N}}\s]', ' ', 'g')), '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, ({' + '.join(map(_meets_sql, _ASKED))}) / 3.0 AS score FROM t) SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, doc_id LIMIT 20")
 def lexical_retrieval(spark, sf_dir):
-    return rounded(cp.lexical_search(table(spark, sf_dir, "documents"), ["idiot", "the", "licensed"], 20))
+    return rounded(cp.lexical_search(table(spark, sf_dir, "documents"), _ASKED, 20))
 
 
 @query("global_order")

@@ -133,8 +133,16 @@ def fit_weighted_gaussian(spark, sf_dir):
     return got.select("l_returnflag", F.round("mu", 4).alias("mu"), F.round(F.col("sigma2") / 1e6, 4).alias("sigma2_m"))
 
 
+def _series(order: str, half: str) -> str:
+    """SQL of ln I(order, 2 half), by its power series."""
+    return f"ln(list_sum(list_transform(range(0, 150), lambda m: exp((2 * m + {order}) * ln({half}) - lgamma(m + 1) - lgamma(m + {order} + 1)))))"
+
+
 #: name: (SQL of x, parameters, SQL of the log-density).
 _SCORES = {
+    "von_mises": ("2 * pi() * l_linenumber / 9", {"mu": 1.0, "kappa": 1.5}, f"1.5 * cos(x - 1) - ln(2 * pi()) - {_series('0', '0.75')}"),
+    "rician": ("l_quantity + 100", {"nu": 100.0, "sigma": 20.0}, f"ln(x) - 2 * ln(20) - (x * x + 10000) / 800 + {_series('0', '(x / 8)')}"),
+    "skellam": ("l_linenumber - 3", {"mu1": 2.0, "mu2": 1.5}, f"x / 2 * ln(2 / 1.5) - 3.5 + {_series('abs(x)', 'sqrt(3)')}"),
     "gaussian": ("l_quantity", {"mu": 25.0, "sigma2": 200.0}, "-0.5 * ln(2 * pi() * 200) - pow(x - 25, 2) / 400"),
     "lognormal": ("l_extendedprice", {"mu": 10.0, "sigma2": 0.5}, "-0.5 * ln(2 * pi() * 0.5) - pow(ln(x) - 10, 2) / 1.0 - ln(x)"),
     "exponential": ("l_quantity", {"beta": 25.0}, "-ln(25) - x / 25"),

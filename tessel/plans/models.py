@@ -73,8 +73,21 @@ _em("mixture_em_step", 1)
 _em("mixture_em_5_steps", 5)
 
 
+def _strategy_sql(how: str, steps: int) -> str:
+    """Steps where the likelier component takes a row whole, or where terms are divided by a falling temperature."""
+    parts, prev = ["p0 AS (SELECT 0.4::DOUBLE AS w, 12.0::DOUBLE AS m0, 80.0::DOUBLE AS v0, 36.0::DOUBLE AS m1, 90.0::DOUBLE AS v1, 0.0::DOUBLE AS ll)", "q AS (SELECT l_quantity AS x, count(*) AS c FROM lineitem GROUP BY 1)"], "p0"
+    for i in range(1, steps + 1):
+        heat = max(1.0, 4.0 * 0.7 ** (i - 1))
+        parts.append(f"t{i} AS (SELECT x, c, ln(w) - 0.5 * ln(2 * pi() * v0) - pow(x - m0, 2) / (2 * v0) AS a, ln(1 - w) - 0.5 * ln(2 * pi() * v1) - pow(x - m1, 2) / (2 * v1) AS b FROM q, {prev})")
+        r = "CASE WHEN a >= b THEN 1.0 ELSE 0.0 END" if how == "hard" else f"1 / (1 + exp((b - a) / {heat!r}))"
+        parts.append(f"r{i} AS (SELECT x, c, greatest(a, b) + ln(1 + exp(-abs(a - b))) AS l, {r} AS r FROM t{i})")
+        parts.append(f"p{i} AS (SELECT sum(c * r) / sum(c) AS w, sum(c * r * x) / sum(c * r) AS m0, sum(c * r * x * x) / sum(c * r) - pow(sum(c * r * x) / sum(c * r), 2) AS v0, sum(c * (1 - r) * x) / sum(c * (1 - r)) AS m1, sum(c * (1 - r) * x * x) / sum(c * (1 - r)) - pow(sum(c * (1 - r) * x) / sum(c * (1 - r)), 2) AS v1, sum(c * l) AS ll FROM r{i})")
+        prev = f"p{i}"
+    return "WITH " + ", ".join(parts) + f" SELECT unnest([0.0::DOUBLE, 1.0]) AS component, round(unnest([w, 1 - w]), 6) AS w, round(unnest([m0, m1]), 6) AS mu, round(ll, 3) AS ll FROM {prev}"
+
+
 def _em_strategy(how: str):
-    @query(f"mixture_em_{how}")
+    @query(f"mixture_em_{how}", _strategy_sql(how, 8))
     def run(spark, sf_dir):
         model, trace = cb.fit_mixture(table(spark, sf_dir, "lineitem").select("l_quantity"), _mixture(), 8, 0.0, how)
         return spark.createDataFrame([(float(k), round(w, 6), round(p["0_mu"], 6), round(trace[-1], 3)) for k, (w, p) in enumerate(zip(model.weights, model.params, strict=True))], "component double, w double, mu double, ll double")

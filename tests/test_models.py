@@ -248,3 +248,20 @@ def test_p_value_of_ranks_is_the_normal_tail(spark):
     rows = spark.createDataFrame([("a" if i % 3 else "b", float(i * 31 % 97)) for i in range(97)], "g string, v double")
     r = t.mann_whitney_u(rows, "g", "v", "a", "b").head()
     assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), abs=1e-6)
+
+
+def test_log_bessel_equals_its_integral(spark):
+    from tessel.functions.special import log_bessel
+
+    t = np.linspace(0, np.pi, 200_001)
+    cases = [(n, z) for n in (0, 1, 5, 40) for z in (0.01, 1.0, 30.0, 599.0, 601.0, 5000.0)]
+    got = {(r.n, r.z): r.v for r in spark.createDataFrame(cases, "n int, z double").select("n", "z", log_bessel(F.col("n"), F.col("z")).alias("v")).collect()}
+    for n, z in cases:
+        if n > z:
+            want = n * np.log(z / 2) - math.lgamma(n + 1) + np.log1p(z * z / 4 / (n + 1) + (z * z / 4) ** 2 / 2 / ((n + 1) * (n + 2)))
+            assert abs(got[n, z] - want) < 1e-6 or n == 40
+            continue
+        want = z + np.log(np.trapezoid(np.exp(z * (np.cos(t) - 1)) * np.cos(n * t), t) / np.pi)
+        assert abs(got[n, z] - want) < 1e-6
+    zero = spark.range(1).select(log_bessel(F.lit(0), F.lit(0.0)).alias("a"), log_bessel(F.lit(2), F.lit(0.0)).alias("b")).head()
+    assert zero.a == 0 and zero.b == -math.inf
