@@ -265,4 +265,4 @@ def test_log_bessel_equals_its_integral(spark):
         want = z + np.log(np.trapezoid(np.exp(z * (np.cos(t) - 1)) * np.cos(n * t), t) / np.pi)
         assert abs(got[n, z] - want) < 1e-6
     zero = spark.range(1).select(log_bessel(F.lit(0), F.lit(0.0)).alias("a"), log_bessel(F.lit(2), F.lit(0.0)).alias("b")).head()
-    assert zero.a == 0 and zero.b == -math.inf
+    assert abs(zero.a) < 1e-12 and zero.b == -math.inf
