@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessel.sources.shared import written
 
+#: Rows up to which one window does: a bounded table, whatever it was aggregated from.
+ONE_WINDOW = 200_000
 #: For each kind: the aggregate of a range, how two of them meet, and the value of no rows.
 _KINDS = {
     "sum": (F.sum, lambda a, b: a + b, 0),
@@ -20,7 +22,7 @@ def running(df: DataFrame, order: list[str], columns: dict[str, tuple[str, Colum
     """Add columns name -> (kind, value, inclusive): the kind (sum, product, min or max) of `value` over
     the rows up to this one in `order`, with it if inclusive, within `by`.
 
-    Rows are dealt out by ranges of (by, order) and written with their range's number; each range is
+    The rows are written and counted. At most `ONE_WINDOW` of them go through one window; more are dealt out by ranges of (by, order) and written with their range's number; each range is
     reduced to one row per group, those few rows are run through, and every range then runs through
     its own rows on top of what came before. Rows that tie in `order` stay in one range; their order
     among each other is open. Where there are no rows before, a sum is 0, a product 1, min and max null.
@@ -28,7 +30,16 @@ def running(df: DataFrame, order: list[str], columns: dict[str, tuple[str, Colum
     by = by or []
     ends = [*[F.col(k) for k in by], *[F.desc(c) if descending else F.col(c) for c in order]]
     values = {f"_v_{name}": value for name, (_, value, _) in columns.items()}
-    spread = written(df.withColumns(values).repartitionByRange(*ends).withColumn("_part", F.spark_partition_id()))
+    base = written(df.withColumns(values))
+    if base.count() <= ONE_WINDOW:
+        frame = Window.partitionBy(*by).orderBy(*[F.desc(c) if descending else F.col(c) for c in order])
+        out = {}
+        for name, (kind, _, inclusive) in columns.items():
+            whole, _, none = _KINDS[kind]
+            here = whole(f"_v_{name}").over(frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+            out[name] = here if none is None else F.coalesce(here, F.lit(none))
+        return base.withColumns(out).drop(*values)
+    spread = written(base.repartitionByRange(*ends).withColumn("_part", F.spark_partition_id()), instead=base)
     parts = spread.groupBy(*by, "_part").agg(*[_KINDS[kind][0](f"_v_{name}").alias(f"_p_{name}") for name, (kind, _, _) in columns.items()])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_part").alias("_q"), *[_KINDS[kind][0](f"_p_{name}").over(earlier).alias(f"_p_{name}") for name, (kind, _, _) in columns.items()])

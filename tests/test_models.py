@@ -266,3 +266,11 @@ def test_log_bessel_equals_its_integral(spark):
         assert abs(got[n, z] - want) < 1e-6
     zero = spark.range(1).select(log_bessel(F.lit(0), F.lit(0.0)).alias("a"), log_bessel(F.lit(2), F.lit(0.0)).alias("b")).head()
     assert abs(zero.a) < 1e-12 and zero.b == -math.inf
+
+
+def test_large_tied_sets_are_dealt_out_and_breslow_needs_no_row_an_event(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 4).alias("t"), (F.col("id") % 3 != 0).cast("int").alias("e"), ((F.col("id") * 37) % 11).cast("double").alias("a"))
+    want = sr.cox_ph(rows, "t", "e", ["a"])
+    monkeypatch.setattr(sr, "TIED", 7)
+    got = sr.cox_ph(rows, "t", "e", ["a"])
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and np.isclose(got[2], want[2])
