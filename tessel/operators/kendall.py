@@ -77,9 +77,25 @@ def counts(df: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFram
     for side, c in (("x", x), ("y", y)):
         rows = rows.where(~F.isnan(side)) if kinds[c] in ("double", "float") else rows
     points = written(rows.groupBy("x", "y").agg(F.count("*").alias("w")))
+    if ranges is None and points.count() <= RANGE:
+        # One range holds them all: one task counts everything.
+        found = points.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_all, "total string, tx string, ty string, same string, d string").head()
+        total, tx, ty, both, d = (int(v) for v in found) if found else (0,) * 5
+        return _figures(df, total, tx, ty, both, d)
     pairs = lambda by: points.groupBy(*by).agg(F.sum("w").cast("decimal(19,0)").alias("s")).agg(F.coalesce(F.sum(F.col("s") * (F.col("s") - 1) / 2), F.lit(0)).alias("n")).head().n
     total, tx, ty, both = (int(pairs(by)) for by in ([F.lit(1)], ["x"], ["y"], ["x", "y"]))
-    d = discordant(points, ranges)
+    return _figures(df, total, tx, ty, both, discordant(points, ranges))
+
+
+def _all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs in all, tied in x, in y and in both, and discordant ones, of a whole table of points."""
+    pdf = pdf.sort_values(["x", "y"])
+    pairs = lambda sums: str(sum(int(s) * (int(s) - 1) // 2 for s in sums))
+    w = pdf["w"]
+    return pd.DataFrame({"total": [pairs([w.sum()])], "tx": [pairs(w.groupby(pdf["x"]).sum())], "ty": [pairs(w.groupby(pdf["y"]).sum())], "same": [pairs(w)], "d": [str(inversions(pdf["y"].to_numpy(), w.to_numpy()))]})
+
+
+def _figures(df: DataFrame, total: int, tx: int, ty: int, both: int, d: int) -> DataFrame:
     c = total - tx - ty + both - d
     # Pairs of equal points count for neither side's ties.
     tx, ty = tx - both, ty - both

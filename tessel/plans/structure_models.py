@@ -85,8 +85,7 @@ def archimedean_fits(spark, sf_dir):
 @query("vine_fit")
 def vine_fit(spark, sf_dir):
     """The edges of a canonical, a drawable and a regular vine on users' figures, with the mean log-density of each vine."""
-    users = _users(spark, sf_dir).withColumn("spread", F.col("most") - F.col("mean"))
-    columns, rows = ["mean", "most", "n", "spread"], []
+    users, columns, rows = _users(spark, sf_dir), ["mean", "most", "n"], []
     scored = vn.uniform_scores(users.select(*columns), columns)
     for kind in ("star", "path", "tree"):
         vine = vn.fit(users, columns, kind)

@@ -75,9 +75,9 @@ def by_hand(x, y):
     return int((s > 0)[upper].sum()), int((s < 0)[upper].sum()), int(((sx == 0) & (sy != 0))[upper].sum()), int(((sx != 0) & (sy == 0))[upper].sum())
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 7])
+@pytest.mark.parametrize("ranges", [None, 1, 3, 7])
 def test_kendall_counts_equal_all_pairs(spark, ranges):
-    rng = np.random.default_rng(ranges)
+    rng = np.random.default_rng(ranges or 0)
     for x, y in ((rng.normal(size=300), rng.normal(size=300)), (rng.integers(0, 6, 400), rng.integers(0, 5, 400)), (np.zeros(50), rng.normal(size=50)), (np.repeat([1, 2], 100), np.arange(200) % 7)):
         df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (1.0, None), (float("nan"), 1.0)], "x double, y double")
         r = kendall.counts(df, "x", "y", ranges).head()
