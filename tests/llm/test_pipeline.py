@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tessel.llm import decontamination, piece_encoding
+from tessel.llm import decontamination, piece_encoding, pipeline
 from tests.llm.test_exact import linked
 
 MID = "/root/testdata/sf0.01"
@@ -71,6 +71,6 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
     three = "a third one without any name that is there two times in equal rows"
     rows = [(8, one), (8, two), (9, two), (None, one), (None, three), (None, three), (5, ""), (5, ""), (6, None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string")
-    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    got = pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(8, one), (8, two), (None, three), (5, ""), (6, None)]))
