@@ -2,9 +2,10 @@
 
 Bags are rows (doc, word, n). For LDA each document's words are gathered into one row, written once;
 every EM step runs the variational fixed point of whole documents inside Arrow batches and sums
-expected counts by word in Spark. The table of topics is sent to the tasks while it has at most
-`SENT_WORDS` words; a larger one stays a table and is joined by word, and the documents are gathered
-anew with their words' log-probabilities. For PLSI both factors (document x topic, word x topic) are
+expected counts by word in Spark. Within a batch documents of about one size go through their rounds
+together, as many as fit into a processor's cache. The `SENT_WORDS` likeliest words of the table of
+topics are sent to the tasks; a larger table's other words are joined by word, and the documents take
+in what was found for theirs. For PLSI both factors (document x topic, word x topic) are
 tables, joined to the counts in every step. Words, documents and counts are never capped. Rows with a
 null doc, word or count, and counts of zero and less, say nothing and are left out.
 """
@@ -27,17 +28,19 @@ SENT_WORDS = 200_000
 CLOSE, ROUNDS = 1e-8, 500
 #: Arguments of the series for ln gamma and its derivatives are at least this.
 LIFT = 13
+#: Words of documents that go through their rounds together, and that have responsibilities at once; a larger document goes alone.
+TOGETHER, AT_ONCE = 65_536, 262_144
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """The derivative of ln gamma, for positive x: moved up by its recurrence, then by its asymptotic series."""
-    x, out = np.array(x, float), np.zeros(np.shape(x))
-    for _ in range(LIFT):
-        low = x < LIFT
-        out -= np.where(low, 1 / x, 0.0)
-        x = np.where(low, x + 1, x)
+    x = np.asarray(x, float)
+    low = 1 / x
+    for i in range(1, 8):
+        low += 1 / (x + i)
+    x = x + 8
     y = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y * (1 / 132 - y * 691 / 32760))))) - low
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -76,6 +79,37 @@ def bags(counts: DataFrame, doc: str, word: str, n: str, prior: str | None = Non
     return written(per.select("doc", "b.word", "b.n", "prior").withColumnRenamed("word", "words"))
 
 
+def _rounds(at: np.ndarray, alpha, allowed, beta, n, start, sizes, gamma, close: float, rounds: int) -> None:
+    """Puts into `gamma` the fixed points of the documents `at`, which are about equally long; shorter ones are filled up with words of no count."""
+    # Each document's own topics come first, so those that none may have cost nothing.
+    own = np.argsort(~allowed[at], axis=1, kind="stable")[:, : max(1, allowed[at].sum(axis=1).max())]
+    place = np.arange(sizes[at].max())
+    real = place < sizes[at][:, None]
+    spot = np.where(real, start[at][:, None] + place, 0)
+    b = np.where(real[:, None, :], beta[spot[:, None, :], own[:, :, None]], 0.0)
+    m = np.where(real, n[spot], 0.0)[:, None, :]
+    rows = at[:, None]
+    a, g, ok = alpha[rows, own], gamma[rows, own], allowed[rows, own]
+    live = np.ones(len(at), bool)
+    for _ in range(rounds):
+        e = np.exp(digamma(g)) * ok
+        share = np.matmul(e[:, None, :], b)
+        share[share == 0] = np.inf
+        np.divide(m, share, out=share)
+        new = np.where(ok, a + e * np.matmul(share, b.transpose(0, 2, 1))[:, 0], 1.0)
+        moved = np.abs(new - g).sum(axis=1) > close * np.abs(new).sum(axis=1)
+        g = np.where(live[:, None], new, g)
+        live &= moved
+        left = live.sum()
+        if 2 * left <= len(live):
+            gamma[at[:, None], own] = g
+            if not left:
+                return
+            at, own, a, g, ok, b, m = at[live], own[live], a[live], g[live], ok[live], b[live], m[live]
+            live = np.ones(len(at), bool)
+    gamma[at[:, None], own] = g
+
+
 def fixed_point(alpha: np.ndarray, logp: np.ndarray, n: np.ndarray, start: np.ndarray, close: float = CLOSE, rounds: int = ROUNDS):
     """(gamma, responsibilities, bound) of documents laid end to end.
 
@@ -92,21 +126,14 @@ def fixed_point(alpha: np.ndarray, logp: np.ndarray, n: np.ndarray, start: np.nd
     beta = np.where(lost[:, None], 0.0, np.exp(np.where(lost[:, None], 0.0, logp - np.where(lost[:, None], 0.0, top))))
     safe = np.where(allowed, alpha, 1.0)
     gamma = np.where(allowed, alpha + np.add.reduceat(n, start)[:, None] / np.maximum(1, allowed.sum(axis=1, keepdims=True)), 1.0)
-    live = np.arange(docs)
-    for _ in range(rounds):
-        inside = np.isin(of, live) if len(live) < docs else slice(None)
-        owner = np.searchsorted(live, of[inside])
-        e = np.exp(digamma(gamma[live])) * allowed[live]
-        phi = beta[inside] * e[owner]
-        total = phi.sum(axis=1, keepdims=True)
-        phi = np.divide(phi, total, out=np.zeros_like(phi), where=total > 0) * n[inside][:, None]
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        new = np.where(allowed[live], alpha[live] + np.add.reduceat(phi, first, axis=0), 1.0)
-        moved = np.abs(new - gamma[live]).sum(axis=1) > close * np.abs(new).sum(axis=1)
-        gamma[live] = new
-        live = live[moved]
-        if not len(live):
-            break
+    sizes = np.diff(np.append(start, len(n)))
+    by_size, first = np.argsort(sizes, kind="stable"), 0
+    while first < docs:
+        last = first + 1
+        while last < docs and (last + 1 - first) * sizes[by_size[last]] <= TOGETHER:
+            last += 1
+        _rounds(by_size[first:last], alpha, allowed, beta, n, start, sizes, gamma, close, rounds)
+        first = last
     mean_log = np.where(allowed, digamma(gamma) - digamma(np.where(allowed, gamma, 0.0).sum(axis=1, keepdims=True)), 0.0)
     phi = beta * np.exp(mean_log)[of] * allowed[of]
     total = phi.sum(axis=1, keepdims=True)
@@ -121,33 +148,69 @@ def fixed_point(alpha: np.ndarray, logp: np.ndarray, n: np.ndarray, start: np.nd
 
 
 def _documents(docs: DataFrame, model: Topics):
-    """The documents with `logp`, or, where the topics are few, without it and a function that looks it up in a task."""
-    logs = model.table.select("word", F.transform("p", lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf")))).alias("logp"))
-    k = len(model.alpha)
-    if model.table.count() <= SENT_WORDS:
-        sent = logs.toPandas()
-        rows = np.array(sent["logp"].tolist(), float).reshape(-1, k)
-        shared = docs.sparkSession.sparkContext.broadcast((sent["word"].tolist(), np.vstack([rows, np.full((1, k), -np.inf)])))
-
-        def look(batch):
-            known, values = shared.value
-            at = pc.index_in(batch.column("words").flatten(), value_set=pa.array(known, batch.column("words").type.value_type))
-            return values[at.fill_null(len(known)).to_numpy()]
+    """The documents, and a function that looks up their words' log-probabilities in a task.
 
+    Of a table with more than `SENT_WORDS` words the likeliest are sent; the documents then have `rest`,
+    the places of other words and their log-probabilities.
+    """
+    spark, k = docs.sparkSession, len(model.alpha)
+    size, few = model.table.count(), None
+    if size > SENT_WORDS:
+        likely = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
+        least = model.table.agg(F.percentile_approx(likely, 1 - SENT_WORDS / size, 10_000)).head()[0]
+        few = likely > least
+    logp = F.transform("p", lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf")))).alias("logp")
+    sent = (model.table if few is None else model.table.where(few)).select("word", logp).toPandas()
+    rows = np.array(sent["logp"].tolist(), float).reshape(-1, k)
+    shared = spark.sparkContext.broadcast((sent["word"].tolist(), np.vstack([rows, np.full((1, k), -np.inf)])))
+
+    def places(words):
+        known, values = shared.value
+        at = pc.index_in(words, value_set=pa.array(known, words.type))
+        return at.fill_null(len(known)).to_numpy(), values
+
+    def look(batch):
+        at, values = places(batch.column("words").flatten())
+        out = values[at]
+        if "rest" in batch.schema.names:
+            rest = batch.column("rest")
+            sizes = pc.list_value_length(batch.column("words")).to_numpy()
+            begin = np.repeat(np.cumsum(sizes) - sizes, pc.fill_null(pc.list_value_length(rest), 0).to_numpy())
+            flat = rest.flatten()
+            out[begin + flat.field("at").to_numpy()] = flat.field("logp").flatten().to_numpy().reshape(-1, k)
+        return out
+
+    if few is None:
         return docs, look
-    split = docs.select("doc", "prior", F.explode(F.arrays_zip("words", "n")).alias("b")).select("doc", "prior", "b.words", "b.n")
-    none = F.array_repeat(F.lit(float("-inf")), k)
-    met = split.join(logs, F.col("words") == F.col("word"), "left").select("doc", "prior", "words", "n", F.coalesce("logp", none).alias("logp"))
-    whole = met.groupBy("doc").agg(F.collect_list(F.struct("words", "n", "logp")).alias("b"), F.first("prior").alias("prior"))
-    return whole.select("doc", "b.words", "b.n", "prior", "b.logp"), lambda batch: batch.column("logp").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    kinds = dict(docs.dtypes)
+
+    def others(batches):
+        for batch in batches:
+            at, values = places(batch.column("words").flatten())
+            sizes = pc.list_value_length(batch.column("words")).to_numpy()
+            rest = np.flatnonzero(at == len(values) - 1)
+            of = np.repeat(np.arange(batch.num_rows), sizes)[rest]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(of)), pa.array((rest - (np.cumsum(sizes) - sizes)[of]).astype(np.int32)), batch.column("words").flatten().take(pa.array(rest))], ["doc", "at", "word"])
+
+    pairs = docs.select("doc", "words").mapInArrow(others, f"doc {kinds['doc']}, at int, word {kinds['words'][6:-1]}")
+    met = pairs.join(model.table.where(~few).select("word", logp), "word")
+    rest = met.groupBy("doc").agg(F.collect_list(F.struct("at", "logp")).alias("rest"))
+    return docs.join(rest, "doc", "left"), look
 
 
 def _batches(batch, look, alpha: np.ndarray, close: float, rounds: int):
-    n = batch.column("n").flatten().to_numpy(zero_copy_only=False)
-    sizes = pc.list_value_length(batch.column("n")).to_numpy(zero_copy_only=False)
-    own = batch.column("prior").to_pylist()
-    weights = np.array([alpha if p is None else p for p in own], float).reshape(-1, len(alpha))
-    return fixed_point(weights, look(batch), n, np.cumsum(sizes) - sizes, close, rounds), n, sizes
+    """Of each part of a batch, whole documents of about `AT_ONCE` words: its rows, what `fixed_point` gives, counts and sizes."""
+    ends = np.cumsum(pc.list_value_length(batch.column("n")).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        part = batch.slice(first, last - first)
+        n = part.column("n").flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(ends[first:last], prepend=before)
+        weights = np.array([alpha if p is None else p for p in part.column("prior").to_pylist()], float).reshape(-1, len(alpha))
+        yield part, fixed_point(weights, look(part), n, np.cumsum(sizes) - sizes, close, rounds), n, sizes
+        first = last
 
 
 def score(docs: DataFrame, model: Topics, close: float = CLOSE, rounds: int = ROUNDS) -> DataFrame:
@@ -157,10 +220,9 @@ def score(docs: DataFrame, model: Topics, close: float = CLOSE, rounds: int = RO
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                (gamma, _, bound, _), n, sizes = _batches(batch, look, alpha, close, rounds)
+            for part, (gamma, _, bound, _), n, sizes in _batches(batch, look, alpha, close, rounds):
                 total = np.add.reduceat(n, np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(total), pa.array(bound), pa.array(gamma.tolist(), pa.list_(pa.float64()))], ["doc", "n", "bound", "gamma"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(total), pa.array(bound), pa.array(gamma.tolist(), pa.list_(pa.float64()))], ["doc", "n", "bound", "gamma"])
 
     return rows.mapInArrow(run, f"doc {dict(docs.dtypes)['doc']}, n double, bound double, gamma array<double>")
 
@@ -169,23 +231,27 @@ def em_step(docs: DataFrame, model: Topics, fit_alpha: bool = True, close: float
     """One step, and the bound that the model before it had. Documents with weights of their own leave alpha as it is."""
     rows, look = _documents(docs, model)
     alpha, k = model.alpha, len(model.alpha)
+    size = k + 2
     kind = docs.schema["words"].dataType.elementType.simpleString()
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            (_, phi, bound, mean_log), n, _ = _batches(batch, look, alpha, close, rounds)
             coded = batch.column("words").flatten().dictionary_encode()
-            sums = np.zeros((len(coded.dictionary), k))
-            np.add.at(sums, coded.indices.to_numpy(), phi * n[:, None])
-            ok = np.isfinite(bound)
-            plain = np.array([p is None for p in batch.column("prior").to_pylist()]) & ok
-            figures = np.concatenate([[bound[ok].sum(), plain.sum()], mean_log[plain].sum(axis=0)])
+            codes, sums, figures, done = coded.indices.to_numpy(), np.zeros((len(coded.dictionary), k)), np.zeros(size), 0
+            for part, (_, phi, bound, mean_log), n, _ in _batches(batch, look, alpha, close, rounds):
+                mine = codes[done : done + len(n)]
+                done += len(n)
+                seen, at = np.unique(mine, return_inverse=True)
+                for i in range(k):
+                    sums[seen, i] += np.bincount(at, phi[:, i] * n)
+                ok = np.isfinite(bound)
+                plain = np.array([p is None for p in part.column("prior").to_pylist()]) & ok
+                figures += np.concatenate([[bound[ok].sum(), plain.sum()], mean_log[plain].sum(axis=0)])
             values = [*sums.tolist(), figures.tolist()]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]), pa.array(values, pa.list_(pa.float64()))], ["word", "v"])
 
-    size = k + 2
     sums = rows.mapInArrow(run, f"word {kind}, v array<double>").groupBy("word").agg(*[F.sum(F.get("v", i)).alias(f"v{i}") for i in range(size)])
     sums = written(sums)
     seen = sums.where("word IS NULL").head()
