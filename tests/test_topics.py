@@ -107,3 +107,36 @@ def test_plsi_climbs_and_scores(spark, corpus):
     for d, row in enumerate(counts):
         q, share = theta[d]
         assert np.isclose(q.sum(), 1) and np.isclose(score[d], np.log(share) + sum(c * np.log(q @ p[w]) for w, c in zip(VOCABULARY, row, strict=True) if c))
+
+
+def test_only_unlikely_words_of_a_large_table_are_joined(spark, corpus, monkeypatch):
+    monkeypatch.setattr(tp, "SENT_WORDS", 3)
+    counts, rows = corpus
+    docs, alpha = tp.bags(rows, "doc", "word", "n"), np.array([0.6, 0.3, 0.4])
+    model = tp.Topics(alpha, table(spark, BETA))
+    met, _ = tp._documents(docs, model)
+    assert "logp" not in met.columns
+    said = {r.doc: {r.words[x.at]: x.logp for x in r.rest or []} for r in met.collect()}
+    assert 0 < sum(map(len, said.values())) < (counts > 0).sum() and not {w for d in said.values() for w in d} & {"a", "f"}
+    got = {r.doc: r for r in tp.score(docs, model).collect()}
+    _, _, bounds, gammas = plain(counts, alpha, BETA)
+    assert np.allclose([got[d].bound for d in range(len(counts))], bounds, atol=1e-6)
+    assert np.allclose([got[d].gamma for d in range(len(counts))], gammas, rtol=1e-4)
+
+
+def test_documents_of_unlike_sizes_and_topics_go_together(monkeypatch):
+    """Blocks of several sizes, topics that a document can't have and words that none of its topics has."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 60, 50)
+    start, alpha = np.cumsum(sizes) - sizes, np.where(rng.random((50, 4)) < 0.4, 0.0, 0.7)
+    alpha[:, 1] = 0.5
+    logp, n = np.log(rng.dirichlet(np.ones(4), sizes.sum())), rng.integers(1, 9, sizes.sum()).astype(float)
+    logp[7] = -np.inf
+    monkeypatch.setattr(tp, "TOGETHER", 200)
+    gamma, phi, bound, _ = tp.fixed_point(alpha, logp, n, start)
+    for d in range(50):
+        at = slice(start[d], start[d] + sizes[d])
+        alone = tp.fixed_point(alpha[d : d + 1], logp[at], n[at], np.array([0]))
+        assert np.allclose(gamma[d], alone[0][0], atol=1e-9) and np.allclose(phi[at], alone[1], atol=1e-9)
+        assert bound[d] == alone[2][0] or np.isclose(bound[d], alone[2][0])
+        assert (gamma[d][alpha[d] == 0] == 0).all()
