@@ -137,10 +137,27 @@ def record_times(spark, sf_dir):
 _RANKS = "WITH c AS (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY 1, 2), r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_type) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS m FROM c)"
 
 
+def sums_in_order(rows, by: str, item: str, value: str, at: str):
+    """(by, item, v): sums of doubles; those that lie within rounding of another of the same `by` are added up anew in the order of `at`.
+
+    Which of two such sums is larger depends on the order of their parts; only rows of such sums are gathered.
+    """
+    from pyspark.sql import Window
+
+    near, beside = F.lit(1e-9), Window.partitionBy(by).orderBy(F.desc("v"), item)
+    sums = rows.groupBy(by, item).agg(F.sum(value).alias("v"), F.sum(F.abs(value)).alias("size"))
+    close = lambda step: F.abs(F.col("v") - step("v").over(beside)) <= near * F.greatest("size", step("size").over(beside))
+    sums = sums.select(by, item, "v", F.coalesce(close(F.lag) | close(F.lead), close(F.lag), close(F.lead), F.lit(False)).alias("close"))
+    parts = rows.where(F.col(value).isNotNull()).join(sums.where("close").select(by, item), [by, item])
+    anew = parts.groupBy(by, item).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("parts"))
+    anew = anew.select(by, item, F.aggregate("parts", F.lit(0.0), lambda a, r: a + r[value]).alias("anew"))
+    return sums.join(anew, [by, item], "left").select(by, item, F.coalesce("anew", "v").alias("v"))
+
+
 def _rankings(spark, sf_dir):
     from pyspark.sql import Window
 
-    per = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
+    per = sums_in_order(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id")
     return per.select("user_id", "event_type", (F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("v"), "event_type")) - 1).alias("pos"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessel.operators import multivariate as mv
 from tessel.operators import rankings as rk
 from tessel.operators import survival_regression as sr
+from tessel.plans.analytics import sums_in_order
 from tessel.plans.base import query, rounded, table
 
 # Voters are the customers that ordered with every priority; a ranking is the order of what they spent.
@@ -17,7 +18,7 @@ _RANKED = "WITH s AS (SELECT o_custkey AS v, o_orderpriority AS item, sum(o_tota
 def _rankings(spark, sf_dir):
     from pyspark.sql import Window
 
-    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("v"), F.col("o_orderpriority").alias("item")).agg(F.sum("o_totalprice").alias("t"))
+    spent = sums_in_order(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "o_orderkey").toDF("v", "item", "t")
     full = spent.groupBy("v").agg(F.count("*").alias("k")).where("k = 5").select("v")
     return spent.join(full, "v").select("v", "item", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("t"), "item")).alias("pos"))
 

@@ -56,3 +56,16 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rankings_by_sums_that_differ_by_rounding(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 is more than 0.6 if added up in this order, and not if the last two come first."""
+    path = str(tmp_path / "events.parquet")
+    rows = lambda x: spark.createDataFrame(x, "event_id long, user_id long, event_type string, value double").coalesce(1)
+    rows([(0, u, "z", 0.1) for u in range(9)]).write.parquet(path)
+    rows([(1 + k, u, "z", v) for u in range(9) for k, v in enumerate((0.2, 0.3))] + [(3, u, "c", 0.6) for u in range(9)] + [(4, u, "c", None) for u in range(9)]).write.mode("append").parquet(path)
+    rows([(5, u, "far", 7.0) for u in range(9)]).write.mode("append").parquet(path)
+    got = {r.event_type: r.score for r in registry.QUERIES["borda"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{path}/*.parquet') ORDER BY event_id")
+    assert got == dict(con.execute(registry.ORACLE_SQL["borda"]).fetchall()) == {"far": 18, "z": 9, "c": 0}
