@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from tessel.functions.special import NEG_INF, log_of, log_sum_exp
 from tessel.operators.families import FAMILIES, Family
+from tessel.sources.shared import written
+
+#: Keys of a conditional model up to which it is sent to every task.
+SENT_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -88,7 +92,13 @@ def fit_conditional(df: DataFrame, key: str, record: Record) -> DataFrame:
 
 
 def score_conditional(df: DataFrame, model: DataFrame, key: str, record: Record, name: str = "ll") -> DataFrame:
-    """Log-density of each row given its key; keys that the model lacks get -infinity. The model has a row per key."""
+    """Log-density of each row given its key; keys that the model lacks get -infinity. The model has a row per key.
+
+    Up to `SENT_KEYS` keys go to the rows, so that a frequent key's rows are not gathered in one task.
+    """
+    model = written(model)
+    if model.count() <= SENT_KEYS:
+        model = F.broadcast(model)
     cols = {f"{i}_{k}": F.col(f"m{i}_p_{k}") for i, leaf in enumerate(record) for k in (leaf.rules.params if isinstance(leaf, Leaf) else range(len(leaf.levels)))}
     joined = df.join(model.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left")
     return joined.withColumn(name, F.when(F.col("_key").isNull(), F.lit(NEG_INF)).otherwise(record_logpdf(record, cols))).select(*df.columns, name)

@@ -274,3 +274,22 @@ def test_large_tied_sets_are_dealt_out_and_breslow_needs_no_row_an_event(spark,
     monkeypatch.setattr(sr, "TIED", 7)
     got = sr.cox_ph(rows, "t", "e", ["a"])
     assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and np.isclose(got[2], want[2])
+
+
+def test_rows_of_a_key_are_not_gathered_to_be_scored(spark):
+    from pyspark.sql import functions as F
+
+    from tessel.operators import combinators as cb
+
+    rows = spark.range(1000).select((F.col("id") % 2).alias("k"), (F.col("id") % 7).cast("double").alias("x"))
+    record = [cb.Leaf("gaussian", "x")]
+    # As where Spark takes the model for large, by its estimate from the rows.
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cb.score_conditional(rows, cb.fit_conditional(rows, "k", record), "k", record)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert got.count() == 1000
