@@ -5,8 +5,8 @@ every EM step runs the variational fixed point of whole documents inside Arrow b
 expected counts by word in Spark. Within a batch documents of about one size go through their rounds
 together, as many as fit into a processor's cache. The `SENT_WORDS` likeliest words of the table of
 topics are sent to the tasks; a larger table's other words are joined by word, and the documents take
-in what was found for theirs. For PLSI both factors (document x topic, word x topic) are
-tables, joined to the counts in every step. Words, documents and counts are never capped. Rows with a
+in what was found for theirs. For PLSI words reach the documents in the same way, whose
+own factor is joined to them; a step moves sums by word and documents, not counts. Words, documents and counts are never capped. Rows with a
 null doc, word or count, and counts of zero and less, say nothing and are left out.
 """
 
@@ -147,26 +147,28 @@ def fixed_point(alpha: np.ndarray, logp: np.ndarray, n: np.ndarray, start: np.nd
     return np.where(allowed, gamma, 0.0), phi, bound, mean_log
 
 
-def _documents(docs: DataFrame, model: Topics):
-    """The documents, and a function that looks up their words' log-probabilities in a task.
+def _logs(p: Column) -> Column:
+    return F.transform(p, lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf"))))
+
+
+def _documents(docs: DataFrame, words: DataFrame, k: int, value=_logs, none: float = -np.inf):
+    """The documents, and a function that looks up their words' log-probabilities (or another `value` of p; `none`: of a word not in the table) in a task.
 
     Of a table with more than `SENT_WORDS` words the likeliest are sent; the documents then have `rest`,
     the places of other words and their log-probabilities.
     """
-    spark, k = docs.sparkSession, len(model.alpha)
-    size, few = model.table.count(), None
+    size, few, logp = words.count(), None, value(F.col("p")).alias("logp")
     if size > SENT_WORDS:
         likely = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
-        least = model.table.agg(F.percentile_approx(likely, 1 - SENT_WORDS / size, 10_000)).head()[0]
+        least = words.agg(F.percentile_approx(likely, 1 - SENT_WORDS / size, 10_000)).head()[0]
         few = likely > least
-    logp = F.transform("p", lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf")))).alias("logp")
-    sent = (model.table if few is None else model.table.where(few)).select("word", logp).toPandas()
+    sent = (words if few is None else words.where(few)).select("word", logp).toPandas()
     rows = np.array(sent["logp"].tolist(), float).reshape(-1, k)
-    shared = spark.sparkContext.broadcast((sent["word"].tolist(), np.vstack([rows, np.full((1, k), -np.inf)])))
+    shared = docs.sparkSession.sparkContext.broadcast((sent["word"].tolist(), np.vstack([rows, np.full((1, k), none)])))
 
-    def places(words):
+    def places(met):
         known, values = shared.value
-        at = pc.index_in(words, value_set=pa.array(known, words.type))
+        at = pc.index_in(met, value_set=pa.array(known, met.type))
         return at.fill_null(len(known)).to_numpy(), values
 
     def look(batch):
@@ -193,7 +195,7 @@ def _documents(docs: DataFrame, model: Topics):
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(of)), pa.array((rest - (np.cumsum(sizes) - sizes)[of]).astype(np.int32)), batch.column("words").flatten().take(pa.array(rest))], ["doc", "at", "word"])
 
     pairs = docs.select("doc", "words").mapInArrow(others, f"doc {kinds['doc']}, at int, word {kinds['words'][6:-1]}")
-    met = pairs.join(model.table.where(~few).select("word", logp), "word")
+    met = pairs.join(words.where(~few).select("word", logp), "word")
     rest = met.groupBy("doc").agg(F.collect_list(F.struct("at", "logp")).alias("rest"))
     return docs.join(rest, "doc", "left"), look
 
@@ -215,7 +217,7 @@ def _batches(batch, look, alpha: np.ndarray, close: float, rounds: int):
 
 def score(docs: DataFrame, model: Topics, close: float = CLOSE, rounds: int = ROUNDS) -> DataFrame:
     """(doc, n, bound, gamma): words, the variational bound of the log-likelihood, and the posterior weights of each document of `bags`."""
-    rows, look = _documents(docs, model)
+    rows, look = _documents(docs, model.table, len(model.alpha))
     alpha = model.alpha
 
     def run(batches):
@@ -229,7 +231,7 @@ def score(docs: DataFrame, model: Topics, close: float = CLOSE, rounds: int = RO
 
 def em_step(docs: DataFrame, model: Topics, fit_alpha: bool = True, close: float = CLOSE, rounds: int = ROUNDS) -> tuple[Topics, float]:
     """One step, and the bound that the model before it had. Documents with weights of their own leave alpha as it is."""
-    rows, look = _documents(docs, model)
+    rows, look = _documents(docs, model.table, len(model.alpha))
     alpha, k = model.alpha, len(model.alpha)
     size = k + 2
     kind = docs.schema["words"].dataType.elementType.simpleString()
@@ -312,41 +314,98 @@ def label_priors(labels: DataFrame, doc: str, label: str, weights: dict[object,
     return rows.groupBy("doc").agg(F.array(*[F.avg(F.col("w")[i]) for i in range(size)]).alias("prior"))
 
 
-def plsi(counts: DataFrame, doc: str, word: str, n: str, k: int, lean: list[Column], steps: int = 10) -> tuple[DataFrame, DataFrame, list[float]]:
+def plsi(counts: DataFrame, doc: str, word: str | None, n: str, k: int, lean: list[Column], steps: int = 10) -> tuple[DataFrame, DataFrame, list[float]]:
     """(word table (word, p), document table (doc, p, share), log-likelihoods of words given documents before each step) of PLSI.
 
     p of a word: its probability in each topic; p of a document: the topics' in it; share: the
     document's part of all counts. `lean` are positive columns over (word) that the topics start from.
+    Where `word` is None, `counts` are documents that `bags` gave.
     """
-    rows = counts.select(F.col(doc).alias("doc"), F.col(word).alias("word"), F.col(n).cast("double").alias("n")).where("doc IS NOT NULL AND word IS NOT NULL AND n > 0")
-    rows = written(rows.groupBy("doc", "word").agg(F.sum("n").alias("n")))
-    words, docs, trace = rows.groupBy("word").agg(F.sum("n").alias("n")), None, []
+    docs = bags(counts, doc, word, n) if word else counts
+    each = docs.select(F.explode(F.arrays_zip("words", "n")).alias("b")).groupBy(F.col("b.words").alias("word")).agg(F.sum("b.n").alias("n"))
+    factors, trace, sums = None, [], None
+    kinds = docs.schema["doc"].dataType.simpleString(), docs.schema["words"].dataType.elementType.simpleString()
 
-    def normal(table: DataFrame, values: list[Column]) -> DataFrame:
-        table = written(table.select("word", *[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    def normal(table: DataFrame) -> DataFrame:
         totals = table.agg(*[F.sum(f"v{i}") for i in range(k)]).head()
         return table.select("word", F.array(*[F.col(f"v{i}") / float(t) if t else F.lit(0.0) for i, t in enumerate(totals)]).alias("p"))
 
-    words = normal(words, [F.col("n") * c for c in lean])
-    whole = rows.agg(F.sum("n")).head()[0] or 0.0
-    docs = rows.groupBy("doc").agg(F.sum("n").alias("t")).select("doc", F.array(*[F.lit(1.0 / k)] * k).alias("q"), (F.col("t") / whole).alias("share"))
+    start = written(each.select("word", "n", *[(F.col("n") * c).alias(f"v{i}") for i, c in enumerate(lean)]))
+    whole, words = start.agg(F.sum("n")).head()[0] or 0.0, normal(start)
     for _ in range(steps):
-        met = rows.join(words, "word").join(docs, "doc")
-        parts = [F.col("p")[i] * F.col("q")[i] for i in range(k)]
-        met = met.select("doc", "word", "n", "share", *[c.alias(f"j{i}") for i, c in enumerate(parts)], sum(parts[1:], parts[0]).alias("j"))
-        met = written(met.select("doc", "word", (F.col("n") * F.ln("j")).alias("ll"), "share", *[F.when(F.col("j") > 0, F.col("n") * F.col(f"j{i}") / F.col("j")).otherwise(0.0).alias(f"r{i}") for i in range(k)]))
-        trace.append(met.agg(F.sum("ll")).head()[0])
-        words = normal(met.groupBy("word").agg(*[F.sum(f"r{i}").alias(f"r{i}") for i in range(k)]), [F.col(f"r{i}") for i in range(k)])
-        per = met.groupBy("doc").agg(*[F.sum(f"r{i}").alias(f"r{i}") for i in range(k)], F.first("share").alias("share"))
-        total = sum((F.col(f"r{i}") for i in range(1, k)), F.col("r0"))
-        docs = per.select("doc", F.array(*[F.col(f"r{i}") / total for i in range(k)]).alias("q"), "share")
-    return words, docs.withColumnRenamed("q", "p"), trace
-
-
-def plsi_score(counts: DataFrame, doc: str, word: str, n: str, words: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, ll): ln of the document's share plus the counts' log-probabilities; -infinity where a word or the document is unknown."""
-    rows = counts.select(F.col(doc).alias("doc"), F.col(word).alias("word"), F.col(n).cast("double").alias("n")).where("doc IS NOT NULL AND word IS NOT NULL AND n > 0")
-    met = rows.join(words, "word", "left").join(docs.select("doc", F.col("p").alias("q"), "share"), "doc", "left")
-    mixed = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    ll = F.when(mixed > 0, F.col("n") * F.ln(mixed)).otherwise(F.lit(float("-inf")))
-    return met.groupBy("doc").agg((F.coalesce(F.ln(F.first("share")), F.lit(float("-inf"))) + F.sum(ll)).alias("ll"))
+        rows, look = _documents(docs, words, k, lambda p: p, 0.0)
+        rows = rows.join(factors.select("doc", F.col("p").alias("q")), "doc", "left") if factors is not None else rows.withColumn("q", F.array(*[F.lit(1.0 / k)] * k))
+        met = rows.mapInArrow(_plsi_shares(look, k), f"word {kinds[1]}, doc {kinds[0]}, v array<double>")
+        sums = written(met.groupBy("word", "doc").agg(*[F.sum(F.get("v", i)).alias(f"v{i}") for i in range(k + 1)]), instead=sums)
+        seen = sums.where("word IS NULL AND doc IS NULL").head()
+        trace.append(seen.v0 if seen else None)
+        words = normal(sums.where("word IS NOT NULL"))
+        factors = sums.where("doc IS NOT NULL").select("doc", F.array(*[F.col(f"v{i}") for i in range(k)]).alias("p"), (F.col(f"v{k}") / (whole or 1.0)).alias("share"))
+    if factors is None:
+        factors = docs.select("doc", F.array(*[F.lit(1.0 / k)] * k).alias("p"), (F.aggregate("n", F.lit(0.0), lambda a, v: a + v) / (whole or 1.0)).alias("share"))
+    return words, factors, trace
+
+
+def _parts(batch, look, k: int):
+    """Of each part of a batch as in `_batches`: its rows, counts, which document each is of, where documents start, and p times q."""
+    ends = np.cumsum(pc.list_value_length(batch.column("n")).to_numpy())
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+        part = batch.slice(first, last - first)
+        sizes = np.diff(ends[first:last], prepend=before)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        q = np.array([[0.0] * k if v is None else v for v in part.column("q").to_pylist()], float).reshape(-1, k)
+        yield part, part.column("n").flatten().to_numpy(), of, np.cumsum(sizes) - sizes, look(part) * q[of]
+        first = last
+
+
+def _plsi_shares(look, k: int):
+    """A function over Arrow batches: (word, -, its parts by topic), (-, document, its shares by topic and its count), (-, -, log-likelihood)."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("words").flatten().dictionary_encode()
+            codes, done, likely, shares = coded.indices.to_numpy(), 0, 0.0, []
+            sums = np.zeros((len(coded.dictionary), k))
+            for _, n, of, start, joint in _parts(batch, look, k):
+                total = joint.sum(axis=1)
+                with np.errstate(divide="ignore"):
+                    likely += float((n * np.log(total)).sum())
+                r = joint * np.divide(n, total, out=np.zeros_like(n), where=total > 0)[:, None]
+                seen, at = np.unique(codes[done : done + len(n)], return_inverse=True)
+                done += len(n)
+                for i in range(k):
+                    sums[seen, i] += np.bincount(at, r[:, i])
+                mine = np.add.reduceat(r, start, axis=0)
+                size = mine.sum(axis=1, keepdims=True)
+                shares.append(np.hstack([np.divide(mine, size, out=np.zeros_like(mine), where=size > 0), np.add.reduceat(n, start)[:, None]]))
+            words, docs = coded.dictionary, batch.column("doc")
+            values = [*sums.tolist(), *np.vstack(shares).tolist(), [likely]]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(len(docs) + 1, words.type)]), pa.concat_arrays([pa.nulls(len(words), docs.type), docs, pa.nulls(1, docs.type)]), pa.array(values, pa.list_(pa.float64()))], ["word", "doc", "v"])
+
+    return run
+
+
+def plsi_score(counts: DataFrame, doc: str, word: str | None, n: str, words: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, ll): ln of the document's share plus the counts' log-probabilities; -infinity where a word or the document is unknown.
+
+    Where `word` is None, `counts` are documents that `bags` gave.
+    """
+    mine = bags(counts, doc, word, n) if word else counts
+    first = words.head()
+    k = len(first.p) if first else 1
+    rows, look = _documents(mine, words, k, lambda p: p, 0.0)
+    rows = rows.join(docs.select("doc", F.col("p").alias("q"), "share"), "doc", "left")
+
+    def run(batches):
+        for batch in batches:
+            for part, n, _, start, joint in _parts(batch, look, k):
+                share = np.array([v or 0.0 for v in part.column("share").to_pylist()])
+                with np.errstate(divide="ignore"):
+                    yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.log(share) + np.add.reduceat(n * np.log(joint.sum(axis=1)), start))], ["doc", "ll"])
+
+    return rows.mapInArrow(run, f"doc {mine.schema['doc'].dataType.simpleString()}, ll double")

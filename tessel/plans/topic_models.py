@@ -26,20 +26,21 @@ def _plsi_sql(steps: int) -> str:
 
 def _plsi(spark, sf_dir):
     lean = [1 + F.length("word") % 3, 1 + F.length("word") % 2]
-    return tp.plsi(_counts(spark, sf_dir), "doc_id", "word", "n", 2, lean, 3)
+    docs = tp.bags(_counts(spark, sf_dir), "doc_id", "word", "n")
+    return docs, *tp.plsi(docs, "doc", None, "n", 2, lean, 3)
 
 
 @query("plsi_words", _plsi_sql(3) + " SELECT w AS word, round(p0, 9) AS p0, round(p1, 9) AS p1 FROM w3")
 def plsi_words(spark, sf_dir):
     """The words of two topics after three steps."""
-    words, _, _ = _plsi(spark, sf_dir)
+    _, words, _, _ = _plsi(spark, sf_dir)
     return rounded(words.select("word", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1")), 9)
 
 
 @query("plsi_score", _plsi_sql(3) + ", t AS (SELECT doc_id, sum(n) / (SELECT sum(n) FROM c) AS share FROM c GROUP BY 1) SELECT doc_id, round(ln(any_value(share)) + sum(n * ln(p0 * q0 + p1 * q1)), 5) AS ll FROM c JOIN w3 USING (w) JOIN d3 USING (doc_id) JOIN t USING (doc_id) GROUP BY 1")
 def plsi_score(spark, sf_dir):
-    words, docs, _ = _plsi(spark, sf_dir)
-    got = tp.plsi_score(_counts(spark, sf_dir), "doc_id", "word", "n", words, docs)
+    bags, words, docs, _ = _plsi(spark, sf_dir)
+    got = tp.plsi_score(bags, "doc", None, "n", words, docs)
     return rounded(got.withColumnRenamed("doc", "doc_id"), 5)
 
 
