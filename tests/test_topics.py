@@ -114,7 +114,7 @@ def test_only_unlikely_words_of_a_large_table_are_joined(spark, corpus, monkeypa
     counts, rows = corpus
     docs, alpha = tp.bags(rows, "doc", "word", "n"), np.array([0.6, 0.3, 0.4])
     model = tp.Topics(alpha, table(spark, BETA))
-    met, _ = tp._documents(docs, model)
+    met, _ = tp._documents(docs, model.table, 3)
     assert "logp" not in met.columns
     said = {r.doc: {r.words[x.at]: x.logp for x in r.rest or []} for r in met.collect()}
     assert 0 < sum(map(len, said.values())) < (counts > 0).sum() and not {w for d in said.values() for w in d} & {"a", "f"}
@@ -140,3 +140,19 @@ def test_documents_of_unlike_sizes_and_topics_go_together(monkeypatch):
         assert np.allclose(gamma[d], alone[0][0], atol=1e-9) and np.allclose(phi[at], alone[1], atol=1e-9)
         assert bound[d] == alone[2][0] or np.isclose(bound[d], alone[2][0])
         assert (gamma[d][alpha[d] == 0] == 0).all()
+
+
+def test_plsi_takes_documents_written_once(spark, corpus, monkeypatch):
+    """Bags in place of counts give the same, also where some words are joined; a document of another corpus has no share."""
+    _, rows = corpus
+    lean = [1 + F.ascii("word") % 3, 1 + F.ascii("word") % 2]
+    words, docs, trace = tp.plsi(rows, "doc", "word", "n", 2, lean, 3)
+    score = {r.doc: r.ll for r in tp.plsi_score(rows, "doc", "word", "n", words, docs).collect()}
+    monkeypatch.setattr(tp, "SENT_WORDS", 3)
+    bags = tp.bags(rows, "doc", "word", "n")
+    again, others, trace2 = tp.plsi(bags, "doc", None, "n", 2, lean, 3)
+    assert np.allclose(trace, trace2, rtol=1e-12)
+    p = {r.word: r.p for r in words.collect()}
+    assert all(np.allclose(r.p, p[r.word], rtol=1e-10) for r in again.collect())
+    got = {r.doc: r.ll for r in tp.plsi_score(bags, "doc", None, "n", again, others.where("doc <> 0")).collect()}
+    assert got.pop(0) == -np.inf and all(np.isclose(v, score[d], rtol=1e-10) for d, v in got.items())
