@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.sources.shared import discard, written
+from tessel.sources.shared import discard, written, written_by
 
 #: Words of a table of topics up to which it is sent to every task.
 SENT_WORDS = 200_000
@@ -76,7 +76,47 @@ def bags(counts: DataFrame, doc: str, word: str, n: str, prior: str | None = Non
     rows = counts.select(F.col(doc).alias("doc"), F.col(word).alias("word"), F.col(n).cast("double").alias("n"), (F.col(prior) if prior else F.lit(None)).cast("array<double>").alias("prior"))
     rows = rows.where("doc IS NOT NULL AND word IS NOT NULL AND n > 0").groupBy("doc", "word").agg(F.sum("n").alias("n"), F.first("prior").alias("prior"))
     per = rows.groupBy("doc").agg(F.collect_list(F.struct("word", "n")).alias("b"), F.first("prior").alias("prior"))
-    return written(per.select("doc", "b.word", "b.n", "prior").withColumnRenamed("word", "words"))
+    return written_by(per.select("doc", "b.word", "b.n", "prior").withColumnRenamed("word", "words"), "doc")
+
+
+def _counted(batches):
+    """(doc, words, n) of Arrow batches (doc, words) or (doc, words, n): each row's different words and their counts; rows without any are left out."""
+    for batch in batches:
+        words, kind = batch.column("words"), batch.schema.field("words").type.value_type
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        flat = words.flatten()
+        of, real = np.repeat(np.arange(batch.num_rows), sizes), pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        coded = flat.dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        pairs, at = of[real] * width + coded.indices.drop_null().to_numpy(), None
+        if "n" in batch.schema.names:
+            pairs, at = np.unique(pairs, return_inverse=True)
+            n = np.bincount(at, batch.column("n").flatten().to_numpy()[real], len(pairs))
+        else:
+            pairs, n = np.unique(pairs, return_counts=True)
+        of = pairs // width
+        some, first = np.unique(of, return_index=True)
+        ends = pa.array(np.append(first, len(pairs)).astype(np.int32))
+        found = coded.dictionary.take(pa.array(pairs % width)).cast(kind)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(some)), pa.ListArray.from_arrays(ends, found), pa.ListArray.from_arrays(ends, pa.array(n.astype(float)))], ["doc", "words", "n"])
+
+
+def bags_of_words(rows: DataFrame, doc: str, words: str, priors: DataFrame | None = None) -> DataFrame:
+    """What `bags` gives, from rows (doc, array of words): words are counted where they are read and each document moves once.
+
+    `priors`: (doc, prior) of the documents to keep, one row each. Null documents and words are left out;
+    the rows of a document that has several are put together.
+    """
+    rows = rows.select(F.col(doc).alias("doc"), F.col(words).alias("words")).where("doc IS NOT NULL")
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", n array<double>"
+    counted = rows.mapInArrow(_counted, kind)
+    several = rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
+    if several.head():
+        met = counted.join(several, "doc", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("words", "n")).alias("b"))
+        merged = met.select("doc", F.flatten("b.words").alias("words"), F.flatten("b.n").alias("n")).mapInArrow(_counted, kind)
+        counted = counted.join(several, "doc", "left_anti").unionByName(merged)
+    counted = counted.join(priors.select("doc", "prior"), "doc") if priors is not None else counted.withColumn("prior", F.lit(None).cast("array<double>"))
+    return written_by(counted.select("doc", "words", "n", "prior"), "doc")
 
 
 def _rounds(at: np.ndarray, alpha, allowed, beta, n, start, sizes, gamma, close: float, rounds: int) -> None:
@@ -90,24 +130,36 @@ def _rounds(at: np.ndarray, alpha, allowed, beta, n, start, sizes, gamma, close:
     m = np.where(real, n[spot], 0.0)[:, None, :]
     rows = at[:, None]
     a, g, ok = alpha[rows, own], gamma[rows, own], allowed[rows, own]
-    live = np.ones(len(at), bool)
-    for _ in range(rounds):
+    live, began, before, safe, least = np.ones(len(at), bool), g, g, g, np.full(len(at), np.inf)
+    for i in range(rounds):
         e = np.exp(digamma(g)) * ok
         share = np.matmul(e[:, None, :], b)
         share[share == 0] = np.inf
         np.divide(m, share, out=share)
         new = np.where(ok, a + e * np.matmul(share, b.transpose(0, 2, 1))[:, 0], 1.0)
-        moved = np.abs(new - g).sum(axis=1) > close * np.abs(new).sum(axis=1)
-        g = np.where(live[:, None], new, g)
+        gap = np.abs(new - g).sum(axis=1)
+        moved = gap > close * np.abs(new).sum(axis=1)
+        if i % 2:
+            # Two rounds tell where the next ones would lead (squared extrapolation).
+            r, v = g - began, new - 2 * g + began
+            far = np.sqrt((r * r).sum(axis=1) / np.maximum((v * v).sum(axis=1), 1e-300)).clip(1, 1e6)[:, None]
+            before, safe, least = g, new, gap
+            then = np.maximum(began + far * (2 * r + far * v), a)
+        else:
+            # Where that moves a document more than the rounds before did, they go on from where they were.
+            back = (moved & (gap > least))[:, None]
+            began, then = np.where(back, before, g), np.where(back, safe, new)
+        g = np.where(live[:, None], np.where(moved[:, None], then, new), g)
         live &= moved
         left = live.sum()
         if 2 * left <= len(live):
             gamma[at[:, None], own] = g
             if not left:
                 return
-            at, own, a, g, ok, b, m = at[live], own[live], a[live], g[live], ok[live], b[live], m[live]
+            at, own, a, g, ok, b, m, began, before, safe, least = (x[live] for x in (at, own, a, g, ok, b, m, began, before, safe, least))
             live = np.ones(len(at), bool)
-    gamma[at[:, None], own] = g
+    # A document that the rounds end in an extrapolation keeps the last round's outcome.
+    gamma[at[:, None], own] = np.where(live[:, None], safe if rounds and not rounds % 2 else g, g)
 
 
 def fixed_point(alpha: np.ndarray, logp: np.ndarray, n: np.ndarray, start: np.ndarray, close: float = CLOSE, rounds: int = ROUNDS):
@@ -162,13 +214,13 @@ def _documents(docs: DataFrame, words: DataFrame, k: int, value=_logs, none: flo
         likely = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
         least = words.agg(F.percentile_approx(likely, 1 - SENT_WORDS / size, 10_000)).head()[0]
         few = likely > least
-    sent = (words if few is None else words.where(few)).select("word", logp).toPandas()
-    rows = np.array(sent["logp"].tolist(), float).reshape(-1, k)
-    shared = docs.sparkSession.sparkContext.broadcast((sent["word"].tolist(), np.vstack([rows, np.full((1, k), none)])))
+    sent = (words if few is None else words.where(few)).select("word", logp).toArrow()
+    rows = sent["logp"].combine_chunks().flatten().to_numpy().reshape(-1, k)
+    shared = docs.sparkSession.sparkContext.broadcast((sent["word"].combine_chunks(), np.vstack([rows, np.full((1, k), none)])))
 
     def places(met):
         known, values = shared.value
-        at = pc.index_in(met, value_set=pa.array(known, met.type))
+        at = pc.index_in(met, value_set=known.cast(met.type))
         return at.fill_null(len(known)).to_numpy(), values
 
     def look(batch):
@@ -229,11 +281,19 @@ def score(docs: DataFrame, model: Topics, close: float = CLOSE, rounds: int = RO
     return rows.mapInArrow(run, f"doc {dict(docs.dtypes)['doc']}, n double, bound double, gamma array<double>")
 
 
+def _rows_of(words: pa.Array, sums: np.ndarray, figures: np.ndarray) -> pa.RecordBatch:
+    """(word, -, its sums) of each word and (-, part, figures) of each row of `figures`."""
+    values = np.concatenate([sums, figures])
+    ends = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32))
+    parts = pa.concat_arrays([pa.nulls(len(words), pa.int32()), pa.array(np.arange(len(figures), dtype=np.int32))])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(len(figures), words.type)]), parts, pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], ["word", "part", "v"])
+
+
 def em_step(docs: DataFrame, model: Topics, fit_alpha: bool = True, close: float = CLOSE, rounds: int = ROUNDS) -> tuple[Topics, float]:
     """One step, and the bound that the model before it had. Documents with weights of their own leave alpha as it is."""
     rows, look = _documents(docs, model.table, len(model.alpha))
     alpha, k = model.alpha, len(model.alpha)
-    size = k + 2
+    size = 2 * k + 2
     kind = docs.schema["words"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -241,7 +301,7 @@ def em_step(docs: DataFrame, model: Topics, fit_alpha: bool = True, close: float
             if not batch.num_rows:
                 continue
             coded = batch.column("words").flatten().dictionary_encode()
-            codes, sums, figures, done = coded.indices.to_numpy(), np.zeros((len(coded.dictionary), k)), np.zeros(size), 0
+            codes, sums, figures, done = coded.indices.to_numpy(), np.zeros((len(coded.dictionary), k)), np.zeros(-(-size // k) * k), 0
             for part, (_, phi, bound, mean_log), n, _ in _batches(batch, look, alpha, close, rounds):
                 mine = codes[done : done + len(n)]
                 done += len(n)
@@ -250,21 +310,22 @@ def em_step(docs: DataFrame, model: Topics, fit_alpha: bool = True, close: float
                     sums[seen, i] += np.bincount(at, phi[:, i] * n)
                 ok = np.isfinite(bound)
                 plain = np.array([p is None for p in part.column("prior").to_pylist()]) & ok
-                figures += np.concatenate([[bound[ok].sum(), plain.sum()], mean_log[plain].sum(axis=0)])
-            values = [*sums.tolist(), figures.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]), pa.array(values, pa.list_(pa.float64()))], ["word", "v"])
-
-    sums = rows.mapInArrow(run, f"word {kind}, v array<double>").groupBy("word").agg(*[F.sum(F.get("v", i)).alias(f"v{i}") for i in range(size)])
-    sums = written(sums)
-    seen = sums.where("word IS NULL").head()
-    totals = sums.where("word IS NOT NULL").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)]).head()
-    p = [F.when(F.lit(float(t or 0)) > 0, F.col(f"v{i}") / float(t or 1)).otherwise(0.0) for i, t in enumerate(totals)]
-    table = written(sums.where("word IS NOT NULL").select("word", F.array(*p).alias("p")), instead=sums)
-    if seen is None:
+                figures[: k + 2] += np.concatenate([[bound[ok].sum(), plain.sum()], mean_log[plain].sum(axis=0)])
+            figures[k + 2 : size] = sums.sum(axis=0)
+            yield _rows_of(coded.dictionary, sums, figures.reshape(-1, k))
+
+    met = rows.mapInArrow(run, f"word {kind}, part int, v array<double>").groupBy("word", "part")
+    sums = written(met.agg(*[F.sum(F.get("v", i)).alias(f"v{i}") for i in range(k)]))
+    seen = np.array([list(r)[2:] for r in sorted(sums.where("word IS NULL").collect(), key=lambda r: r.part)], float).ravel()
+    if not len(seen):
+        discard(sums)
         return model, 0.0
-    if fit_alpha and seen.v1 and seen.v1 > 0:
-        alpha = fit_dirichlet(np.array([seen[f"v{i + 2}"] for i in range(k)]) / seen.v1, alpha)
-    return Topics(alpha, table), float(seen.v0)
+    totals = seen[k + 2 : size]
+    table = sums.where("word IS NOT NULL").select("word", F.array(*[F.col(f"v{i}") / float(t) if t > 0 else F.lit(0.0) for i, t in enumerate(totals)]).alias("p"))
+    table._written_to = sums._written_to
+    if fit_alpha and seen[1] > 0:
+        alpha = fit_dirichlet(seen[2 : k + 2] / seen[1], alpha)
+    return Topics(alpha, table), float(seen[0])
 
 
 def fit_dirichlet(mean_log: np.ndarray, alpha: np.ndarray) -> np.ndarray:
@@ -384,8 +445,9 @@ def _plsi_shares(look, k: int):
                 size = mine.sum(axis=1, keepdims=True)
                 shares.append(np.hstack([np.divide(mine, size, out=np.zeros_like(mine), where=size > 0), np.add.reduceat(n, start)[:, None]]))
             words, docs = coded.dictionary, batch.column("doc")
-            values = [*sums.tolist(), *np.vstack(shares).tolist(), [likely]]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(len(docs) + 1, words.type)]), pa.concat_arrays([pa.nulls(len(words), docs.type), docs, pa.nulls(1, docs.type)]), pa.array(values, pa.list_(pa.float64()))], ["word", "doc", "v"])
+            ends = np.concatenate([np.arange(len(words)) * k, len(words) * k + np.arange(len(docs) + 1) * (k + 1), [len(words) * k + len(docs) * (k + 1) + 1]])
+            values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([sums.ravel(), np.vstack(shares).ravel(), [likely]])))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.nulls(len(docs) + 1, words.type)]), pa.concat_arrays([pa.nulls(len(words), docs.type), docs, pa.nulls(1, docs.type)]), values], ["word", "doc", "v"])
 
     return run
 

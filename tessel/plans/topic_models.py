@@ -9,9 +9,9 @@ from tessel.operators import topics as tp
 from tessel.plans.base import query, rounded, table
 
 
-def _counts(spark, sf_dir):
+def _bags(spark, sf_dir, priors=None):
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return tp.bags_of_words(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words", priors)
 
 
 def _plsi_sql(steps: int) -> str:
@@ -26,7 +26,7 @@ def _plsi_sql(steps: int) -> str:
 
 def _plsi(spark, sf_dir):
     lean = [1 + F.length("word") % 3, 1 + F.length("word") % 2]
-    docs = tp.bags(_counts(spark, sf_dir), "doc_id", "word", "n")
+    docs = _bags(spark, sf_dir)
     return docs, *tp.plsi(docs, "doc", None, "n", 2, lean, 3)
 
 
@@ -47,7 +47,7 @@ def plsi_score(spark, sf_dir):
 @query("lda_fit")
 def lda_fit(spark, sf_dir):
     """Two steps of EM for four topics: the bounds before each step and the Dirichlet weights after them."""
-    docs = tp.bags(_counts(spark, sf_dir), "doc_id", "word", "n")
+    docs = _bags(spark, sf_dir)
     model, trace = tp.fit(docs, tp.start_topics(docs, 4), 2)
     rows = [("bound", i, v) for i, v in enumerate(trace)] + [("alpha", i, float(a)) for i, a in enumerate(model.alpha)]
     return rounded(spark.createDataFrame(rows, "name string, i int, v double"), 4)
@@ -59,8 +59,7 @@ def labelled_lda_score(spark, sf_dir):
     langs = [r[0] for r in table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]
     weights = {lang: [0.5, *[0.5 * (i == j) for j in range(len(langs))]] for i, lang in enumerate(langs)}
     prior = tp.label_priors(table(spark, sf_dir, "documents"), "doc_id", "lang", weights)
-    counts = _counts(spark, sf_dir).join(prior, F.col("doc_id") == F.col("doc"))
-    docs = tp.bags(counts, "doc_id", "word", "n", "prior")
+    docs = _bags(spark, sf_dir, prior)
     start = tp.start_topics(docs, len(langs) + 1)
     model, _ = tp.em_step(docs, tp.Topics(np.full(len(langs) + 1, 0.5), start.table))
     return rounded(tp.score(docs, model).select(F.col("doc").alias("doc_id"), "n", "bound", F.col("gamma")[0].alias("shared")), 4)

@@ -156,3 +156,37 @@ def test_plsi_takes_documents_written_once(spark, corpus, monkeypatch):
     assert all(np.allclose(r.p, p[r.word], rtol=1e-10) for r in again.collect())
     got = {r.doc: r.ll for r in tp.plsi_score(bags, "doc", None, "n", again, others.where("doc <> 0")).collect()}
     assert got.pop(0) == -np.inf and all(np.isclose(v, score[d], rtol=1e-10) for d, v in got.items())
+
+
+def test_bags_of_words_equal_bags_of_counts_and_stay_where_they_are(spark):
+    """Rows of one document meet, nulls and empty lists go, and a join by document doesn't move the documents."""
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c", None, "c"]), (1, ["a", "d"]), (3, []), (4, None), (None, ["a"]), (5, ["zé"] * 3)], "doc int, words array<string>")
+    said = {r.doc: dict(zip(r.words, r.n, strict=True)) for r in tp.bags_of_words(rows, "doc", "words").collect()}
+    assert said == {1: {"a": 3, "b": 1, "d": 1}, 2: {"c": 2}, 5: {"zé": 3}}
+    priors = spark.createDataFrame([(1, [0.5, 0.0]), (9, [1.0, 1.0])], "doc int, prior array<double>")
+    docs = tp.bags_of_words(rows.where("doc <> 2"), "doc", "words", priors)
+    assert [(r.doc, r.prior, sum(r.n)) for r in docs.collect()] == [(1, [0.5, 0.0], 5)]
+    for docs in (docs, tp.bags(rows.select("doc", F.explode("words").alias("word"), F.lit(1).alias("n")), "doc", "word", "n")):
+        other = spark.range(5).groupBy(F.col("id").cast("int").alias("doc")).agg(F.collect_list("id").alias("x"))
+        plan = docs.join(other.hint("merge"), "doc", "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    assert not spark.catalog.listTables()
+
+
+def test_slow_documents_reach_their_fixed_point():
+    """Topics that hardly differ: plain rounds take thousands, extrapolated ones end well within `ROUNDS`, at the same point."""
+    rng = np.random.default_rng(5)
+    beta = rng.dirichlet(np.ones(60))[:, None] * (1 + 0.2 * rng.random((60, 4)))
+    logp, n, start = np.log(np.tile(beta, (20, 1))), rng.integers(1, 9, 1200).astype(float), np.arange(20) * 60
+    gamma, _, bound, _ = tp.fixed_point(np.ones((20, 4)), logp, n, start)
+    for d in range(20):
+        at = slice(start[d], start[d] + 60)
+        g = 1 + np.full(4, n[at].sum() / 4)
+        for _ in range(30_000):
+            phi = np.exp(logp[at]) * np.exp(tp.digamma(g))
+            g = 1 + n[at] @ (phi / phi.sum(axis=1, keepdims=True))
+        assert np.allclose(gamma[d], g, rtol=1e-5)
+    assert (tp.fixed_point(np.ones((20, 4)), logp, n, start, rounds=300)[2] >= bound - 1e-6).all()
+    for rounds in (1, 2, 3, 4):
+        some = tp.fixed_point(np.ones((20, 4)), logp, n, start, rounds=rounds)[0]
+        assert (some >= 1).all() and np.allclose(some.sum(axis=1), gamma.sum(axis=1))
