@@ -158,7 +158,7 @@ register(Family("nakagami", ("m", "omega"), _fourth, _nakagami, lambda x, p: _in
 
 
 def _log_bessel0(z: Column) -> Column:
-    return log_bessel(F.lit(0), z)
+    return log_bessel(0, z)
 
 
 register(Family("rician", ("nu", "sigma"), _fourth, _rician, lambda x, p: _inside(x > 0, F.ln(x) - 2 * F.ln(p["sigma"]) - (x * x + p["nu"] ** 2) / (2 * p["sigma"] ** 2) + _log_bessel0(x * p["nu"] / p["sigma"] ** 2))))

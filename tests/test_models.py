@@ -293,3 +293,23 @@ def test_rows_of_a_key_are_not_gathered_to_be_scored(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert got.count() == 1000
+
+
+def test_log_bessel_takes_no_row_through_a_list_of_terms(spark):
+    """Against the series in exact enough sums, on both sides of where the expansion begins; a plain order as a column of it."""
+    import math
+
+    from tessel.functions.special import log_bessel
+
+    def series(n, z):
+        terms = [(2 * m + n) * math.log(z / 2) - math.lgamma(m + 1) - math.lgamma(m + n + 1) for m in range(1500)]
+        return max(terms) + math.log(math.fsum(math.exp(t - max(terms)) for t in terms))
+
+    cases = [(n, z) for n in (0, 1, 2, 7, 40, 300) for z in (1e-3, 0.5, 6.0, 23.9, 24.0, 37.5, 90.0, 700.0)]
+    rows = spark.createDataFrame(cases, "n int, z double")
+    got = {(r.n, r.z): r for r in rows.select("n", "z", log_bessel(F.col("n"), F.col("z")).alias("v"), *[log_bessel(n, F.col("z")).alias(f"v{n}") for n in (0, 1, 7)]).collect()}
+    for n, z in cases:
+        assert got[n, z].v == pytest.approx(series(n, z), rel=1e-10, abs=1e-10)
+        if n in (0, 1, 7):
+            assert got[n, z][f"v{n}"] == pytest.approx(series(n, z), rel=1e-10, abs=1e-10)
+    assert "aggregate" not in rows.select(log_bessel(F.col("n"), F.col("z")))._jdf.queryExecution().optimizedPlan().toString()
