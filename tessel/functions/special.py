@@ -157,7 +157,7 @@ def _horner(coefficients: list, x: Column) -> Column:
 
 
 def log_bessel(order: Column | int, z: Column) -> Column:
-    """ln I(order, z) of the modified Bessel function, order 0, 1, 2 ..., z >= 0, within 1e-11.
+    """ln I(order, z) of the modified Bessel function, order 0, 1, 2 ..., z >= 0, within 1e-10 (relative beyond 1).
 
     Below 24 by its power series, from there on by the uniform expansion with nine corrections: a fixed
     number of products and sums a row, fewer where the order is a plain number.

@@ -3,7 +3,8 @@
 Features are binned once by quantiles. A level of all trees takes one pass: every task walks its rows
 down the trees so far (a bounded table, sent along), counts the cells of the open nodes in numpy, and
 Spark sums the cells; windows over the bins then give the best split of every node. Bags are Poisson
-weights from a hash of tree and row key, so a row counts alike whenever it is read.
+weights from a hash of tree and row key, so a row counts alike whenever it is read; they are worked out
+once and written with the bins, one byte a tree.
 """
 
 from __future__ import annotations
@@ -68,26 +69,37 @@ class Forest:
     leaves: list[dict[int, list[float]]] = field(default_factory=list)
 
 
-def _bins(column: Column, edges: list[float]) -> Column:
-    """Edges below a value: 0 to their number; null counts as below all."""
-    return sum((F.coalesce(column > e, F.lit(False)).cast("int") for e in edges), F.lit(0))
+def _value(column: Column) -> Column:
+    """A feature as double; null counts as below all."""
+    return F.coalesce(column.cast("double"), F.lit(float("-inf")))
 
 
-def _walk(bins: np.ndarray, splits: dict[int, tuple[int, int]]) -> np.ndarray:
+def _bins(values: np.ndarray, edges: list[float]) -> np.ndarray:
+    """Edges below each value: 0 to their number; NaN is above all that are none."""
+    return np.searchsorted(np.sort(np.array(edges, float)), values)
+
+
+def _rules(splits: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the inner nodes, ascending, and their features and bins."""
+    known = np.array(sorted(splits), np.int64)
+    return known, np.array([splits[k] for k in known.tolist()], np.int64).reshape(-1, 2)
+
+
+def _walk(bins: np.ndarray, rules: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, rule = rules
     node = np.ones(len(bins), np.int64)
-    if not splits:
+    if not len(known):
         return node
-    known = np.array(sorted(splits))
-    rule = np.array([splits[k] for k in known])
-    while True:
-        at = np.searchsorted(known, node)
+    rows, flat, width = np.arange(len(bins)), np.ascontiguousarray(bins).ravel(), bins.shape[1]
+    # Of all rows the place of their node among the inner ones; rows in a leaf drop out.
+    at = np.full(len(bins), np.searchsorted(known, 1))
+    while len(rows):
+        node[rows] = mine = 2 * node[rows] + (flat[rows * width + rule[at, 0]] > rule[at, 1])
+        at = np.searchsorted(known, mine)
         at[at == len(known)] = 0
-        inner = known[at] == node
-        if not inner.any():
-            return node
-        rows = np.flatnonzero(inner)
-        f, b = rule[at[rows], 0], rule[at[rows], 1]
-        node[rows] = 2 * node[rows] + (bins[rows, f] > b)
+        inner = known[at] == mine
+        rows, at = rows[inner], at[inner]
+    return node
 
 
 def poisson_weights(hashed: np.ndarray) -> np.ndarray:
@@ -105,8 +117,9 @@ def fit(df: DataFrame, key: str, features: list[str], label: str, trees: int = 1
     cuts = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), [(i + 1) / bins for i in range(bins - 1)], 10_000).alias(f"q{i}") for i, f in enumerate(features)]).head()
     edges = [sorted(set(q or [])) for q in cuts]
     code = F.create_map(*[c for k, v in enumerate(classes) for c in (F.lit(v), F.lit(k))])
-    binned = [_bins(F.col(f).cast("double"), e).alias(f"b{i}") for i, (f, e) in enumerate(zip(features, edges, strict=True))]
-    table = written(rows.select(F.try_element_at(code, F.col(label)).alias("y"), *[F.xxhash64(F.lit(t), F.col(key)).alias(f"h{t}") for t in range(trees)], *binned))
+    hashes = [F.xxhash64(F.lit(t), F.col(key)).alias(f"h{t}") for t in range(trees)] if bagged else []
+    values = [_value(F.col(f)).alias(f"x{i}") for i, f in enumerate(features)]
+    table = written(_coded(rows.select(F.try_element_at(code, F.col(label)).alias("y"), *hashes, *values), len(hashes), edges))
     forest = Forest(features, edges, classes, [{} for _ in range(trees)], [{} for _ in range(trees)])
     n_classes, n_features, most = len(classes), len(features), max([len(e) for e in edges], default=0) + 1
     open_nodes, last = {(t, 1) for t in range(trees)}, None
@@ -135,6 +148,19 @@ def fit(df: DataFrame, key: str, features: list[str], label: str, trees: int = 1
     return forest
 
 
+def _coded(rows: DataFrame, trees: int, edges: list[list[float]]) -> DataFrame:
+    """The hashes of `trees` bags (h0 ..) as Poisson weights (w0 ..), and the values of the features (x0 ..) as bins (b0 ..)."""
+    names = ["y", *[f"w{t}" for t in range(trees)], *[f"b{i}" for i in range(len(edges))]]
+
+    def run(batches):
+        for batch in batches:
+            # The largest weight of 53 bits is below 20.
+            weights = [pa.array(poisson_weights(batch.column(f"h{t}").to_numpy()).astype(np.int8)) for t in range(trees)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *weights, *[pa.array(_bins(batch.column(f"x{i}").to_numpy(), e).astype(np.int32)) for i, e in enumerate(edges)]], names)
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {'byte' if n[0] == 'w' else 'int'}" for n in names))
+
+
 def _histogram(table: DataFrame, splits, open_nodes, n_features: int, most: int, n_classes: int, bagged: bool) -> DataFrame:
     """(tree, node, feature, bin, c0 ..) of the open nodes."""
     shared = table.sparkSession.sparkContext.broadcast((splits, sorted(open_nodes)))
@@ -142,7 +168,7 @@ def _histogram(table: DataFrame, splits, open_nodes, n_features: int, most: int,
 
     def run(batches):
         splits, wanted = shared.value
-        nodes = [np.array([n for t, n in wanted if t == tree], np.int64) for tree in range(len(splits))]
+        nodes, rules = [np.array([n for t, n in wanted if t == tree], np.int64) for tree in range(len(splits))], [_rules(s) for s in splits]
         sums = [np.zeros((len(n), n_features, most, n_classes), np.int64) for n in nodes]
         for batch in batches:
             y = batch.column("y").to_numpy()
@@ -150,13 +176,18 @@ def _histogram(table: DataFrame, splits, open_nodes, n_features: int, most: int,
             for t, mine in enumerate(nodes):
                 if not len(mine):
                     continue
-                node = _walk(bins, splits[t])
+                node = _walk(bins, rules[t])
                 at = np.searchsorted(mine, node)
                 at[at == len(mine)] = 0
-                rows = np.flatnonzero(mine[at] == node)
-                w = poisson_weights(batch.column(f"h{t}").to_numpy()[rows]) if bagged else np.ones(len(rows), np.int64)
+                met = mine[at] == node
+                w = batch.column(f"w{t}").to_numpy() if bagged else np.ones(len(y), np.int8)
+                met &= w > 0
+                rows = np.flatnonzero(met)
+                at, w, size = at[rows], w[rows].astype(float), len(mine) * most * n_classes
                 for i in range(n_features):
-                    np.add.at(sums[t], (at[rows], i, bins[rows, i], y[rows]), w)
+                    # Sums of a batch's whole weights are exact.
+                    cell = (at * most + bins[rows, i]) * n_classes + y[rows]
+                    sums[t][:, i] += np.bincount(cell, w, size).astype(np.int64).reshape(len(mine), most, n_classes)
         for t, mine in enumerate(nodes):
             node, feature, b = np.nonzero(sums[t].sum(axis=3))
             if len(node):
@@ -173,24 +204,24 @@ def predict(df: DataFrame, forest: Forest, name: str = "shares") -> DataFrame:
     """Add the mean over the trees of the class shares of a row's leaf, in the order of `forest.classes`."""
     shared = df.sparkSession.sparkContext.broadcast(forest)
     width = len(forest.features)
-    binned = F.array(*[_bins(F.col(f).cast("double"), e) for f, e in zip(forest.features, forest.edges, strict=True)])
-
-    @F.pandas_udf("array<double>")
-    def shares(rows):
-        import pandas as pd
+    values = F.array(*[_value(F.col(f)) for f in forest.features])
 
+    @F.arrow_udf("array<double>")
+    def shares(rows: pa.Array) -> pa.Array:
         model = shared.value
-        bins = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, width), int)
+        given = rows.flatten().to_numpy().reshape(len(rows), width)
+        bins = np.stack([_bins(given[:, i], e) for i, e in enumerate(model.edges)], axis=1) if width else given.astype(int)
         out = np.zeros((len(bins), len(model.classes)))
         for splits, leaves in zip(model.splits, model.leaves, strict=True):
             known = np.array(sorted(leaves))
             table = np.array([leaves[k] for k in known])
             # A bag may leave a child empty: its rows get the shares of no tree.
-            node = _walk(bins, splits)
+            node = _walk(bins, _rules(splits))
             at = np.searchsorted(known, node)
             at[at == len(known)] = 0
             out += np.where((known[at] == node)[:, None], table[at], 0.0)
         total = out.sum(axis=1, keepdims=True)
-        return pd.Series((out / np.where(total > 0, total, 1)).tolist())
+        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array((out / np.where(total > 0, total, 1)).ravel()))
 
-    return df.withColumn(name, shares(binned))
+    return df.withColumn(name, shares(values))

@@ -161,3 +161,29 @@ def test_principal_components_equal_dense_algebra(spark):
     for i in range(0, 400, 37):
         d = x[i] - x.mean(axis=0)
         assert np.isclose(got[i], -0.5 * (6 * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + d @ np.linalg.solve(c, d)))
+
+
+def test_weights_are_written_once_and_histograms_equal_counts(spark, monkeypatch):
+    """A level counts each row with its bag's weight, in the open nodes only; no level works the weights out again."""
+    rows = spark.range(3000).select("id", (F.col("id") % 3).cast("int").alias("y"), (F.col("id") % 7).cast("int").alias("b0"), (F.xxhash64("id") % 5 + 4).cast("int").alias("b1"))
+    values = [F.col(b).cast("double").alias(x) for b, x in (("b0", "x0"), ("b1", "x1"))]
+    table = fo._coded(rows.select("y", F.xxhash64(F.lit(0), "id").alias("h0"), F.xxhash64(F.lit(1), "id").alias("h1"), *values), 2, [[v + 0.5 for v in range(8)]] * 2)
+    assert table.columns == ["y", "w0", "w1", "b0", "b1"]
+    got = {(r.tree, r.node, r.feature, r.bin): (r.c0, r.c1, r.c2) for r in fo._histogram(table, [{1: (0, 3), 2: (1, 4)}, {}], {(0, 3), (0, 5), (1, 1)}, 2, 9, 3, True).collect()}
+    want = {}
+    for r in rows.withColumns({"h0": F.xxhash64(F.lit(0), "id"), "h1": F.xxhash64(F.lit(1), "id")}).collect():
+        for tree, node in ((0, 3 if r.b0 > 3 else 5 if r.b1 > 4 else 4), (1, 1)):
+            w = int(fo.poisson_weights(np.array([r[f"h{tree}"]]))[0])
+            if w and node != 4:
+                for feature, b in enumerate((r.b0, r.b1)):
+                    want.setdefault((tree, node, feature, b), [0, 0, 0])[r.y] += w
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_bins_count_the_edges_below(spark):
+    nan, inf = float("nan"), float("inf")
+    values = spark.createDataFrame([(v,) for v in (None, -inf, -0.0, 0.0, 1.0, 1.5, 2.0, inf, nan)], "x double")
+    got = fo._bins(np.array([r[0] for r in values.select(fo._value(F.col("x"))).collect()]), [0.0, 1.0, 2.0])
+    assert got.tolist() == [0, 0, 0, 0, 1, 2, 2, 3, 3]
+    want = values.select(sum((F.coalesce(F.col("x") > e, F.lit(False)).cast("int") for e in (0.0, 1.0, 2.0)), F.lit(0))).collect()
+    assert got.tolist() == [r[0] for r in want]
