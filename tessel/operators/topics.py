@@ -101,22 +101,28 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(some)), pa.ListArray.from_arrays(ends, found), pa.ListArray.from_arrays(ends, pa.array(n.astype(float)))], ["doc", "words", "n"])
 
 
-def bags_of_words(rows: DataFrame, doc: str, words: str, priors: DataFrame | None = None) -> DataFrame:
-    """What `bags` gives, from rows (doc, array of words): words are counted where they are read and each document moves once.
+def bags_of_words(rows: DataFrame, doc: str, words: Column | str, priors: DataFrame | None = None) -> DataFrame:
+    """What `bags` gives, from rows with an array of words: rows move once, as they are, and words are counted where they arrive.
 
-    `priors`: (doc, prior) of the documents to keep, one row each. Null documents and words are left out;
-    the rows of a document that has several are put together.
+    `words` may be worked out of a text; `rows` should hold little else. `priors`: (doc, prior) of the
+    documents to keep, one row each. Null documents and words are left out; the rows of a document that
+    has several are put together.
     """
-    rows = rows.select(F.col(doc).alias("doc"), F.col(words).alias("words")).where("doc IS NOT NULL")
-    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", n array<double>"
-    counted = rows.mapInArrow(_counted, kind)
-    several = rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
+    words = F.col(words) if isinstance(words, str) else words
+    rows = rows.where(F.col(doc).isNotNull())
+    near = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc).select(F.col(doc).alias("doc"), words.alias("words"))
+    kind = ", ".join(f"{c} {t}" for c, t in near.dtypes) + ", n array<double>"
+    counted, dealt = near.mapInArrow(_counted, kind), True
+    several = rows.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("c")).where("c > 1").select("doc")
     if several.head():
         met = counted.join(several, "doc", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("words", "n")).alias("b"))
         merged = met.select("doc", F.flatten("b.words").alias("words"), F.flatten("b.n").alias("n")).mapInArrow(_counted, kind)
-        counted = counted.join(several, "doc", "left_anti").unionByName(merged)
-    counted = counted.join(priors.select("doc", "prior"), "doc") if priors is not None else counted.withColumn("prior", F.lit(None).cast("array<double>"))
-    return written_by(counted.select("doc", "words", "n", "prior"), "doc")
+        counted, dealt = counted.join(several, "doc", "left_anti").unionByName(merged), False
+    if priors is not None:
+        counted, dealt = counted.join(priors.select("doc", "prior"), "doc"), False
+    else:
+        counted = counted.withColumn("prior", F.lit(None).cast("array<double>"))
+    return written_by(counted.select("doc", "words", "n", "prior"), "doc", dealt)
 
 
 def _rounds(at: np.ndarray, alpha, allowed, beta, n, start, sizes, gamma, close: float, rounds: int) -> None:

@@ -11,7 +11,7 @@ from tessel.plans.base import query, rounded, table
 
 def _bags(spark, sf_dir, priors=None):
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    return tp.bags_of_words(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")), "doc_id", "words", priors)
+    return tp.bags_of_words(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", words, priors)
 
 
 def _plsi_sql(steps: int) -> str:

@@ -56,14 +56,14 @@ def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def written_by(df: DataFrame, key: str) -> DataFrame:
+def written_by(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
     """`written`, dealt out by a key into buckets as many as Spark's shuffle partitions: later joins by the key don't move these rows again.
 
-    The catalog's entry is dropped at once; the files stay as those of `written`.
+    `dealt`: the rows lie so already. The catalog's entry is dropped at once; the files stay as those of `written`.
     """
     spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"tessel_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    (df if dealt else df.repartition(buckets, key)).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
     mine = _SCOPE.get()
     if mine is not None:
         mine.append((spark, path))
