@@ -1,7 +1,8 @@
 """Topic models of bags of words: latent Dirichlet allocation, its labelled form, and probabilistic latent semantic indexing.
 
-Bags are rows (doc, word, n). For LDA each document's words are gathered into one row, written once;
-every EM step runs the variational fixed point of whole documents inside Arrow batches and sums
+Bags are rows (doc, word, n), or texts' words. Each document's words are gathered into one row, written once
+in buckets by document, so that what a step finds for documents reaches them where they lie;
+every EM step of LDA runs the variational fixed point of whole documents inside Arrow batches and sums
 expected counts by word in Spark. Within a batch documents of about one size go through their rounds
 together, as many as fit into a processor's cache. The `SENT_WORDS` likeliest words of the table of
 topics are sent to the tasks; a larger table's other words are joined by word, and the documents take
