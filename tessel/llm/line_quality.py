@@ -9,6 +9,8 @@ turns into a score.
 
 Training takes a bounded sample of labelled documents (lines take their document's label) and
 maximises the conditional likelihood on the driver in numpy; its result has a few hundred numbers.
+Texts are read in tasks: the driver gets each line's bins and bytes, 13 bytes a line, and goes
+through them in blocks of documents.
 
 Results for odd input: null and empty texts are one empty line; without labels of both kinds every
 score is 1 (nothing is rejected); repeated rows give one row each; doc_id may be null; of
@@ -27,8 +29,11 @@ from tessel.llm.words import batches_by_bytes, words
 
 #: Labelled documents learned from: of each kind at most so many, those of smallest hash.
 PER_KIND = 1500
-#: Bins of a figure, from 0 to 1.
+#: Bins of a figure, from 0 to 1. Bin 0 stands for exactly none, the last for a neighbour that is missing.
 BINS = 8
+WIDTH, MISSING = BINS + 2, BINS + 1
+#: Lines of a block in training; a longer document is a block of its own.
+BLOCK = 1 << 16
 #: Byte classes counted per line.
 UPPER, OTHER, DIGIT, SPACE, SIGN, BAR, BANG, STOP = range(8)
 
@@ -95,21 +100,40 @@ def line_figures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return figures, size, np.array([t.count(b"\n") + 1 for t in texts])
 
 
-def cells(figures: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Numbers of the weights that each line's evidence has: a bin of each of its own figures and its neighbours'."""
-    n, m = figures.shape
-    width = BINS + 2
-    # Bin 0 stands for exactly none, the last bin for a neighbour that is missing.
+def bins(figures: np.ndarray) -> np.ndarray:
+    """Bin of each figure of each line (figure, line)."""
     own = np.where(figures <= 0, 0, 1 + np.minimum((figures * BINS).astype(np.int64), BINS - 1))
-    first = np.cumsum(lines) - lines
-    last = first + lines - 1
-    before = np.vstack([own[:1], own[:-1]])
-    after = np.vstack([own[1:], own[-1:]])
-    before[first], after[last] = BINS + 1, BINS + 1
-    return np.concatenate([(k * m + np.arange(m)) * width + part for k, part in enumerate((own, before, after))], axis=1)
+    return np.ascontiguousarray(own.T, np.uint8)
 
 
-N_CELLS = 3 * FIGURES * (BINS + 2)
+N_WEIGHTS = 3 * FIGURES * WIDTH
+
+
+def _ends(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first and the last line of each text."""
+    last = np.cumsum(lines) - 1
+    return last - lines + 1, last
+
+
+def line_evidence(weights: np.ndarray, own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each line: one for each of its own bins, of the line's before it and of the line's after it."""
+    w = weights.reshape(3, FIGURES, WIDTH)
+    out, before, after = (sum(w[k, f][own[f]] for f in range(FIGURES)) for k in range(3))
+    first, last = _ends(lines)
+    before, after = np.roll(before, 1), np.roll(after, -1)
+    before[first], after[last] = w[1, :, MISSING].sum(), w[2, :, MISSING].sum()
+    return out + before + after
+
+
+def gathered(rest: np.ndarray, own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Of each weight, the sum of `rest` over the lines that have it."""
+    first, last = _ends(lines)
+    following, previous = np.roll(rest, -1), np.roll(rest, 1)
+    following[last], previous[first] = 0, 0
+    out = np.array([[np.bincount(own[f], r, WIDTH) for f in range(FIGURES)] for r in (rest, following, previous)])
+    out[1, :, MISSING] += rest[first].sum()
+    out[2, :, MISSING] += rest[last].sum()
+    return out.ravel()
 
 
 def chain(evidence: np.ndarray, lines: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -142,7 +166,8 @@ def chain(evidence: np.ndarray, lines: np.ndarray, trans: np.ndarray) -> tuple[n
     inner = np.ones(len(evidence), bool)
     inner[np.cumsum(lines) - lines] = False
     k = np.flatnonzero(inner)
-    pairs = np.exp(np.minimum(alpha[k - 1][:, :, None] + trans[None] + (score[k] + beta[k])[:, None, :] - z[of[k]][:, None, None], 0)).sum(axis=0)
+    rest = z[of[k]]
+    pairs = np.array([[np.exp(np.minimum(alpha[k - 1, a] + trans[a, b] + (score[k, b] + beta[k, b]) - rest, 0)).sum() for b in (0, 1)] for a in (0, 1)])
     return marginal[:, 1], pairs, float(log_z.sum())
 
 
@@ -152,52 +177,66 @@ class LineField:
     def __init__(self, weights: np.ndarray, trans: np.ndarray, slope: float = 1.0, offset: float = 0.0):
         self.weights, self.trans, self.slope, self.offset = weights, trans, slope, offset
 
-    def marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of good per line, its bytes, and the lines of each text."""
-        figures, size, lines = line_figures(texts)
-        evidence = self.weights[cells(figures, lines)].sum(axis=1)
-        return chain(evidence, lines, self.trans)[0], size, lines
+    def marginals(self, own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Probability of good per line, from its bins."""
+        return chain(line_evidence(self.weights, own, lines), lines, self.trans)[0]
 
-    def means(self, texts: list[bytes]) -> np.ndarray:
-        p, size, lines = self.marginals(texts)
+    def means(self, own: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Probability of good of each text, the mean of its lines' by their bytes."""
         of = np.repeat(np.arange(len(lines)), lines)
         weight = np.maximum(size, 1)
-        return np.bincount(of, p * weight, len(lines)) / np.bincount(of, weight, len(lines))
+        return np.bincount(of, self.marginals(own, lines) * weight, len(lines)) / np.bincount(of, weight, len(lines))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.means(texts) + self.offset, -30, 30)))
-
-
-def train(texts: list[bytes], good: np.ndarray, steps: int = 120, ridge: float = 1e-3, rate: float = 0.15) -> LineField:
-    """Adam on the conditional log-likelihood of line labels; either kind of document weighs the same."""
-    figures, _, lines = line_figures(texts)
-    at = cells(figures, lines)
-    label = np.repeat(good, lines)
-    share = np.where(good > 0, 0.5 / max(1, lines[good > 0].sum()), 0.5 / max(1, lines[good == 0].sum()))
-    groups = [(g, np.repeat(good == g, lines)) for g in (0, 1)]
-    weights, trans = np.zeros(N_CELLS), np.zeros((2, 2))
-    m, v = np.zeros(N_CELLS + 4), np.zeros(N_CELLS + 4)
+        figures, size, lines = line_figures(texts)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.means(bins(figures), size, lines) + self.offset, -30, 30)))
+
+
+def blocks(lines: np.ndarray, good: np.ndarray, most: int):
+    """(first, last) of runs of documents of one kind that have about `most` lines together."""
+    at = 0
+    while at < len(lines):
+        end, total = at, 0
+        while end < len(lines) and good[end] == good[at] and (end == at or total + lines[end] <= most):
+            total += lines[end]
+            end += 1
+        yield at, end
+        at = end
+
+
+def train(own: np.ndarray, size: np.ndarray, lines: np.ndarray, good: np.ndarray, steps: int = 120, ridge: float = 1e-3, rate: float = 0.15, block: int = BLOCK) -> LineField:
+    """Adam on the conditional log-likelihood of line labels; either kind of document weighs the same.
+
+    Takes bins (figure, line), bytes of each line, lines and label of each document. Documents of one
+    kind and like length lie together, those of equal ones in the order given.
+    """
+    starts = np.cumsum(lines) - lines
+    order = np.lexsort((-lines, good))
+    at = np.concatenate([np.arange(starts[d], starts[d] + lines[d]) for d in order])
+    own, size, lines, good = own[:, at], size[at], lines[order], good[order]
+    starts = np.cumsum(lines) - lines
+    del at
+    parts = [(int(good[lo]), lines[lo:hi], slice(int(starts[lo]), int(starts[hi - 1] + lines[hi - 1]))) for lo, hi in blocks(lines, good, block)]
+    share = [0.5 / max(1, lines[good == g].sum()) for g in (0, 1)]
+    weights, trans = np.zeros(N_WEIGHTS), np.zeros((2, 2))
+    m, v = np.zeros(N_WEIGHTS + 4), np.zeros(N_WEIGHTS + 4)
     for step in range(1, steps + 1):
-        evidence = weights[at].sum(axis=1)
         grad_w, grad_t = -ridge * weights, -ridge * trans
-        for g, rows in groups:  # the weights of documents factor out of each kind's own run
-            if not rows.any():
-                continue
-            own = lines[good == g]
-            p, pairs, _ = chain(evidence[rows], own, trans)
-            scale = share[good == g][0]
-            grad_w = grad_w + np.bincount(at[rows].ravel(), np.repeat((label[rows] - p) * scale, at.shape[1]), N_CELLS)
+        for g, n, rows in parts:
+            p, pairs, _ = chain(line_evidence(weights, own[:, rows], n), n, trans)
+            grad_w = grad_w + gathered((g - p) * share[g], own[:, rows], n)
             seen = np.zeros((2, 2))
-            seen[g, g] = (own - 1).sum()
-            grad_t = grad_t + (seen - pairs) * scale
+            seen[g, g] = (n - 1).sum()
+            grad_t = grad_t + (seen - pairs) * share[g]
         grad = np.concatenate([grad_w, grad_t.ravel()])
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        weights, trans = weights + move[:N_CELLS], trans + move[N_CELLS:].reshape(2, 2)
+        weights, trans = weights + move[:N_WEIGHTS], trans + move[N_WEIGHTS:].reshape(2, 2)
         trans = np.clip(trans, -2, 2)
     field = LineField(weights, trans)
-    field.slope, field.offset = _logistic(field.means(texts), good.astype(np.float64))
+    means = np.concatenate([field.means(own[:, rows], size[rows], n) for _, n, rows in parts])
+    field.slope, field.offset = _logistic(means, good.astype(np.float64))
     return field
 
 
@@ -215,6 +254,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
+def with_bins(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The columns in `carry`, and of each line of the text its bins (figure, line) as bytes and its bytes as 32-bit integers."""
+    small_batches(docs.sparkSession)
+    keep = list(carry)
+
+    def apply(batches):
+        for batch in batches:
+            texts, own, size = [t.encode() for t in batch.column(len(keep)).to_pylist()], [], []
+            for lo, hi in batches_by_bytes(texts):
+                figures, n_bytes, lines = line_figures(texts[lo:hi])
+                at, last = bins(figures), np.cumsum(lines)
+                for a, b in zip(last - lines, last, strict=True):
+                    own.append(at[:, a:b].tobytes())
+                    size.append(n_bytes[a:b].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(own, pa.binary()), pa.array(size, pa.binary())], [*keep, "bins", "bytes"])
+
+    return docs.select(*keep, "text").mapInArrow(lean(apply), docs.select(*keep).schema.add("bins", "binary").add("bytes", "binary"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_kind: int = PER_KIND) -> LineField | None:
     """A field from the `per_kind` labelled documents of smallest hash of either kind; at most twice as many rows, though ids may repeat."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
@@ -222,10 +280,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_kind: in
     for kind in (0, 1):
         part = marked.where((F.col("y") > 0) == F.lit(bool(kind))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_kind)
         few = part if few is None else few.unionByName(part)
-    rows = docs.join(F.broadcast(few.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id")).where("text is not null").select("text", (F.col("y") > 0).cast("int").alias("y"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_kind).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    known = docs.join(F.broadcast(few.withColumnRenamed("doc_id", "l_id")), F.col("doc_id") == F.col("l_id")).where("text is not null").select("text", (F.col("y") > 0).cast("int").alias("y"), "doc_id", F.sha2("text", 256).alias("digest"))
+    rows = with_bins(known, ("y", "doc_id", "digest")).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(2 * per_kind).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.digest))
     good = np.array([r.y for r in rows])
-    return train([r.text.encode() for r in rows], good) if 0 < good.sum() < len(good) else None
+    if not 0 < good.sum() < len(good):
+        return None
+    own = np.concatenate([np.frombuffer(r.bins, np.uint8).reshape(FIGURES, -1) for r in rows], axis=1)
+    size = np.concatenate([np.frombuffer(r.bytes, "<u4") for r in rows])
+    lines = np.array([len(r.bytes) // 4 for r in rows])
+    del rows
+    return train(own, size, lines, good)
 
 
 def score(docs: DataFrame, field: LineField | None, carry: tuple[str, ...] = ("doc_id",), score_column: str = "score") -> DataFrame:

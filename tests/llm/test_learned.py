@@ -1,5 +1,6 @@
 """Learned operators: their recursions against brute force, and accuracy on rows held out."""
 
+import tracemalloc
 from itertools import combinations, product
 
 import numpy as np
@@ -38,6 +39,55 @@ def test_chain_equals_all_labellings():
     assert np.allclose(marginal, want) and np.allclose(pairs, want_pairs) and np.isclose(log_z, want_z)
 
 
+def random_lines(rng, lines):
+    return rng.integers(0, line_quality.BINS + 1, (line_quality.FIGURES, lines.sum())).astype(np.uint8), rng.integers(0, 90, lines.sum())
+
+
+def test_evidence_and_its_gradient_equal_plain_sums():
+    rng = np.random.default_rng(3)
+    lines = np.array([1, 4, 1, 3])
+    own, _ = random_lines(rng, lines)
+    weights, rest = rng.normal(size=(3, line_quality.FIGURES, line_quality.WIDTH)), rng.normal(size=lines.sum())
+    want, want_sums, at = np.zeros(lines.sum()), np.zeros_like(weights), 0
+    for n in lines:
+        for i in range(n):
+            for k, j in enumerate((i, i - 1, i + 1)):
+                for f in range(line_quality.FIGURES):
+                    part = own[f, at + j] if 0 <= j < n else line_quality.MISSING
+                    want[at + i] += weights[k, f, part]
+                    want_sums[k, f, part] += rest[at + i]
+        at += n
+    assert np.allclose(line_quality.line_evidence(weights.ravel(), own, lines), want)
+    assert np.allclose(line_quality.gathered(rest, own, lines), want_sums.ravel())
+
+
+def test_training_in_blocks_equals_training_in_one():
+    rng = np.random.default_rng(4)
+    lines, good = rng.integers(1, 9, 40), rng.integers(0, 2, 40)
+    own, size = random_lines(rng, lines)
+    own[0, np.repeat(good, lines) > 0] //= 2
+    one, many = (line_quality.train(own, size, lines, good, steps=20, block=block) for block in (1 << 16, 11))
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.trans, many.trans)
+    assert np.allclose([one.slope, one.offset], [many.slope, many.offset])
+    assert [b - a for a, b in line_quality.blocks(np.array([3, 20, 2, 2, 2, 5]), np.array([0, 0, 0, 1, 1, 1]), 4)] == [1, 1, 1, 2, 1]
+
+
+def test_texts_learned_from_stay_in_tasks(spark):
+    plain, loud = "some quiet words of a line, ", "BUY! NOW || $$$ 100 "
+    docs = spark.range(60).selectExpr("id as doc_id", f"repeat(case when id % 2 = 0 then '{plain}' else '{loud}' end, 6000 + 100 * cast(id as int)) as text")
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(1 - id % 2 as int) as quality")
+    tracemalloc.start()
+    try:
+        field = line_quality.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 13 MB of text; the driver only has some numbers of each line.
+    assert peak < 4e6
+    low, high = field.scores([(t * 8_000).encode() for t in (loud, plain)])
+    assert low < 0.3 < 0.7 < high
+
+
 def test_kernel_norms_equal_all_subsequences():
     for word in ("abcab", "aaaa", "badidea", "sentences"):
         codes = toxicity.encode(word)[0]
