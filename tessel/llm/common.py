@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessel.sources.shared import drop_shared, shared_dir
 from tessel.sources.shared import written as checkpoint
 
-__all__ = ["checkpoint", "crc_mod", "drop_shared", "lean", "shared_dir", "small_batches", "table"]
+__all__ = ["checkpoint", "compact", "crc_mod", "drop_shared", "few", "lean", "shared_dir", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(df: DataFrame) -> DataFrame:
+    """`df` in at most four tasks a core: a table written from it has no more files."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def compact(df: DataFrame, *by: str) -> DataFrame:
+    """`checkpoint` in files by their bytes, not by the tasks that worked the rows out; for narrow results of work that needs its tasks.
+
+    A file of a local disk costs two processes (chmod) that the executor starts where Hadoop has no native code.
+    """
+    return checkpoint(few(df.hint("rebalance", *by)))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, as texts may be long; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpoint
+from tessel.llm.common import checkpoint, few
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is two aggregations and two joins over the edges; rounds grow with the logarithm of
     the longest chain. Between rounds the edges are written to the shared folder.
     """
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = checkpoint(few(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     if now.isEmpty():
         return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     while True:
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = checkpoint(small)
+        new = checkpoint(few(small))
         # Stars only: no node has two centres, or is a centre itself and has one.
         ends = new.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(new.select(F.col("v").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
         if ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty():

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.common import checkpoint, lean, small_batches, table
+from tessel.llm.common import checkpoint, compact, few, lean, small_batches, table
 from tessel.llm.components import components
 from tessel.llm.words import batches_by_bytes, mix, words
 
@@ -253,7 +253,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int, common: Common | No
 def common_signatures(docs: DataFrame, size: int, percent: int) -> Common:
     """The signatures that one in SAMPLE of the classes finds most often, at most MOST_COMMON of them."""
     counts = signature_rows(docs, size, percent).distinct().groupBy("sig").count().where(F.col("count") >= COMMON)
-    counts = checkpoint(counts)
+    counts = compact(counts, "sig")
     # Levels are doublings; those that don't fit into the bound all share the lowest place, as if rare.
     levels = {r.level: r["count"] for r in counts.groupBy(F.floor(F.log2("count")).alias("level")).count().collect()}
     least, have = 64, 0
@@ -517,32 +517,32 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     small_batches(docs.sparkSession)
     sets = checkpoint(document_sets(docs, size, percent))
     common = common_signatures(docs, size, percent)
-    shared = checkpoint(buckets(signature_rows(docs, size, percent, common)).groupBy("bucket", "id").agg(F.count("*").alias("times")))
+    shared = checkpoint(few(buckets(signature_rows(docs, size, percent, common)).groupBy("bucket", "id").agg(F.count("*").alias("times"))))
     # Classes in question: size, sketches, and a doc_id that has the text.
     asked = sets.where("id is not null").join(shared.select("id").distinct(), "id")
     one = F.first(F.struct("n_shingles", "own", "up"))
     at = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), named(docs).alias("key"), "t"))
     classes = asked.groupBy("id").agg(one.alias("s"), at.alias("at"))
-    classes = checkpoint(classes.select("id", "at.key", "at.t", F.col("s.n_shingles").alias("n"), "s.own", "s.up"))
+    classes = checkpoint(few(classes.select("id", "at.key", "at.t", F.col("s.n_shingles").alias("n"), "s.own", "s.up")))
     sketched = sketch_rows(classes)
 
     def linked(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = class_texts(docs, classes.select("id", "key", "t").join(ids, "id"), size)
-        return checkpoint(verify(pairs, texts, size, percent))
+        return compact(verify(pairs, texts, size, percent), "a", "b")
 
-    tested = linked(checkpoint(plausible(best_partners(shared), sketched, percent)))
+    tested = linked(compact(plausible(best_partners(shared), sketched, percent), "a", "b"))
     roots = components(tested.where("link").select("a", "b"))
     live = shared.select("bucket", "id")
     for most in ROUNDS:
         rooted = live.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        live = checkpoint(rooted.join(split, "bucket"))
-        found = checkpoint(likely_pairs(live, sketched, percent, most))
+        live = checkpoint(few(rooted.join(split, "bucket")))
+        found = compact(likely_pairs(live, sketched, percent, most), "a", "b")
         # A bucket without a pair in reach has none later either.
         live = live.select("bucket", "id").join(found.select("bucket").distinct(), "bucket", "left_semi")
         seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = checkpoint(found.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
+        fresh = checkpoint(few(found.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")))
         if not fresh.isEmpty():
             fresh = linked(fresh)
             tested = tested.unionByName(fresh)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from tessel.llm import decontamination, jaccard_join, language_id, line_quality, piece_encoding
-from tessel.llm.common import checkpoint, crc_mod, table
+from tessel.llm.common import checkpoint, crc_mod, few, table
 
 #: Least quality score; least probability of a language; words of a shingle and per cent of the near-duplicate join.
 LEAST_QUALITY, LEAST_LANGUAGE, SHINGLE, PERCENT = 0.3, 0.4, 5, 80
@@ -59,13 +59,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one row of each group of linked rows: that of the smallest doc_id, of rows without one if there is no other."""
     key = _free(docs, "row_key")
     keyed = docs.withColumn(key, _row_key(docs))
-    rows = checkpoint(keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("t")).groupBy("k", "d", "h", "t").agg(F.count("*").alias("copies")))
+    rows = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("t")).groupBy("k", "d", "h", "t").agg(F.count("*").alias("copies"))
     found = jaccard_join.similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT)
     found = found.select(F.col("doc_id").alias("k"), (F.col("n_shingles") == 0).alias("wordless"), "component_id").distinct()
     alone = F.col("wordless") & F.col("d").isNotNull()
     group = (F.when(~alone, F.col("component_id")), F.when(alone, F.col("d")), F.when(alone, F.col("t")))
     first = F.min(F.struct(F.col("d").isNull().alias("unnamed"), "d", "h", "k", "copies", (F.col("wordless") & F.col("d").isNull()).alias("free")))
-    kept = checkpoint(rows.join(found, "k").groupBy(*group).agg(first.alias("f")).select(F.col("f.k").alias(key), ((F.col("f.copies") == 1) | F.col("f.free")).alias("whole")))
+    kept = checkpoint(few(rows.join(found, "k").groupBy(*group).agg(first.alias("f")).select(F.col("f.k").alias(key), ((F.col("f.copies") == 1) | F.col("f.free")).alias("whole"))))
     out = keyed.join(kept.where("whole"), key, "left_semi")
     # Rows that repeat in all columns have one key: one of them stays.
     again = kept.where("not whole")

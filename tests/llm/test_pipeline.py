@@ -1,12 +1,15 @@
 """The pipeline: its stages in order, their columns, and its rows against the operators one by one."""
 
 import hashlib
+import os
+from collections import Counter
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from tessel.llm import decontamination, piece_encoding, pipeline
+from tessel.llm.common import shared_dir
 from tests.llm.test_exact import linked
 
 MID = "/root/testdata/sf0.01"
@@ -74,3 +77,23 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
     got = pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(8, one), (8, two), (None, three), (5, ""), (6, None)]))
+
+
+def test_near_duplicates_writes_few_files(spark, sf):
+    """Tables between its steps have no file for each task that worked them out."""
+    folder = os.path.dirname(shared_dir(spark))
+    parts = lambda: Counter(d for d, _, names in os.walk(folder) for n in names if n.startswith("part-"))
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before, docs = set(parts()), spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect())
+    usually, before = [n for d, n in parts().items() if d not in before], set(parts())
+    for k, v in zip(usual, ("64", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        got = sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect())
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    dealt = [n for d, n in parts().items() if d not in before]
+    assert got == want and 0 < len(got) < docs.count()
+    assert len(dealt) == len(usually) > 5 and max(dealt) <= 4 * spark.sparkContext.defaultParallelism
