@@ -264,15 +264,18 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, carry: tupl
 
     def encode(batches):
         model = codec(path)
-        for batch in batches:
-            ids, spans, texts = [], [], []
-            raw = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            for at in range(0, len(raw), 64):
-                for a, b in model.encode_all(raw[at : at + 64]):
-                    ids.append(a)
-                    spans.append(b)
-                    texts.append(model.decode(a))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, pa.binary()), pa.array(spans, pa.binary()), pa.array(texts, pa.string())], [*keep, ids_column, spans_column, decoded_column])
+        try:
+            for batch in batches:
+                ids, spans, texts = [], [], []
+                raw = [t or "" for t in batch.column(len(keep)).to_pylist()]
+                for at in range(0, len(raw), 64):
+                    for a, b in model.encode_all(raw[at : at + 64]):
+                        ids.append(a)
+                        spans.append(b)
+                        texts.append(model.decode(a))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, pa.binary()), pa.array(spans, pa.binary()), pa.array(texts, pa.string())], [*keep, ids_column, spans_column, decoded_column])
+        finally:
+            model.known.clear()  # parts recur little from task to task, and the worker lives on
 
     for name, kind in ((ids_column, "binary"), (spans_column, "binary"), (decoded_column, "string")):
         schema = schema.add(name, kind)

@@ -97,3 +97,14 @@ def test_near_duplicates_writes_few_files(spark, sf):
     dealt = [n for d, n in parts().items() if d not in before]
     assert got == want and 0 < len(got) < docs.count()
     assert len(dealt) == len(usually) > 5 and max(dealt) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_encoding_leaves_no_remembered_parts_in_workers(spark, sf):
+    def remembered(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(piece_encoding.codec(piece_encoding.default_model()).known)], pa.int64())})
+
+    piece_encoding.encode_documents(spark.read.parquet(f"{sf}/documents.parquet").repartition(4)).write.format("noop").mode("overwrite").save()
+    assert {r.n for r in spark.range(0, 4, 1, 4).mapInArrow(remembered, "n long").collect()} == {0}
